@@ -139,3 +139,21 @@ def outer_join_vertices(g: CoGraph, values: DataFrame, col: str,
     """Every vertex with ``col`` from ``values`` (id, col), default when absent."""
     return (g.vertices.join(values.select("id", col), "id", "left")
             .withColumn(col, F.coalesce(F.col(col), F.lit(default))))
+
+
+def heavy_edges(g: CoGraph, min_w: int) -> DataFrame:
+    """edges whose weight is at least ``min_w`` (the view tests ``>=``, Q13)."""
+    return g.edges.where(F.col("w") >= min_w)
+
+
+def node_category(g: CoGraph, min_w: int) -> DataFrame:
+    """F6 + J11: (id, name, category) — 1 if the vertex touches a heavy edge.
+
+    The endpoint set is deduplicated with a partial aggregate before the
+    left join, so a hub on many heavy edges adds one row, not one per edge.
+    """
+    h = heavy_edges(g, min_w)
+    ends = (h.select(F.col("src").alias("id")).union(h.select(F.col("dst").alias("id")))
+            .distinct().withColumn("hit", F.lit(1)))
+    return (g.vertices.join(ends, "id", "left")
+            .select("id", "name", F.coalesce(F.col("hit"), F.lit(0)).cast("int").alias("category")))

@@ -1,0 +1,124 @@
+"""A general superstep loop over a ``CoGraph``, driven by Column builders.
+
+Semantics of GraphX's Pregel: the initial message goes through ``vprog`` at
+every vertex; the first ``send`` runs on every edge; afterwards only edges
+whose source (direction "out"), destination ("in") or either end ("either")
+received a message in the previous round send.  A vertex without a message
+keeps its value.  The loop stops when no message is produced or after
+``max_iter`` rounds.
+
+``send(src_attr, dst_attr, w)`` returns ``(to_dst, to_src)`` Columns (either
+may be None; a null value means "no message").  ``merge`` turns a DataFrame
+(id, msg) into one row per id, e.g. ``merge_with(F.sum)`` — every built-in
+aggregate here is partial/final, so a hub vertex costs one partial row per
+map task.  The state is checkpointed every round.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.maps import keys_with_value, map_minus_decrement, map_union_min
+from ..session import cut_lineage
+from .graph import CoGraph
+
+Send = Callable[[Column, Column, Column], tuple[Column | None, Column | None]]
+Merge = Callable[[DataFrame], DataFrame]
+
+
+def merge_with(agg: Callable[[Column], Column]) -> Merge:
+    """Merge messages with one built-in aggregate (sum, min, max, ...)."""
+    return lambda msgs: msgs.groupBy("id").agg(agg(F.col("msg")).alias("msg"))
+
+
+def merge_map_min(msgs: DataFrame) -> DataFrame:
+    """Merge map messages by key union with the smallest value (M1 as an
+    aggregate): entries are exploded, reduced per (id, key) with a partial
+    ``min``, and rebuilt; an empty map still counts as a received message."""
+    x = msgs.select("id", F.explode_outer("msg").alias("k", "v"))
+    per_key = x.groupBy("id", "k").agg(F.min("v").alias("v"))
+    entry = F.when(F.col("k").isNotNull(), F.struct("k", "v"))
+    return per_key.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("msg"))
+
+
+def _messages(state: DataFrame, edges: DataFrame, send: Send, merge: Merge,
+              active: DataFrame | None, direction: str) -> DataFrame:
+    e = edges
+    if active is not None:
+        a = active.select(F.col("id").alias("_act"))
+        if direction == "out":
+            e = e.join(a, e["src"] == a["_act"], "left_semi")
+        elif direction == "in":
+            e = e.join(a, e["dst"] == a["_act"], "left_semi")
+        else:
+            hit = (e.join(a, e["src"] == a["_act"], "left_semi")
+                   .unionByName(e.join(a, e["dst"] == a["_act"], "left_semi")))
+            e = hit.distinct()
+    s = state.select(F.col("id").alias("src"), F.col("attr").alias("src_attr"))
+    d = state.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr"))
+    t = e.join(s, "src").join(d, "dst")
+    to_dst, to_src = send(F.col("src_attr"), F.col("dst_attr"), F.col("w"))
+    parts = []
+    if to_dst is not None:
+        parts.append(t.select(F.col("dst").alias("id"), to_dst.alias("msg")))
+    if to_src is not None:
+        parts.append(t.select(F.col("src").alias("id"), to_src.alias("msg")))
+    msgs = parts[0]
+    for p in parts[1:]:
+        msgs = msgs.unionByName(p)
+    return merge(msgs.where(F.col("msg").isNotNull()))
+
+
+def pregel(g: CoGraph, init_attr: Column, vprog: Callable[[Column, Column], Column],
+           send: Send, merge: Merge, initial_msg: Column | None = None,
+           max_iter: int = 20, direction: str = "out",
+           symmetric: bool = True) -> DataFrame:
+    """Run the loop; returns (id, attr)."""
+    edges = (g.symmetric() if symmetric else g.edges).persist()
+    state = g.vertices.select("id", init_attr.alias("attr"))
+    if initial_msg is not None:
+        state = state.select("id", vprog(F.col("attr"), initial_msg).alias("attr"))
+    state = cut_lineage(state)
+    msgs = cut_lineage(_messages(state, edges, send, merge, None, direction))
+    i = 0
+    while i < max_iter and msgs.limit(1).count() > 0:
+        i += 1
+        got = F.col("msg").isNotNull()
+        nxt = (state.join(msgs, "id", "left")
+               .select("id", F.when(got, vprog(F.col("attr"), F.col("msg")))
+                              .otherwise(F.col("attr")).alias("attr")))
+        nxt = cut_lineage(nxt)
+        new_msgs = cut_lineage(
+            _messages(nxt, edges, send, merge, msgs.select("id"), direction))
+        msgs.unpersist()
+        state.unpersist()
+        state, msgs = nxt, new_msgs
+    msgs.unpersist()
+    edges.unpersist()
+    return state
+
+
+def khop_ring_pregel(g: CoGraph, k: int = 2) -> DataFrame:
+    """The reference's map-passing form of G4, on ``pregel``: start
+    {self: k}; an edge sends each side the other's keys it lacks, minus one;
+    merge by key with min; keep keys at 0.  Returns (id, other); used as the
+    parity check of the frontier form ``khop.khop_ring``."""
+
+    def vprog(attr: Column, msg: Column) -> Column:
+        return map_union_min(attr, msg)
+
+    def send(src_attr: Column, dst_attr: Column, w: Column):
+        to_src = map_minus_decrement(dst_attr, src_attr)
+        to_dst = map_minus_decrement(src_attr, dst_attr)
+        any_ = (F.size(to_src) > 0) | (F.size(to_dst) > 0)
+        return F.when(any_, to_dst), F.when(any_, to_src)
+
+    init = F.create_map(F.col("id"), F.lit(k))
+    empty = F.create_map().cast("map<bigint,int>")
+    out = pregel(g, init, vprog, send, merge_map_min, initial_msg=empty,
+                 max_iter=k, direction="out")
+    return out.select("id", F.explode(keys_with_value(F.col("attr"), 0)).alias("other"))

@@ -153,3 +153,214 @@ ORACLES = {
     "works_members": SQL_WORKS_MEMBERS,
     "triplets": SQL_TRIPLETS,
 }
+
+
+# --------------------------------------------------------------------------
+# triangles, k-hop, snowball, PageRank, Pregel, heavy edges
+
+from ..operators import khop, pagerank as prk, pregel, triangles as tri  # noqa: E402
+
+K_HOP = 2        # fixed: rounds of the reference's two-hop Pregel
+TOL = 0.001      # fixed: PageRank tolerance of the reference
+SNOWBALL_ROUNDS = 3
+
+
+def q_triangle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles through every vertex (0 for none)."""
+    return tri.triangle_count(membership_graph(spark, sf_dir))
+
+
+TRI_SQL = ("c as (select distinct least(src, dst) as a, greatest(src, dst) as b from e where src <> dst), "
+           "t as (select x.a, x.b, y.b as c from c x join c y on x.b = y.a "
+           "join c z on z.a = x.a and z.b = y.b), "
+           "pc as (select id, count(*) as n from (select a as id from t union all "
+           "select b from t union all select c from t) group by id)")
+SQL_TRIANGLE_COUNTS = (f"{GRAPH_CTE}, {TRI_SQL} select v.id, v.name, "
+                       "cast(coalesce(pc.n, 0) as bigint) as triangles from v left join pc on pc.id = v.id")
+
+
+def q_triangle_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 + T3: the 20 members in the most triangles."""
+    t = q_triangle_counts(spark, sf_dir)
+    return ranking.top_n(t, "triangles", TOP).select("rank", "id", "name", "triangles")
+
+
+SQL_TRIANGLE_TOP20 = (
+    f"{GRAPH_CTE}, {TRI_SQL}, d as (select v.id, v.name, cast(coalesce(pc.n, 0) as bigint) as triangles "
+    "from v left join pc on pc.id = v.id) "
+    "select cast(row_number() over (order by triangles desc, name asc, id asc) as integer) as rank, "
+    f"id, name, triangles from d order by triangles desc, name asc, id asc limit {TOP}")
+
+
+def q_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (id, other) at shortest distance exactly 2 (frontier form)."""
+    return khop.khop_ring(membership_graph(spark, sf_dir), K_HOP)
+
+
+SQL_TWO_HOP = (f"{GRAPH_CTE}, p2 as (select distinct x.src as id, y.dst as other from s x "
+               "join s y on x.dst = y.src) "
+               "select id, other from p2 where id <> other except select src, dst from s")
+
+
+def q_two_hop_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 + M1/M2/F3: the same ring by the reference's map-passing supersteps."""
+    return pregel.khop_ring_pregel(membership_graph(spark, sf_dir), K_HOP)
+
+
+def _top_neighbour_seeds(g: gr.CoGraph, n: int) -> DataFrame:
+    d = gr.attach_label(gr.neighbour_count(g), g.vertices)
+    return ranking.top_n(d, "neighbours", n).select("id")
+
+
+def q_two_hop_of_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 + J2: two-hop ring of the two best-connected members, labelled."""
+    g = membership_graph(spark, sf_dir)
+    return khop.khop_ring_labelled(g, K_HOP, _top_neighbour_seeds(g, 2))
+
+
+SQL_TWO_HOP_OF_TOP2 = (
+    f"{GRAPH_CTE}, seeds as (select d.id from (select dst as id, count(*) as n from s group by dst) d "
+    "join v on v.id = d.id order by d.n desc, v.name asc, d.id asc limit 2), "
+    "p2 as (select distinct x.src as id, y.dst as other from s x join s y on x.dst = y.src "
+    "where x.src in (select id from seeds)), "
+    "r as (select id, other from p2 where id <> other except select src, dst from s) "
+    "select r.id as seed_id, a.name as seed_name, r.other as id, b.name as name "
+    "from r join v a on a.id = r.id join v b on b.id = r.other")
+
+
+def q_snowball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of expansion from the member with the most co-works."""
+    g = membership_graph(spark, sf_dir)
+    d = gr.attach_label(gr.weighted_degree(g), g.vertices)
+    seed = ranking.top_n(d, "coworks", 1).select(F.col("id").alias("member"))
+    return khop.snowball_labelled(td.memberships(spark, sf_dir), seed, g.vertices,
+                                  SNOWBALL_ROUNDS)
+
+
+def _snowball_sql(tail: str) -> str:
+    rounds = [
+        "seed as (select d.id as member from (select src as id, sum(w) as c from s group by src) d "
+        "join v on v.id = d.id order by d.c desc, v.name asc, d.id asc limit 1)",
+        "f0 as (select member, 0 as round from seed)",
+    ]
+    for r in range(1, SNOWBALL_ROUNDS + 1):
+        prev = "seed" if r == 1 else f"n{r - 1}"
+        seen = " union all ".join(["select member from f0"] + [f"select member from n{i}" for i in range(1, r)])
+        rounds.append(f"w{r} as (select distinct m.work_id from m join {prev} p on p.member = m.member)")
+        rounds.append(f"n{r} as (select distinct m.member from m join w{r} using (work_id) "
+                      f"except ({seen}))")
+    found = " union all ".join(["select member, round from f0"] +
+                               [f"select member, {r} as round from n{r}"
+                                for r in range(1, SNOWBALL_ROUNDS + 1)])
+    works = " union ".join(f"select work_id from w{r}" for r in range(1, SNOWBALL_ROUNDS + 1))
+    return (f"{GRAPH_CTE}, " + ", ".join(rounds) +
+            f", found as ({found}), works as ({works}) " + tail)
+
+
+SQL_SNOWBALL = _snowball_sql(
+    "select f.member, coalesce(v.name, '') as name, f.round from found f "
+    "left join v on v.id = f.member")
+
+
+def q_snowball_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership rows of the works the expansion collected."""
+    g = membership_graph(spark, sf_dir)
+    d = gr.attach_label(gr.weighted_degree(g), g.vertices)
+    seed = ranking.top_n(d, "coworks", 1).select(F.col("id").alias("member"))
+    _, works = khop.snowball(td.memberships(spark, sf_dir), seed, SNOWBALL_ROUNDS)
+    return works.select("work_id", "member")
+
+
+SQL_SNOWBALL_WORKS = _snowball_sql(
+    "select m.work_id, m.member from m join works using (work_id)")
+
+
+def q_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + J3: PageRank to tolerance 0.001 for every member, rounded to 6."""
+    g = membership_graph(spark, sf_dir)
+    pr = prk.pagerank(g, TOL)
+    return (gr.outer_join_vertices(g, pr, "pagerank")
+            .select("id", "name", F.round("pagerank", 6).alias("pagerank")))
+
+
+PR_SQL = (
+    "od as (select src as id, 1.0 / count(*) as inv from s group by src), "
+    "pr(it, id, rank, delta, active) as ("
+    " select 0, id, 0.15::double, 0.15::double, true from v"
+    " union all"
+    " select p.it + 1, p.id,"
+    "  case when mm.msg is null then p.rank else p.rank + 0.85 * mm.msg end,"
+    "  case when mm.msg is null then p.delta else 0.85 * mm.msg end,"
+    "  mm.msg is not null"
+    " from pr p left join ("
+    "  select x.dst, sum(q.delta * od.inv) as msg from pr q join s x on x.src = q.id"
+    f"  join od on od.id = q.id where q.active and q.delta > {TOL} group by x.dst) mm"
+    " on mm.dst = p.id"
+    f" where exists (select 1 from pr q join od on od.id = q.id where q.active and q.delta > {TOL})), "
+    "fin as (select id, rank from pr where it = (select max(it) from pr)), "
+    "prn as (select fin.id, v.name, round(fin.rank * (select count(*) from fin) / "
+    "(select sum(rank) from fin), 6) as pagerank from fin join v on v.id = fin.id)")
+SQL_PAGERANK = f"{GRAPH_CTE.replace('with ', 'with recursive ', 1)}, {PR_SQL} select id, name, pagerank from prn"
+
+
+def q_pagerank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + T3: the 20 highest PageRanks."""
+    return ranking.top_n(q_pagerank(spark, sf_dir), "pagerank", TOP).select(
+        "rank", "id", "name", "pagerank")
+
+
+SQL_PAGERANK_TOP20 = (
+    f"{GRAPH_CTE.replace('with ', 'with recursive ', 1)}, {PR_SQL} "
+    "select cast(row_number() over (order by pagerank desc, name asc, id asc) as integer) as rank, "
+    f"id, name, pagerank from prn order by pagerank desc, name asc, id asc limit {TOP}")
+
+
+def q_heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 + J4: edges with weight >= 2, with both labels."""
+    g = membership_graph(spark, sf_dir)
+    h = gr.CoGraph(g.vertices, gr.heavy_edges(g, HEAVY_MIN_W))
+    return gr.triplets(h, symmetric=False).select("src", "dst", "w", "src_name", "dst_name")
+
+
+SQL_HEAVY_EDGES = (f"{GRAPH_CTE} select e.src, e.dst, e.w, a.name as src_name, b.name as dst_name "
+                   f"from e join v a on a.id = e.src join v b on b.id = e.dst where e.w >= {HEAVY_MIN_W}")
+
+
+def q_node_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6 + J11: 1 for members on a heavy edge, else 0."""
+    return gr.node_category(membership_graph(spark, sf_dir), HEAVY_MIN_W)
+
+
+SQL_NODE_CATEGORY = (
+    f"{GRAPH_CTE}, h as (select src as id from e where w >= {HEAVY_MIN_W} union "
+    f"select dst from e where w >= {HEAVY_MIN_W}) "
+    "select v.id, v.name, cast(case when h.id is null then 0 else 1 end as integer) as category "
+    "from v left join h on h.id = v.id")
+
+
+QUERIES.update({
+    "triangle_counts": q_triangle_counts,
+    "triangle_top20": q_triangle_top20,
+    "two_hop": q_two_hop,
+    "two_hop_pregel": q_two_hop_pregel,
+    "two_hop_of_top2": q_two_hop_of_top2,
+    "snowball": q_snowball,
+    "snowball_works": q_snowball_works,
+    "pagerank": q_pagerank,
+    "pagerank_top20": q_pagerank_top20,
+    "heavy_edges": q_heavy_edges,
+    "node_category": q_node_category,
+})
+ORACLES.update({
+    "triangle_counts": SQL_TRIANGLE_COUNTS,
+    "triangle_top20": SQL_TRIANGLE_TOP20,
+    "two_hop": SQL_TWO_HOP,
+    "two_hop_pregel": SQL_TWO_HOP,
+    "two_hop_of_top2": SQL_TWO_HOP_OF_TOP2,
+    "snowball": SQL_SNOWBALL,
+    "snowball_works": SQL_SNOWBALL_WORKS,
+    "pagerank": SQL_PAGERANK,
+    "pagerank_top20": SQL_PAGERANK_TOP20,
+    "heavy_edges": SQL_HEAVY_EDGES,
+    "node_category": SQL_NODE_CATEGORY,
+})

@@ -71,4 +71,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint instead of from round zero.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Cache first: writing a reliable checkpoint runs a second job over the
+    # same RDD, which would otherwise recompute the whole round.
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
