@@ -75,5 +75,6 @@ def concat_lines(df: DataFrame, text: str, order: str, sep: str = "") -> DataFra
     Only for small inputs such as a top-n list; whole-graph output is written
     line per row instead (``sources.gexf.write_gexf``).
     """
-    return df.agg(F.listagg(F.col(text), F.lit(sep))
-                  .withinGroup(F.col(order).asc()).alias("text"))
+    sep_sql = sep.replace("'", "''")
+    return df.agg(F.expr(f"listagg(`{text}`, '{sep_sql}') within group (order by `{order}`)")
+                  .alias("text"))
