@@ -24,8 +24,12 @@ DEFAULT_BLOCK_ROWS = 2048
 
 
 def _normalise(memberships: DataFrame, work: str, member: str) -> DataFrame:
-    return memberships.select(F.col(work).alias("work_id"),
-                              F.col(member).cast("bigint").alias("member"))
+    # Rows with a null key take part in no pair.  Filtering them here, once,
+    # makes every branch below share one identical subtree, so Spark reuses
+    # a single scan + exchange for the sizes and both join sides.
+    return (memberships.select(F.col(work).alias("work_id"),
+                               F.col(member).cast("bigint").alias("member"))
+            .where(F.col("work_id").isNotNull() & F.col("member").isNotNull()))
 
 
 def work_blocks(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,

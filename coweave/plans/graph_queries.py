@@ -364,3 +364,59 @@ ORACLES.update({
     "heavy_edges": SQL_HEAVY_EDGES,
     "node_category": SQL_NODE_CATEGORY,
 })
+
+
+# --------------------------------------------------------------------------
+# the denser second graph: users sharing a purchase hour
+
+def event_graph(spark: SparkSession, sf_dir: str) -> gr.CoGraph:
+    edges = cooccur.cooccurrence_edges(td.event_memberships(spark, sf_dir))
+    return gr.build_graph(td.event_vertices(spark, sf_dir), edges)
+
+
+EM_SQL = ("select distinct date_trunc('hour', ts) as work_id, user_id as member from events "
+          "where event_type = 'purchase'")
+EV_CTE = (f"with m as ({EM_SQL}), e as ({E_SQL}), s as ({S_SQL}), "
+          "v as (select distinct user_id as id, cast(user_id as varchar) as name from events)")
+
+
+def q_event_cooccur_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 on the dense graph."""
+    return cooccur.cooccurrence_edges(td.event_memberships(spark, sf_dir))
+
+
+SQL_EVENT_COOCCUR_EDGES = f"{EV_CTE} select src, dst, w from e"
+
+
+def q_event_degree_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 on the dense graph."""
+    g = event_graph(spark, sf_dir)
+    return gr.attach_label(gr.degree_table(g), g.vertices).select(
+        "id", "name", "neighbours", "coworks")
+
+
+SQL_EVENT_DEGREE_SCATTER = (
+    f"{EV_CTE} select d.id, v.name, d.neighbours, d.coworks from "
+    "(select src as id, count(*) as neighbours, cast(sum(w) as bigint) as coworks "
+    "from s group by src) d join v on v.id = d.id")
+
+
+def q_event_triangle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 on the dense graph."""
+    return tri.triangle_count(event_graph(spark, sf_dir))
+
+
+SQL_EVENT_TRIANGLE_COUNTS = (f"{EV_CTE}, {TRI_SQL} select v.id, v.name, "
+                             "cast(coalesce(pc.n, 0) as bigint) as triangles "
+                             "from v left join pc on pc.id = v.id")
+
+QUERIES.update({
+    "event_cooccur_edges": q_event_cooccur_edges,
+    "event_degree_scatter": q_event_degree_scatter,
+    "event_triangle_counts": q_event_triangle_counts,
+})
+ORACLES.update({
+    "event_cooccur_edges": SQL_EVENT_COOCCUR_EDGES,
+    "event_degree_scatter": SQL_EVENT_DEGREE_SCATTER,
+    "event_triangle_counts": SQL_EVENT_TRIANGLE_COUNTS,
+})
