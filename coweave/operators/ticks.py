@@ -182,4 +182,13 @@ def latest_period_run(msgs: DataFrame, period: str = "month", seq: str = "seq")
         return msgs.limit(0)
     cut = (msgs.where(F.col(period) != F.lit(last["_last"]))
                .agg(F.max(seq).alias("_cut")).first()["_cut"])
-    return msgs.where(F.col(seq) > F.lit(-1 if cut is None else cut))
+    if cut is None:
+        return msgs
+    return msgs.where(F.col(seq) > _literal(cut))
+
+
+def _literal(v) -> Column:
+    """A driver-side value (scalar or Row of a struct key) as a literal."""
+    if hasattr(v, "asDict"):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
+    return F.lit(v)
