@@ -39,6 +39,13 @@ class CoGraph:
         self.vertices.unpersist()
         self.edges.unpersist()
 
+    def materialized(self, base_vertices: DataFrame) -> "CoGraph":
+        """Write the edges once (under ``spark.checkpoint.dir``) and rebuild
+        the vertex set from that table, for queries that use the graph many
+        times (iterative operators, labels after a loop)."""
+        from ..session import cut_lineage
+        return build_graph(base_vertices, cut_lineage(self.edges))
+
 
 def build_graph(vertices: DataFrame, edges: DataFrame, vid: str = "id",
                 name: str = "name", src: str = "src", dst: str = "dst",

@@ -5,8 +5,9 @@ All three are frontier loops on the driver over DataFrames: a round joins
 the newest frontier with the edges (or the membership rows), removes what
 was reached before with a left-anti join, and appends the rest.  A round
 touches only the frontier, not the whole reached set's neighbourhoods again.
-Each round is written to the reliable checkpoint directory, so plans stay
-short and a lost executor never replays the whole loop.
+Each round's new frontier is written as a table under
+``spark.checkpoint.dir`` (one job per round), so plans stay short and a lost
+executor never replays the whole loop.
 """
 
 from __future__ import annotations
@@ -41,10 +42,11 @@ def khop_ring(g: CoGraph, k: int = 2, seeds: DataFrame | None = None) -> DataFra
         step = (frontier.select("id", F.col("other").alias("via"))
                 .join(adj, "via").select("id", "other").distinct()
                 .join(reached, ["id", "other"], "left_anti"))
+        if r == k:
+            return step
+        # one write per round; ``reached`` stays a union of written rounds
         step = _materialise(step)
-        if r < k:
-            reached = reached.unionByName(step)
-            reached = _materialise(reached)
+        reached = reached.unionByName(step)
         frontier = step
     return frontier
 
@@ -77,13 +79,12 @@ def snowball(memberships: DataFrame, seeds: DataFrame, rounds: int = 3,
     collected = None
     for r in range(1, rounds + 1):
         works = m.join(frontier, "member").select("work_id").distinct()
-        works = _materialise(works)
         collected = works if collected is None else collected.unionByName(works)
         co = m.join(works, "work_id").select("member").distinct()
         new = co.join(found.select("member"), "member", "left_anti")
+        # one write per round; ``found`` stays a union of written rounds
         new = _materialise(new)
         found = found.unionByName(new.withColumn("round", F.lit(r)))
-        found = _materialise(found)
         frontier = new
     work_rows = m.join(collected.distinct(), "work_id")
     return found, work_rows

@@ -11,7 +11,8 @@ keeps its value.  The loop stops when no message is produced or after
 may be None; a null value means "no message").  ``merge`` turns a DataFrame
 (id, msg) into one row per id, e.g. ``merge_with(F.sum)`` — every built-in
 aggregate here is partial/final, so a hub vertex costs one partial row per
-map task.  The state is checkpointed every round.
+map task.  State and messages are written under ``spark.checkpoint.dir``
+every round; the message count is observed by that write.
 """
 
 from __future__ import annotations
@@ -83,21 +84,19 @@ def pregel(g: CoGraph, init_attr: Column, vprog: Callable[[Column, Column], Colu
     if initial_msg is not None:
         state = state.select("id", vprog(F.col("attr"), initial_msg).alias("attr"))
     state = cut_lineage(state)
-    msgs = cut_lineage(_messages(state, edges, send, merge, None, direction))
+    count = [F.count(F.lit(1)).alias("n")]
+    msgs, seen = cut_lineage(_messages(state, edges, send, merge, None, direction), count)
     i = 0
-    while i < max_iter and msgs.limit(1).count() > 0:
+    while i < max_iter and seen["n"] > 0:
         i += 1
         got = F.col("msg").isNotNull()
         nxt = (state.join(msgs, "id", "left")
                .select("id", F.when(got, vprog(F.col("attr"), F.col("msg")))
                               .otherwise(F.col("attr")).alias("attr")))
-        nxt = cut_lineage(nxt)
-        new_msgs = cut_lineage(
-            _messages(nxt, edges, send, merge, msgs.select("id"), direction))
-        msgs.unpersist()
-        state.unpersist()
-        state, msgs = nxt, new_msgs
-    msgs.unpersist()
+        state = cut_lineage(nxt)
+        if i < max_iter:
+            msgs, seen = cut_lineage(
+                _messages(state, edges, send, merge, msgs.select("id"), direction), count)
     edges.unpersist()
     return state
 
