@@ -164,3 +164,15 @@ def node_category(g: CoGraph, min_w: int) -> DataFrame:
             .distinct().withColumn("hit", F.lit(1)))
     return (g.vertices.join(ends, "id", "left")
             .select("id", "name", F.coalesce(F.col("hit"), F.lit(0)).cast("int").alias("category")))
+
+
+def map_vertices(g: CoGraph, attr: Column, name: str = "attr") -> DataFrame:
+    """Replace each vertex's attribute by an expression of (id, name)."""
+    return g.vertices.select("id", attr.alias(name))
+
+
+def reduce_by_key(df: DataFrame, keys: list[str], merge: dict[str, Column]) -> DataFrame:
+    """Keyed reduce with associative merges given as aggregate Columns
+    (e.g. ``{"w": F.sum("w")}``) — partial aggregation before the shuffle,
+    no closure shipped to tasks."""
+    return df.groupBy(*keys).agg(*[c.alias(k) for k, c in merge.items()])

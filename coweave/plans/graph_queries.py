@@ -372,9 +372,10 @@ ORACLES.update({
 # --------------------------------------------------------------------------
 # the denser second graph: users sharing a purchase hour
 
-def event_graph(spark: SparkSession, sf_dir: str) -> gr.CoGraph:
+def event_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> gr.CoGraph:
     edges = cooccur.cooccurrence_edges(td.event_memberships(spark, sf_dir))
-    return gr.build_graph(td.event_vertices(spark, sf_dir), edges)
+    g = gr.build_graph(td.event_vertices(spark, sf_dir), edges)
+    return g.materialized(td.event_vertices(spark, sf_dir)) if reuse else g
 
 
 EM_SQL = ("select distinct date_trunc('hour', ts) as work_id, user_id as member from events "
@@ -406,7 +407,7 @@ SQL_EVENT_DEGREE_SCATTER = (
 
 def q_event_triangle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3 on the dense graph."""
-    return tri.triangle_count(event_graph(spark, sf_dir))
+    return tri.triangle_count(event_graph(spark, sf_dir, reuse=True))
 
 
 SQL_EVENT_TRIANGLE_COUNTS = (f"{EV_CTE}, {TRI_SQL} select v.id, v.name, "
