@@ -424,3 +424,50 @@ ORACLES.update({
     "event_degree_scatter": SQL_EVENT_DEGREE_SCATTER,
     "event_triangle_counts": SQL_EVENT_TRIANGLE_COUNTS,
 })
+
+
+# --------------------------------------------------------------------------
+# exports
+
+from ..sources import gexf as gx, messages as msg  # noqa: E402
+
+
+def q_coop_top20_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + A12: the co-work top 20 as the reference's JSON pair list."""
+    return msg.export_pairs_json(q_coop_top20(spark, sf_dir), "name", "coworks")
+
+
+SQL_COOP_TOP20_JSON = (
+    f"with t as ({SQL_COOP_TOP20}) select '[' || string_agg('[' || cast(to_json(name) as varchar) "
+    "|| ',' || cast(coworks as varchar) || ']', ',' order by rank) || ']' as text from t")
+
+
+def q_gexf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The GEXF document of the membership graph as ordered lines."""
+    return gx.gexf_lines(membership_graph(spark, sf_dir, reuse=True))
+
+
+def _xml_sql(c: str) -> str:
+    out = c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        out = f"replace({out}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
+    return out
+
+
+def _fixed_rows_sql(lines: list[str], section: int) -> str:
+    rows = ", ".join(f"({section}, {i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(lines))
+    return (f"select cast(a as integer) as section, cast(b as bigint) as k1, cast(0 as bigint) as k2, "
+            f"c as line from (values {rows}) x(a, b, c)")
+
+
+SQL_GEXF_LINES = (
+    f"{GRAPH_CTE} {_fixed_rows_sql(gx.HEADER, 0)} union all "
+    "select 1, id, 0, ' <node id=\"' || cast(id as varchar) || '\" label=\"' || "
+    f"{_xml_sql('name')} || '\" />' from v union all "
+    f"{_fixed_rows_sql(gx.MIDDLE, 2)} union all "
+    "select 3, src, dst, ' <edge source=\"' || cast(src as varchar) || '\" target=\"' || "
+    "cast(dst as varchar) || '\" label=\"' || cast(w as varchar) || '\" />' from s union all "
+    f"{_fixed_rows_sql(gx.FOOTER, 4)}")
+
+QUERIES.update({"coop_top20_json": q_coop_top20_json, "gexf_lines": q_gexf_lines})
+ORACLES.update({"coop_top20_json": SQL_COOP_TOP20_JSON, "gexf_lines": SQL_GEXF_LINES})

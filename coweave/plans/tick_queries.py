@@ -189,3 +189,17 @@ ORACLES = {
     "tick_day_batches": SQL_TICK_DAY_BATCHES,
     "message_routes": SQL_MESSAGE_ROUTES,
 }
+
+
+def q_tick_trend_top10_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 with ``per_period=True`` (Q6): ten largest trends of every day."""
+    return tk.batch_top_trends(q_tick_trend(spark, sf_dir), per_period=True)
+
+
+SQL_TICK_TREND_TOP10_PER_DAY = (
+    f"with t as ({T_SQL}), c as ({TR_SQL}), r as (select *, row_number() over "
+    "(partition by month order by trend desc, name asc) as rn from c) "
+    f"select name, month, trend, trend_pct from r where rn <= {TOP}")
+
+QUERIES["tick_trend_top10_per_day"] = q_tick_trend_top10_per_day
+ORACLES["tick_trend_top10_per_day"] = SQL_TICK_TREND_TOP10_PER_DAY
