@@ -143,3 +143,14 @@ def test_heavy_edges_and_category(spark):
     assert sorted((r["src"], r["dst"]) for r in gr.heavy_edges(g, 10).collect()) == [(1, 2), (3, 4)]
     assert _map(gr.node_category(g, 10), "id", "category") == {1: 1, 2: 1, 3: 1, 4: 1}
     assert _map(gr.node_category(g, 11), "id", "category") == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_pagerank_salted_hub_matches_unsalted(spark):
+    # hub 1 with 9 leaves plus a triangle tail; edges_per_salt=2 gives the hub 5 salts
+    edges = [(1, k) for k in range(2, 11)] + [(2, 3), (3, 11), (11, 12)]
+    g = graph_of(spark, edges)
+    a = _map(pagerank.pagerank(g, 0.001), "id", "pagerank")
+    b = _map(pagerank.pagerank(g, 0.001, edges_per_salt=2, rounds_per_job=1), "id", "pagerank")
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    assert abs(sum(a.values()) - len(a)) < 1e-9
