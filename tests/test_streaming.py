@@ -3,9 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
-from coweave.operators import ticks as tk
 from coweave.sources import messages
 from coweave.streaming import ticks_stream as ts
 
