@@ -89,7 +89,8 @@ def trend_pairfold(ticks: DataFrame, name: str = "name", period: str = "currMont
     ``bucket_rows`` rows), each summarised as a segment; segments are then
     merged level by level, bucket_rows at a time, until one per group is
     left.  No group is ever collected whole.  Group sizes come from a partial
-    count; one small driver read gives the seq span that bounds the levels.
+    count, and only the list of large groups is joined back; one small
+    driver read gives the seq span that bounds the levels.
     """
     keys = ["name", "month"]
     rows = ticks.select(F.col(name).alias("name"), F.col(period).alias("month"),
@@ -99,9 +100,13 @@ def trend_pairfold(ticks: DataFrame, name: str = "name", period: str = "currMont
     if span["lo"] is None:
         return rows.select(*keys, F.lit(0.0).alias("trend_fold")).limit(0)
     lo, width = int(span["lo"]), int(span["hi"]) - int(span["lo"]) + 1
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    rows = rows.join(sizes, keys)
-    big = F.col("_k") > bucket_rows
+    # Only groups above bucket_rows need the tree; that list has at most
+    # rows / bucket_rows entries, so AQE can broadcast it after measuring it
+    # and the rows (hot group included) are not shuffled for this join.
+    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+           .where(F.col("_k") > bucket_rows).select(*keys, F.lit(True).alias("_hot")))
+    rows = rows.join(hot, keys, "left")
+    big = F.coalesce(F.col("_hot"), F.lit(False))
     bucket = F.when(big, F.floor((F.col("seq") - F.lit(lo)) / F.lit(bucket_rows))).otherwise(F.lit(-1))
     segs = (rows.groupBy(*keys, big.alias("_big"), bucket.alias("_b"))
             .agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("_l"))
