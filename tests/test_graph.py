@@ -154,3 +154,10 @@ def test_pagerank_salted_hub_matches_unsalted(spark):
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
     assert abs(sum(a.values()) - len(a)) < 1e-9
+
+
+def test_seeded_ring_with_labels(spark):
+    g = graph_of(spark, PATH4, vertices={1: "a", 2: "b", 3: "c", 4: "d"})
+    seeds = spark.createDataFrame([(1,), (4,), (99,)], "id bigint")
+    got = sorted(tuple(r) for r in khop.khop_ring_labelled(g, 2, seeds).collect())
+    assert got == [(1, "a", 3, "c"), (4, "d", 2, "b")]
