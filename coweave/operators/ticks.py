@@ -26,6 +26,13 @@ def parse_ticks(messages: DataFrame, value: str = "value", seq: str = "seq",
     return t.select("seq", "t.*")
 
 
+def keyed_values(ticks: DataFrame, value: Column | None = None, name: str = "name",
+                 period: str = "currMonth") -> DataFrame:
+    """Record → ((name, month), value); value defaults to 1 (a count)."""
+    v = value if value is not None else F.lit(1)
+    return ticks.select(F.col(name).alias("name"), F.col(period).alias("month"), v.alias("value"))
+
+
 def tick_count(ticks: DataFrame, name: str = "name", period: str = "currMonth") -> DataFrame:
     """Rows per (name, month) → (name, month, total BIGINT)."""
     return ticks.groupBy(F.col(name).alias("name"), F.col(period).alias("month")) \

@@ -99,3 +99,19 @@ def read_result_json(spark: SparkSession, path: str) -> DataFrame:
         "file", (F.col("pos") + 1).cast("int").alias("pos"), "name",
         F.lit(None).cast("double").alias("value"))
     return as_pairs.unionByName(as_labels)
+
+
+def write_message_stream(stream: DataFrame, checkpoint: str, fmt: str = "text",
+                         path: str | None = None, topic: str | None = None,
+                         servers: str | None = None, trigger_available_now: bool = False):
+    """S6 (stream): every row of a streaming result → JSON record on a topic
+    (``kafka``) or in a directory (``text``); progress in ``checkpoint``."""
+    w = to_messages(stream).writeStream.option("checkpointLocation", checkpoint)
+    if fmt == "kafka":
+        w = (w.format("kafka").option("kafka.bootstrap.servers", servers)
+             .option("topic", topic))
+    else:
+        w = w.format("text").option("path", path)
+    if trigger_available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -79,3 +79,19 @@ def test_paced_replay_one_batch_per_trigger(spark, tmp_dir):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(n for _, n in seen) == [1, 2]
+
+
+def test_write_message_stream(spark, tmp_dir):
+    from coweave.operators import ticks
+    src = tmp_dir + "/in"
+    os.makedirs(src)
+    with open(src + "/0.json", "w") as f:
+        f.write(_ticks_json([("a", 1.0, "m"), ("b", 2.0, "m")]))
+    parsed = ticks.parse_ticks(messages.read_tick_stream(spark, "text", src)
+                               .selectExpr("0L as seq", "value"))
+    kv = ticks.keyed_values(parsed)
+    q = messages.write_message_stream(kv, tmp_dir + "/ck", path=tmp_dir + "/out",
+                                      trigger_available_now=True)
+    q.awaitTermination()
+    got = sorted(json.loads(r["value"])["name"] for r in spark.read.text(tmp_dir + "/out").collect())
+    assert got == ["a", "b"]
