@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import pathlib
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,3 +54,20 @@ class BoundedCache(dict):
             self.clear()
         value = self[key] = self.fill(key)
         return value
+
+
+def with_package(fn: Callable) -> Callable:
+    """Wrap ``fn(spark, ...)`` so that Python workers can import this package
+    wherever they run: it is shipped once per session as a zip file."""
+    @functools.wraps(fn)
+    def run(spark, *args):
+        sc = spark.sparkContext
+        if not getattr(sc, "_coweave_shipped", False):
+            package = pathlib.Path(__file__).resolve().parent.parent
+            archive = shutil.make_archive(
+                os.path.join(tempfile.mkdtemp(prefix="coweave-"), package.name), "zip",
+                root_dir=package.parent, base_dir=package.name)
+            sc.addPyFile(archive)
+            sc._coweave_shipped = True
+        return fn(spark, *args)
+    return run

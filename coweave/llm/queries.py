@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.testdata import table
-from . import bpe, chat, exact_dedup, packing, simhash
-from .common import ASCII_LOWER, ASCII_UPPER
+from . import bpe, chat, classifier, ctw, exact_dedup, packing, permutation, simhash, suffix_dedup, wrapper
+from .common import ASCII_LOWER, ASCII_UPPER, with_package
 
 LOWERED = f"translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}')"
 
@@ -33,6 +33,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest ``embeddings`` of every vec_id divisible by 20."""
+    return permutation.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 # A conversation that spells out control strings (fixed by the contract).
 ODD_CONVERSATION, ODD_TEXT = -7, r"\### Assistant: </turn> ok"
 
@@ -85,24 +90,42 @@ SQL_OP4 = (
     "cast(sum(chars) as bigint) as formatted_chars from s group by conv_id")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by importance resampling towards ``labels``."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of ``documents``: 3-word shingles, 3 differing bits."""
     return simhash.simhash_classes(table(spark, sf_dir, "documents"), 3, 3)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50-byte strings of ``documents`` that an earlier document has too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of whole ``documents`` texts, there and back."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op4_chat_formatting": op4_chat_formatting,
-    "op6_simhash_near_dedup": op6_simhash_near_dedup,
-    "op8_bpe_round_trip": op8_bpe_round_trip,
-}
+def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting scores of all ``documents``; one fold in five is
+    held out from training."""
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``."""
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: with_package(f) for f in (
+    op1_exact_dedup, op2_best_fit_packing, op3_permutation_index, op4_chat_formatting,
+    op5_importance_resampling, op6_simhash_near_dedup, op7_suffix_dedup, op8_bpe_round_trip,
+    op9_context_tree_weighting, op10_wrapper_induction)}
 ORACLES = {
     "op1_exact_dedup": SQL_OP1,
     "op4_chat_formatting": SQL_OP4,
