@@ -8,6 +8,8 @@ documents without replacement in proportion to their weights.
 
 k is the number of documents that score like the target: those above the
 score that all but ``clean_loss`` of the labelled target documents reach.
+That score is read off target documents the model was not fitted on (one in
+``CALIBRATION``), since a document raises its own weight in the fit.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ MAX_LABELLED = 200_000    # bound of the labelled rows the target model is fitte
 CLEAN_LOSS = 0.01
 SHRINK = 50.0             # n-grams' worth of the average target document
 SHARPNESS = 2_000.0       # weight of the log ratio against the noise
+CALIBRATION = 4           # one target document in so many is kept out of the fit
 BINS = 4_096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,12 +140,15 @@ def classify(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS,
     targets = (labels.where(F.col("doc_id").isNotNull())
                .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
                .agg(F.min(F.coalesce(is_target, F.lit(False))).alias("good")).where("good"))
-    ids = np.sort(targets.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-                  .limit(max_labelled).toArrow().column(0).to_numpy())
+    ids = (targets.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+           .limit(max_labelled).toArrow().column(0).to_numpy())
+    # by their hash order, so in no order of id; a lone target does both
+    held = np.arange(len(ids)) % CALIBRATION == 0
+    fit, calibrate = (np.sort(ids[~held]), np.sort(ids[held])) if len(ids) > 1 else (ids, ids)
     if not len(ids):
         return ids_and_texts(docs).select("doc_id", F.lit(0.0).alias("log_ratio"),
                                           F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(*count_ngrams(docs, ids)))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(*count_ngrams(docs, fit)))
 
     @per_batch
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,7 +161,7 @@ def classify(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS,
         doc_ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
-             pa.array(np.isin(doc_ids, ids))], names=["doc_id", "n", "total", "target"])
+             pa.array(np.isin(doc_ids, calibrate))], names=["doc_id", "n", "total", "target"])
 
     scored = cut_lineage(ids_and_texts(docs).mapInArrow(
         score, "doc_id bigint, n bigint, total double, target boolean"))
