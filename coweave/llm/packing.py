@@ -20,6 +20,9 @@ all rows share is still numbered by many tasks; the number picks the place.
 from __future__ import annotations
 
 import functools
+import os
+import re
+import string
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
@@ -32,7 +35,9 @@ from ..session import cut_lineage
 from .common import BoundedCache, ids_and_texts, per_batch
 
 SALTS = 256
-ENDINGS = (".", ",", "!!", "!")
+MARKS = string.punctuation.encode()
+# letters that are one character each in lower case and composed form
+PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 # --------------------------------------------------------------------------
@@ -40,34 +45,68 @@ ENDINGS = (".", ",", "!!", "!")
 
 class WordTokenizer:
     """``tokenizers`` file that drops white space and never merges across it:
-    a text is encoded chunk by chunk (split at ASCII blanks), each chunk once."""
+    a text is encoded chunk by chunk (split at ASCII blanks), and each chunk
+    once while the cache holds it.  Chunks not yet known are gathered over
+    some documents, and plain words encoded together in one call."""
 
-    def __init__(self, path: str):
-        import os
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs the tasks side by side
         from tokenizers import Tokenizer
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
-        self.cache = BoundedCache(self._chunk)
+        vocabulary = self.encoder.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache: dict[bytes, bytes] = {}
+        self.limit = limit
 
-    def _encode(self, chunk: str) -> bytes:
-        ids = self.encoder.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
-        return np.array(ids, np.uint32).tobytes()
+    def _encode(self, text: str):
+        return self.encoder.encode_batch_fast([text], add_special_tokens=False)[0]
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        for end in ENDINGS:              # letters are split from a mark anyway
-            if text.endswith(end) and text[:-len(end)].isalpha():
-                get = self.cache.__getitem__
-                return get(chunk[:-len(end)]) + get(end.encode())
-        return self._encode(text)
-
-    def packed(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.  The vocabulary is
-        lower case, so A-Z may be lowered beforehand; special tokens written
-        out in a text have no capitals."""
-        return b"".join(map(self.cache.__getitem__, text.lower().split()))
+        return np.array(self._encode(chunk.decode("utf-8", "replace")).ids, np.uint32).tobytes()
+
+    def _words(self, words: list[bytes]) -> None:
+        """Learn plain words: each is one piece of the split, so it ends at the
+        next token that ends a word."""
+        for at in range(0, len(words), 2_000):
+            part = words[at:at + 2_000]
+            ids = np.array(self._encode(b" ".join(part).decode()).ids, np.uint32)
+            cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the tokenizer splits plain words")
+            self.cache.update(zip(part, (ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))))
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        marked, words, others = [], set(), []
+        for chunk in chunks:
+            # letters are split from the marks behind them anyway
+            word = chunk.rstrip(MARKS)
+            if PLAIN.fullmatch(word.decode("utf-8", "replace")):
+                if word not in self.cache:
+                    words.add(word)
+                if word != chunk:
+                    marked.append((chunk, word))
+            else:
+                others.append(chunk)
+        self._words(list(words))
+        get = BoundedCache(self._chunk).__getitem__      # marks
+        self.cache.update((chunk, self.cache[word] + get(chunk[len(word):])) for chunk, word in marked)
+        self.cache.update((chunk, self._chunk(chunk)) for chunk in others)
+
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers.  The
+        vocabulary is lower case, so A-Z may be lowered beforehand; special
+        tokens written out in a text have no capitals."""
+        out = []
+        for at in range(0, len(texts), 256):
+            chunks = [t.lower().split() for t in texts[at:at + 256]]
+            if len(self.cache) > self.limit:
+                self.cache.clear()
+            self._learn(set().union(*chunks).difference(self.cache))
+            out += [b"".join(map(self.cache.__getitem__, c)) for c in chunks]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -89,10 +128,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
 
     @per_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = tokenizer(path).packed
         cols: list[list] = [[] for _ in names]
-        for doc_id, body in zip(*(c.to_pylist() for c in batch.columns)):
-            ids = encode(body) + end
+        packed = tokenizer(path).packed(batch.column(1).to_pylist())
+        for doc_id, ids in zip(batch.column(0).to_pylist(), packed):
+            ids += end
             for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 row = (doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part)
