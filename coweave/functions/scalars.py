@@ -18,6 +18,7 @@ TICK_SCHEMA = T.StructType([
     T.StructField("currMonth", T.StringType()),
     T.StructField("index", T.StringType()),
 ])
+NUMBER = r"^(?i)[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
 STAFF_SCHEMA = "struct<data:struct<staff:array<struct<mid:bigint,name:string>>>>"
 
 
@@ -33,10 +34,13 @@ def category_prefix(c: Column) -> Column:
 
 
 def parse_percent(c: Column) -> Column:
-    """Strip '%' at both ends, read as double; unreadable or NaN → 0 (Q8)."""
-    v = F.trim(c, F.lit("%"))
-    d = F.nanvl(v.try_cast("double"), F.lit(None).cast("double"))
-    return F.coalesce(d, F.lit(0.0))
+    """Strip '%' at both ends, read as double; unreadable or NaN → 0 (Q8).
+
+    Only plain numbers and infinities are read: a cast alone would also take
+    type suffixes such as ``1.5d``."""
+    v = F.trim(F.trim(c, F.lit("%")))
+    d = F.when(v.rlike(NUMBER), v.try_cast("double"))
+    return F.coalesce(F.nanvl(d, F.lit(None).cast("double")), F.lit(0.0))
 
 
 def date_parts_from_filename(name: Column) -> tuple[Column, Column, Column]:
@@ -110,7 +114,11 @@ def encode_message(fields: dict[str, Column]) -> Column:
 def message_route(value: Column) -> Column:
     """'total' if the object has a ``total`` key, else 'trend' if it has
     ``trend``, else null (dropped).  Key presence, as the JS ``in`` test."""
-    m = F.from_json(value, "map<string,string>")
+    return route_of(F.from_json(value, "map<string,string>"))
+
+
+def route_of(m: Column) -> Column:
+    """F4 on a message that is parsed to a map already."""
     return (F.when(F.map_contains_key(m, "total"), F.lit("total"))
              .when(F.map_contains_key(m, "trend"), F.lit("trend")))
 

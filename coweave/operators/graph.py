@@ -50,9 +50,14 @@ class CoGraph:
 def build_graph(vertices: DataFrame, edges: DataFrame, vid: str = "id",
                 name: str = "name", src: str = "src", dst: str = "dst",
                 w: str | None = "w") -> CoGraph:
-    """G1 + J10: typed vertices plus every edge endpoint (label "" if absent)."""
-    v = vertices.select(F.col(vid).cast("bigint").alias("id"),
-                        F.col(name).cast("string").alias("name"))
+    """G1 + J10: typed vertices plus every edge endpoint (label "" if absent).
+
+    A vertex has one label: of an id listed several times the greatest label
+    stays (tables have no line order to go by), so no operator counts the
+    vertex twice.
+    """
+    v = vertices.groupBy(F.col(vid).cast("bigint").alias("id")).agg(
+        F.max(F.col(name).cast("string")).alias("name"))
     weight = F.col(w).cast("bigint") if w else F.lit(1).cast("bigint")
     e = edges.select(F.col(src).cast("bigint").alias("src"),
                      F.col(dst).cast("bigint").alias("dst"), weight.alias("w"))

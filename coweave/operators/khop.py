@@ -23,19 +23,22 @@ def _materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def khop_ring(g: CoGraph, k: int = 2, seeds: DataFrame | None = None) -> DataFrame:
-    """G4 (all vertices) / G5 (``seeds``: one column ``id``).
+def khop_ring(g: CoGraph, seeds: DataFrame, k: int = 2) -> DataFrame:
+    """The ring of every seed (``seeds``: one column ``id``).
 
     Returns (id, other) for every vertex ``other`` at shortest distance
-    exactly ``k`` from ``id`` — what the reference's map-passing Pregel
-    leaves at value 0 after k rounds (self and nearer vertices already hold
-    a key and are never re-sent).
+    exactly ``k`` from ``id``; self and nearer vertices are not in the ring.
+    The output is the seeds' rings, so the seeds are a chosen few, never all
+    vertices.
+
+    A round is one equi-join of the frontier with the edges on ``via``; the
+    rows of a hub are a plain exchange, which AQE splits when it is skewed.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     adj = g.symmetric().select(F.col("src").alias("via"), F.col("dst").alias("other"))
-    start = (seeds.select(F.col("id").cast("bigint")) if seeds is not None
-             else g.vertices.select("id")).distinct()
+    # written once: every round reads them, and they may be costly to find
+    start = _materialise(seeds.select(F.col("id").cast("bigint")).distinct())
     frontier = start.select("id", F.col("id").alias("other"))
     reached = frontier
     for r in range(1, k + 1):
@@ -53,7 +56,7 @@ def khop_ring(g: CoGraph, k: int = 2, seeds: DataFrame | None = None) -> DataFra
 
 def khop_ring_labelled(g: CoGraph, k: int, seeds: DataFrame) -> DataFrame:
     """G5 + J2: seeds' ring with both labels; ids without a vertex are dropped."""
-    ring = khop_ring(g, k, seeds)
+    ring = khop_ring(g, seeds, k)
     lab = g.vertices
     return (ring.join(lab.select("id", F.col("name").alias("seed_name")), "id")
                 .join(lab.select(F.col("id").alias("other"),
@@ -72,22 +75,24 @@ def snowball(memberships: DataFrame, seeds: DataFrame, rounds: int = 3,
     the membership rows of the works collected, i.e. the works of members at
     distance <= rounds − 1 (the reference saves those lines).
     """
-    m = memberships.select(F.col(work).alias("work_id"),
-                           F.col(member).cast("bigint").alias("member"))
-    frontier = seeds.select(F.col("member").cast("bigint")).distinct()
+    # Memberships are read twice a round and by the result: written once.
+    m = _materialise(memberships.select(F.col(work).alias("work_id"),
+                                        F.col(member).cast("bigint").alias("member")))
+    frontier = _materialise(seeds.select(F.col("member").cast("bigint")).distinct())
     found = frontier.withColumn("round", F.lit(0))
     collected = None
     for r in range(1, rounds + 1):
         works = m.join(frontier, "member").select("work_id").distinct()
+        if collected is not None:
+            works = works.join(collected, "work_id", "left_anti")
+        works = _materialise(works)
         collected = works if collected is None else collected.unionByName(works)
         co = m.join(works, "work_id").select("member").distinct()
-        new = co.join(found.select("member"), "member", "left_anti")
         # one write per round; ``found`` stays a union of written rounds
-        new = _materialise(new)
+        new = _materialise(co.join(found.select("member"), "member", "left_anti"))
         found = found.unionByName(new.withColumn("round", F.lit(r)))
         frontier = new
-    work_rows = m.join(collected.distinct(), "work_id")
-    return found, work_rows
+    return found, m.join(collected, "work_id")
 
 
 def first_seen_label(labelled: DataFrame, id_col: str = "member",
@@ -104,7 +109,10 @@ def first_seen_label(labelled: DataFrame, id_col: str = "member",
 
 def snowball_labelled(memberships: DataFrame, seeds: DataFrame, vertices: DataFrame,
                       rounds: int = 3) -> DataFrame:
-    """(member, name, round) with labels from the vertex list ("" if absent)."""
+    """(member, name, round) with labels from the vertex list ("" if absent);
+    of an id listed several times the label first met stays (M3)."""
     found, _ = snowball(memberships, seeds, rounds)
-    return attach_label(found.withColumnRenamed("member", "id"), vertices) \
+    named = attach_label(found.withColumnRenamed("member", "id"), vertices) \
         .select(F.col("id").alias("member"), "name", "round")
+    label = first_seen_label(named)
+    return found.join(label, "member").select("member", "name", "round")

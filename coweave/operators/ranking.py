@@ -1,4 +1,5 @@
-"""Sorts, limits and top-k.
+"""Sorts, limits and top-k (SURVEY §2: T1–T3, T6, T7, A12; T4, T5 and J7 are
+in ``ticks``).
 
 Every top-k is either ``orderBy(...).limit(n)`` (planned as
 TakeOrderedAndProject: each task keeps its own n best, one task merges
@@ -43,22 +44,6 @@ def top_n(df: DataFrame, value: str, n: int = 20, label: str = "name",
     return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
 
 
-def top_n_per_group(df: DataFrame, group: str | list[str], value: str, n: int,
-                    tiebreak: list[str], ascending: bool = False,
-                    rank_col: str = "rank") -> DataFrame:
-    """T5: the n best rows of each group (e.g. each daily file), stable ties."""
-    groups = [group] if isinstance(group, str) else list(group)
-    w = Window.partitionBy(*groups).orderBy(*_order(value, ascending, tiebreak))
-    return (df.withColumn(rank_col, F.row_number().over(w))
-              .where(F.col(rank_col) <= n))
-
-
-def batch_top_n(df: DataFrame, value: str, n: int = 10,
-                tiebreak: list[str] | None = None) -> DataFrame:
-    """The n largest rows of one batch (not per period: Q6)."""
-    return df.orderBy(*_order(value, False, tiebreak or [])).limit(n)
-
-
 def sort_ascending_view(df: DataFrame, value: str, tiebreak: list[str]) -> DataFrame:
     """Ascending by the measure (the dashboard's order)."""
     return df.orderBy(*_order(value, True, tiebreak))

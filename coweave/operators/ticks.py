@@ -3,16 +3,21 @@
 A tick is (seq, name, pct, period, index): ``seq`` is the arrival order.
 Every aggregate here is either a built-in declarative aggregate (partial
 aggregation before the shuffle) or, for the order-dependent pair fold, a
-tree reduction whose buckets are bounded, so a (name, period) group holding
-a third of all rows never lands whole in one task.
+streamed two-step fold, so a (name, period) group holding a third of all rows
+is never gathered.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_tick, tick_is_valid
+from ..session import ship_package
 
 TOP_STREAM = 10  # fixed: top-N per micro-batch in the reference
 
@@ -40,99 +45,138 @@ def tick_count(ticks: DataFrame, name: str = "name", period: str = "currMonth")
 
 
 def trend_compound(ticks: DataFrame, name: str = "name", period: str = "currMonth",
-                   pct: str = "stockUpAndDrop", digits: int = 6) -> DataFrame:
-    """Growth factor Π(1 + p/100) per (name, month) and the same as a
-    percent, (Π − 1)·100; both rounded.  ``product`` is a declarative
-    aggregate (partial per map task)."""
+                   pct: str = "stockUpAndDrop") -> DataFrame:
+    """Growth factor Π(1 + p/100) per (name, month) as ``trend`` and the
+    same as a percent, (Π − 1)·100, both unrounded.  ``product`` is a
+    declarative aggregate (partial per map task)."""
     f = F.product(F.lit(1.0) + F.col(pct) / 100)
     return (ticks.groupBy(F.col(name).alias("name"), F.col(period).alias("month"))
-            .agg(f.alias("_f"))
-            .select("name", "month", F.round("_f", digits).alias("trend"),
-                    F.round((F.col("_f") - 1) * 100, digits).alias("trend_pct")))
+            .agg(f.alias("trend"))
+            .select("name", "month", "trend", ((F.col("trend") - 1) * 100).alias("trend_pct")))
 
 
-# -- A9: the literal fold, as an associative composition -----------------------
+# -- A9: the literal fold ------------------------------------------------------
 #
 # The reference folds a group with (l, r) -> (1 + l/100) * (1 + r/100).  Read
-# left to right from the first value p1, each later value p applies the map
-# x -> c + (c/100)·x with c = 1 + p/100: an affine map.  A segment of the
-# ordered group is summarised as (first, v, A, B): its first value, the fold
-# of its values in order (v), and the composition x -> A + B·x of the maps of
-# its values after the first.  Adjacent segments combine associatively, so a
-# group can be merged in any tree shape as long as order is kept.
-
-def _step(acc: Column, p: Column) -> Column:
-    return (F.lit(1.0) + acc / 100) * (F.lit(1.0) + p / 100)
-
-
-def _bucket_segment(items: Column) -> Column:
-    """(first, v, A, B) of a bounded, seq-sorted array of (seq, p)."""
-    head = F.element_at(items, 1)
-    rest = F.slice(items, 2, F.size(items))
-    v = F.aggregate(rest, head["p"], lambda acc, x: _step(acc, x["p"]))
-    ab = F.aggregate(rest, F.struct(F.lit(0.0).alias("A"), F.lit(1.0).alias("B")),
-                     lambda acc, x: F.struct(
-                         ((F.lit(1.0) + x["p"] / 100) + (F.lit(1.0) + x["p"] / 100) / 100 * acc["A"]).alias("A"),
-                         ((F.lit(1.0) + x["p"] / 100) / 100 * acc["B"]).alias("B")))
-    return F.struct(head["p"].alias("first"), v.alias("v"), ab["A"].alias("A"), ab["B"].alias("B"))
-
-
-def _seg_combine(s1: Column, s2: Column) -> Column:
-    c2 = F.lit(1.0) + s2["first"] / 100
-    a2f = s2["A"] + s2["B"] * c2          # s2's maps including its first value
-    b2f = s2["B"] * (c2 / 100)
-    return F.struct(s1["first"].alias("first"), (a2f + b2f * s1["v"]).alias("v"),
-                    (a2f + b2f * s1["A"]).alias("A"), (b2f * s1["B"]).alias("B"))
+# from the first value on, a later value p applies the map x -> c·(1 + x/100)
+# with c = 1 + p/100.  The maps of a run of values compose to one:
+#
+# * for a finite x and y = 1 + x/100, to A + B·y as long as all c are finite.
+#   An infinite c leaves only the sign of what it is multiplied with, which is
+#   A + B·y again, times ``tail``: the signs of it and of all that follow;
+# * an infinite x stays infinite, its sign times ``sign``, that of all c.
+#
+# A sign of zero is not a number, as infinity times zero is.  A map is
+# (A, B, sign, has an infinite c, tail); None is that of no value.
+
+def _sign(v: float) -> float:
+    return math.copysign(1.0, v) if v == v and v != 0 else math.nan
+
+
+def _then(m: tuple | None, p: float) -> tuple:
+    """The composed map ``m`` followed by the map of one more value."""
+    c = 1.0 + p / 100
+    s = _sign(c)
+    a, b, sign, cut, tail = m or (0.0, c, 1.0, False, 1.0)
+    if cut:
+        return a, b, sign * s, True, tail * s
+    if math.isinf(c):
+        return (1.0 + a / 100, b / 100, sign * s, True, s) if m else (0.0, 1.0, s, True, s)
+    return (c * (1.0 + a / 100), c * (b / 100), sign * s, False, 1.0) if m else (0.0, c, s, False, 1.0)
+
+
+def _apply(m: tuple | None, x: float) -> float:
+    if m is None or x != x:
+        return x
+    a, b, sign, cut, tail = m
+    if math.isinf(x):
+        return x * sign
+    v = a + b * (1.0 + x / 100)
+    return _sign(v) * math.inf * tail if cut else v
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, month, run, p) in order -> one row per run: its first value
+    and the map of the others."""
+    done: list[tuple] = []
+    key = first = m = None
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*done))
+        done.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()),
+             *(pa.array(c, pa.float64()) for c in cols[3:7]), pa.array(cols[7], pa.bool_()),
+             pa.array(cols[8], pa.float64())],
+            names=["name", "month", "run", "first", "a", "b", "sign", "cut", "tail"])
+
+    for batch in batches:
+        for *k, p in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                if key is not None:
+                    done.append((*key, first, *(m or [None] * 5)))
+                key, first, m = k, p, None
+            else:
+                m = _then(m, p)
+        if len(done) > 10_000:
+            yield flush()
+    if key is not None:
+        done.append((*key, first, *(m or [None] * 5)))
+        yield flush()
+
+
+def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in order -> (name, month, fold of the whole group)."""
+    done: list[tuple] = []
+    key, x = None, 0.0
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*done))
+        done.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())],
+            names=["name", "month", "trend_fold"])
+
+    for batch in batches:
+        for name, month, _, first, *m in zip(*(c.to_pylist() for c in batch.columns)):
+            if (name, month) != key:
+                if key is not None:
+                    done.append((*key, x))
+                key, x = (name, month), first
+            else:
+                x = _apply(_then(None, first), x)
+            x = _apply(None if m[0] is None else tuple(m), x)
+        if len(done) > 10_000:
+            yield flush()
+    if key is not None:
+        done.append((*key, x))
+        yield flush()
 
 
 def trend_pairfold(ticks: DataFrame, name: str = "name", period: str = "currMonth",
-                   pct: str = "stockUpAndDrop", seq: str = "seq", bucket_rows: int = 512,
-                   digits: int = 6) -> DataFrame:
-    """The reference's literal fold per (name, month) in arrival order.
-
-    Groups of at most ``bucket_rows`` rows are folded in one bucket, in the
-    reference's own arithmetic order.  Larger groups are cut into buckets of
-    the seq range (``seq`` is unique, so a bucket holds at most
-    ``bucket_rows`` rows), each summarised as a segment; segments are then
-    merged level by level, bucket_rows at a time, until one per group is
-    left.  No group is ever collected whole.  Group sizes come from a partial
-    count, and only the list of large groups is joined back; one small
-    driver read gives the seq span that bounds the levels.
+                   pct: str = "stockUpAndDrop", seq: str = "seq", run_rows: int = 4096) -> DataFrame:
+    """The reference's literal fold per (name, month) in arrival order,
+    unrounded; values that share a ``seq`` go by value.
+
+    Every group is cut into runs of the seq range (``run_rows`` numbers each);
+    a run is folded into its first value and one map, and a group's runs are
+    then joined in order.  Both steps stream sorted rows and keep a few
+    numbers, so a huge group is spread over many tasks first and never
+    gathered.  The same formula serves every group; ``run_rows`` only changes
+    rounding.  A null value counts as 0.
     """
-    keys = ["name", "month"]
-    rows = ticks.select(F.col(name).alias("name"), F.col(period).alias("month"),
-                        F.col(seq).cast("bigint").alias("seq"),
-                        F.col(pct).cast("double").alias("p"))
-    span = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    if span["lo"] is None:
-        return rows.select(*keys, F.lit(0.0).alias("trend_fold")).limit(0)
-    lo, width = int(span["lo"]), int(span["hi"]) - int(span["lo"]) + 1
-    # Only groups above bucket_rows need the tree; that list has at most
-    # rows / bucket_rows entries, so AQE can broadcast it after measuring it
-    # and the rows (hot group included) are not shuffled for this join.
-    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-           .where(F.col("_k") > bucket_rows).select(*keys, F.lit(True).alias("_hot")))
-    rows = rows.join(hot, keys, "left")
-    big = F.coalesce(F.col("_hot"), F.lit(False))
-    bucket = F.when(big, F.floor((F.col("seq") - F.lit(lo)) / F.lit(bucket_rows))).otherwise(F.lit(-1))
-    segs = (rows.groupBy(*keys, big.alias("_big"), bucket.alias("_b"))
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("_l"))
-            .select(*keys, "_big", "_b", F.element_at("_l", 1)["seq"].alias("seq"),
-                    _bucket_segment(F.col("_l")).alias("seg")))
-    done = segs.where(~F.col("_big")).select(*keys, "seg")
-    todo = segs.where(F.col("_big")).select(*keys, "seq", "seg")
-    size = bucket_rows
-    while size < width:
-        size *= bucket_rows
-        b = F.floor((F.col("seq") - F.lit(lo)) / F.lit(size))
-        grouped = (todo.groupBy(*keys, b.alias("_b"))
-                   .agg(F.array_sort(F.collect_list(F.struct("seq", "seg"))).alias("_l")))
-        head = F.element_at("_l", 1)
-        merged = F.aggregate(F.slice("_l", 2, F.size("_l")), head["seg"],
-                             lambda acc, x: _seg_combine(acc, x["seg"]))
-        todo = grouped.select(*keys, head["seq"].alias("seq"), merged.alias("seg"))
-    out = done.unionByName(todo.select(*keys, "seg"))
-    return out.select(*keys, F.round(F.col("seg.v"), digits).alias("trend_fold"))
+    ship_package(ticks.sparkSession)
+    rows = ticks.select(F.col(name).cast("string").alias("name"), F.col(period).cast("string").alias("month"),
+                        F.floor(F.col(seq).cast("bigint") / F.lit(run_rows)).cast("bigint").alias("run"),
+                        F.coalesce(F.col(pct).cast("double"), F.lit(0.0)).alias("p"),
+                        F.col(seq).cast("bigint").alias("seq"))
+    runs = (rows.repartition("name", "month", "run")
+            .sortWithinPartitions("name", "month", "run", "seq", "p")
+            .select("name", "month", "run", "p")
+            .mapInArrow(_runs, "name string, month string, run bigint, first double, a double, "
+                               "b double, sign double, cut boolean, tail double"))
+    return (runs.repartition("name", "month").sortWithinPartitions("name", "month", "run")
+            .mapInArrow(_join_runs, "name string, month string, trend_fold double"))
 
 
 # -- top lists ----------------------------------------------------------------
@@ -192,26 +236,20 @@ def running_total(counts: DataFrame, name: str = "name", total: str = "total") -
 
 
 def latest_period_run(msgs: DataFrame, period: str = "month", seq: str = "seq") -> DataFrame:
-    """W7 (batch form): the last run of equal periods in arrival order.
+    """W7 (batch form): the last run of equal periods in arrival order; a null
+    period is a period of its own.
 
     The dashboard keeps appending while a message's period equals the
     previous one's and restarts otherwise, so what it shows at the end is
-    every row after the last row of a *different* period than the final
-    one.  Two global declarative aggregates (partial per task, one row out)
-    give the final period and that cut; the filter then runs in parallel.
+    every row after the last row of a *different* period than the final one.
+    One partial aggregate gives the last ``seq`` of each period; the largest
+    belongs to the final period and the second largest is the cut.  They make
+    a table of one row, which is joined back on the period.
     """
-    last = msgs.agg(F.max_by(F.col(period), F.col(seq)).alias("_last")).first()
-    if last is None or last["_last"] is None:
-        return msgs.limit(0)
-    cut = (msgs.where(F.col(period) != F.lit(last["_last"]))
-               .agg(F.max(seq).alias("_cut")).first()["_cut"])
-    if cut is None:
-        return msgs
-    return msgs.where(F.col(seq) > _literal(cut))
-
-
-def _literal(v) -> Column:
-    """A driver-side value (scalar or Row of a struct key) as a literal."""
-    if hasattr(v, "asDict"):
-        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
-    return F.lit(v)
+    ends = msgs.groupBy(F.struct(F.col(period).alias("p")).alias("_last")).agg(F.max(seq).alias("_end"))
+    two = ends.orderBy(F.col("_end").desc()).limit(2)
+    one = two.agg(F.max_by("_last", "_end").alias("_last"),
+                  F.when(F.count(F.lit(1)) == 2, F.min("_end")).alias("_cut"))
+    same = F.struct(F.col(period).alias("p")).eqNullSafe(F.col("_last"))
+    after = F.col("_cut").isNull() | (F.col(seq) > F.col("_cut"))
+    return msgs.join(F.broadcast(one), same & after).drop("_last", "_cut")

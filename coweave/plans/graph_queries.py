@@ -28,15 +28,14 @@ def membership_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> g
 # --------------------------------------------------------------------------
 # SQL building blocks (DuckDB)
 
-M_SQL = ("select distinct l_orderkey as work_id, l_suppkey as member from lineitem "
-         "where l_discount >= 0.09 and l_returnflag = 'R'")
+M_SQL = "select distinct l_orderkey as work_id, l_partkey as member from lineitem"
 E_SQL = ("select a.member as src, b.member as dst, count(*) as w from m a "
          "join m b on a.work_id = b.work_id and a.member < b.member "
          "group by a.member, b.member")
 S_SQL = "select src, dst, w from e union all select dst as src, src as dst, w from e"
-V_SQL = ("select s_suppkey as id, s_name as name from supplier union all "
+V_SQL = ("select p_partkey as id, max(p_name) as name from part group by p_partkey union all "
          "select x.id, '' as name from (select src as id from e union select dst from e) x "
-         "where x.id not in (select s_suppkey from supplier)")
+         "where x.id not in (select p_partkey from part)")
 GRAPH_CTE = f"with m as ({M_SQL}), e as ({E_SQL}), s as ({S_SQL}), v as ({V_SQL})"
 
 
@@ -59,10 +58,15 @@ SQL_COOCCUR_EDGES = f"with m as ({M_SQL}), e as ({E_SQL}) select src, dst, w fro
 
 
 def q_coop_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1 + J1 + T3: the 20 members with the most co-works."""
-    g = membership_graph(spark, sf_dir)
-    d = gr.attach_label(gr.weighted_degree(g), g.vertices)
-    return ranking.top_n(d, "coworks", TOP).select("rank", "id", "name", "coworks")
+    """A1 + J1 + T3: the 20 members with the most co-works, without building
+    any pair."""
+    return ranking.top_n(_coworks(spark, sf_dir), "coworks", TOP).select("rank", "id", "name", "coworks")
+
+
+def _coworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, coworks, name) of every member that shares a work."""
+    d = cooccur.weighted_degree_from_memberships(td.memberships(spark, sf_dir))
+    return gr.attach_label(d, td.vertices(spark, sf_dir))
 
 
 SQL_COOP_TOP20 = _top_sql(
@@ -161,9 +165,9 @@ ORACLES = {
 # --------------------------------------------------------------------------
 # triangles, k-hop, snowball, PageRank, Pregel, heavy edges
 
-from ..operators import khop, pagerank as prk, pregel, triangles as tri  # noqa: E402
+from ..operators import khop, pagerank as prk, triangles as tri  # noqa: E402
 
-K_HOP = 2        # fixed: rounds of the reference's two-hop Pregel
+K_HOP = 2        # fixed: rounds of the reference's two-hop ring
 TOL = 0.001      # fixed: PageRank tolerance of the reference
 SNOWBALL_ROUNDS = 3
 
@@ -195,49 +199,40 @@ SQL_TRIANGLE_TOP20 = (
     f"id, name, triangles from d order by triangles desc, name asc, id asc limit {TOP}")
 
 
-def q_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (id, other) at shortest distance exactly 2 (frontier form)."""
-    return khop.khop_ring(membership_graph(spark, sf_dir, reuse=True), K_HOP)
-
-
-SQL_TWO_HOP = (f"{GRAPH_CTE}, p2 as (select distinct x.src as id, y.dst as other from s x "
-               "join s y on x.dst = y.src) "
-               "select id, other from p2 where id <> other except select src, dst from s")
-
-
-def q_two_hop_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G8 + M1/M2/F3: the same ring by the reference's map-passing supersteps."""
-    return pregel.khop_ring_pregel(membership_graph(spark, sf_dir, reuse=True), K_HOP)
-
-
 def _top_neighbour_seeds(g: gr.CoGraph, n: int) -> DataFrame:
     d = gr.attach_label(gr.neighbour_count(g), g.vertices)
     return ranking.top_n(d, "neighbours", n).select("id")
 
 
-def q_two_hop_of_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G5 + J2: two-hop ring of the two best-connected members, labelled."""
-    g = membership_graph(spark, sf_dir, reuse=True)
-    return khop.khop_ring_labelled(g, K_HOP, _top_neighbour_seeds(g, 2))
+def _ring_query(k: int):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = membership_graph(spark, sf_dir, reuse=True)
+        return khop.khop_ring_labelled(g, k, _top_neighbour_seeds(g, 2))
+    q.__doc__ = f"""G4 + G5 + J2: {k}-hop ring of the two best-connected members, labelled."""
+    return q
 
 
-SQL_TWO_HOP_OF_TOP2 = (
-    f"{GRAPH_CTE}, seeds as (select d.id from (select dst as id, count(*) as n from s group by dst) d "
-    "join v on v.id = d.id order by d.n desc, v.name asc, d.id asc limit 2), "
-    "p2 as (select distinct x.src as id, y.dst as other from s x join s y on x.dst = y.src "
-    "where x.src in (select id from seeds)), "
-    "r as (select id, other from p2 where id <> other except select src, dst from s) "
-    "select r.id as seed_id, a.name as seed_name, r.other as id, b.name as name "
-    "from r join v a on a.id = r.id join v b on b.id = r.other")
+def _ring_sql(k: int) -> str:
+    steps = ["r0 as (select id, id as other from seeds)"]
+    for r in range(1, k + 1):
+        nearer = " union all ".join(f"select id, other from r{i}" for i in range(r))
+        steps.append(f"r{r} as (select distinct p.id, s.dst as other from r{r - 1} p join s on s.src = p.other "
+                     f"except ({nearer}))")
+    return (f"{GRAPH_CTE}, seeds as (select d.id from (select dst as id, count(*) as n from s group by dst) d "
+            "join v on v.id = d.id order by d.n desc, v.name asc, d.id asc limit 2), " + ", ".join(steps) +
+            " select r.id as seed_id, a.name as seed_name, r.other as id, b.name as name "
+            f"from r{k} r join v a on a.id = r.id join v b on b.id = r.other")
 
 
 def q_snowball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds of expansion from the member with the most co-works."""
-    g = membership_graph(spark, sf_dir, reuse=True)
-    d = gr.attach_label(gr.weighted_degree(g), g.vertices)
-    seed = ranking.top_n(d, "coworks", 1).select(F.col("id").alias("member"))
-    return khop.snowball_labelled(td.memberships(spark, sf_dir), seed, g.vertices,
-                                  SNOWBALL_ROUNDS)
+    return khop.snowball_labelled(td.memberships(spark, sf_dir), _busiest(spark, sf_dir),
+                                  td.vertices(spark, sf_dir), SNOWBALL_ROUNDS)
+
+
+def _busiest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member with the most co-works, found without building pairs."""
+    return ranking.top_n(_coworks(spark, sf_dir), "coworks", 1).select(F.col("id").alias("member"))
 
 
 def _snowball_sql(tail: str) -> str:
@@ -267,10 +262,7 @@ SQL_SNOWBALL = _snowball_sql(
 
 def q_snowball_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership rows of the works the expansion collected."""
-    g = membership_graph(spark, sf_dir, reuse=True)
-    d = gr.attach_label(gr.weighted_degree(g), g.vertices)
-    seed = ranking.top_n(d, "coworks", 1).select(F.col("id").alias("member"))
-    _, works = khop.snowball(td.memberships(spark, sf_dir), seed, SNOWBALL_ROUNDS)
+    _, works = khop.snowball(td.memberships(spark, sf_dir), _busiest(spark, sf_dir), SNOWBALL_ROUNDS)
     return works.select("work_id", "member")
 
 
@@ -280,10 +272,12 @@ SQL_SNOWBALL_WORKS = _snowball_sql(
 
 def q_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 + J3: PageRank to tolerance 0.001 for every member, rounded to 6."""
+    return _pageranks(spark, sf_dir).select("id", "name", F.round("pagerank", 6).alias("pagerank"))
+
+
+def _pageranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = membership_graph(spark, sf_dir, reuse=True)
-    pr = prk.pagerank(g, TOL)
-    return (gr.outer_join_vertices(g, pr, "pagerank")
-            .select("id", "name", F.round("pagerank", 6).alias("pagerank")))
+    return gr.outer_join_vertices(g, prk.pagerank(g, TOL), "pagerank")
 
 
 PR_SQL = (
@@ -301,21 +295,22 @@ PR_SQL = (
     " on mm.dst = p.id"
     f" where exists (select 1 from pr q join od on od.id = q.id where q.active and q.delta > {TOL})), "
     "fin as (select id, rank from pr where it = (select max(it) from pr)), "
-    "prn as (select fin.id, v.name, round(fin.rank * (select count(*) from fin) / "
-    "(select sum(rank) from fin), 6) as pagerank from fin join v on v.id = fin.id)")
-SQL_PAGERANK = f"{GRAPH_CTE.replace('with ', 'with recursive ', 1)}, {PR_SQL} select id, name, pagerank from prn"
+    "prn as (select fin.id, v.name, fin.rank * (select count(*) from fin) / "
+    "(select sum(rank) from fin) as pagerank from fin join v on v.id = fin.id)")
+SQL_PAGERANK = (f"{GRAPH_CTE.replace('with ', 'with recursive ', 1)}, {PR_SQL} "
+                "select id, name, round(pagerank, 6) as pagerank from prn")
 
 
 def q_pagerank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2 + T3: the 20 highest PageRanks."""
-    return ranking.top_n(q_pagerank(spark, sf_dir), "pagerank", TOP).select(
-        "rank", "id", "name", "pagerank")
+    """G2 + T3: the 20 highest PageRanks, ranked before rounding."""
+    top = ranking.top_n(_pageranks(spark, sf_dir), "pagerank", TOP)
+    return top.select("rank", "id", "name", F.round("pagerank", 6).alias("pagerank"))
 
 
 SQL_PAGERANK_TOP20 = (
     f"{GRAPH_CTE.replace('with ', 'with recursive ', 1)}, {PR_SQL} "
     "select cast(row_number() over (order by pagerank desc, name asc, id asc) as integer) as rank, "
-    f"id, name, pagerank from prn order by pagerank desc, name asc, id asc limit {TOP}")
+    f"id, name, round(pagerank, 6) as pagerank from prn order by prn.pagerank desc, name asc, id asc limit {TOP}")
 
 
 def q_heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,9 +339,9 @@ SQL_NODE_CATEGORY = (
 QUERIES.update({
     "triangle_counts": q_triangle_counts,
     "triangle_top20": q_triangle_top20,
-    "two_hop": q_two_hop,
-    "two_hop_pregel": q_two_hop_pregel,
-    "two_hop_of_top2": q_two_hop_of_top2,
+    "one_hop_of_top2": _ring_query(1),
+    "two_hop_of_top2": _ring_query(K_HOP),
+    "three_hop_of_top2": _ring_query(3),
     "snowball": q_snowball,
     "snowball_works": q_snowball_works,
     "pagerank": q_pagerank,
@@ -357,9 +352,9 @@ QUERIES.update({
 ORACLES.update({
     "triangle_counts": SQL_TRIANGLE_COUNTS,
     "triangle_top20": SQL_TRIANGLE_TOP20,
-    "two_hop": SQL_TWO_HOP,
-    "two_hop_pregel": SQL_TWO_HOP,
-    "two_hop_of_top2": SQL_TWO_HOP_OF_TOP2,
+    "one_hop_of_top2": _ring_sql(1),
+    "two_hop_of_top2": _ring_sql(K_HOP),
+    "three_hop_of_top2": _ring_sql(3),
     "snowball": SQL_SNOWBALL,
     "snowball_works": SQL_SNOWBALL_WORKS,
     "pagerank": SQL_PAGERANK,
@@ -370,7 +365,7 @@ ORACLES.update({
 
 
 # --------------------------------------------------------------------------
-# the denser second graph: users sharing a purchase hour
+# the denser second graph: users with an event of one type in one hour
 
 def event_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> gr.CoGraph:
     edges = cooccur.cooccurrence_edges(td.event_memberships(spark, sf_dir))
@@ -378,9 +373,9 @@ def event_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> gr.CoG
     return g.materialized(td.event_vertices(spark, sf_dir)) if reuse else g
 
 
-EM_SQL = ("select distinct date_trunc('hour', ts) as work_id, user_id as member from events "
-          "where event_type = 'purchase'")
-EV_CTE = (f"with m as ({EM_SQL}), e as ({E_SQL}), s as ({S_SQL}), "
+EM_SQL = "select distinct event_type, date_trunc('hour', ts) as work_hour, user_id as member from events"
+EE_SQL = E_SQL.replace("a.work_id = b.work_id", "a.event_type = b.event_type and a.work_hour = b.work_hour")
+EV_CTE = (f"with m as ({EM_SQL}), e as ({EE_SQL}), s as ({S_SQL}), "
           "v as (select distinct user_id as id, cast(user_id as varchar) as name from events)")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import encode_message, message_route
+from ..functions.scalars import encode_message, route_of
 from ..operators import ticks as tk
 from ..sources import testdata as td
 
@@ -34,9 +34,16 @@ T_SQL = (
 R_SQL = ("select event_id as seq, cast(user_id as varchar) as name, (value % 20) - 10 as pct, "
          "strftime(ts, '%Y-%m-%d') as period, event_type from events")
 C_SQL = "select name, currMonth as month, count(*) as total from t group by name, currMonth"
-TR_SQL = ("select name, currMonth as month, round(product(1 + stockUpAndDrop / 100), 6) as trend, "
-          "round((product(1 + stockUpAndDrop / 100) - 1) * 100, 6) as trend_pct "
+TR_SQL = ("select name, currMonth as month, product(1 + stockUpAndDrop / 100) as trend, "
+          "(product(1 + stockUpAndDrop / 100) - 1) * 100 as trend_pct "
           "from t group by name, currMonth")
+ROUND_SQL = "name, month, round(trend, 6) as trend, round(trend_pct, 6) as trend_pct"
+
+
+def _rounded(trends: DataFrame) -> DataFrame:
+    """Only what a query returns is rounded, never what is ranked."""
+    return trends.select("name", "month", F.round("trend", 6).alias("trend"),
+                         F.round("trend_pct", 6).alias("trend_pct"))
 
 
 def q_tick_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +64,20 @@ SQL_TICK_COUNT = f"with t as ({T_SQL}) {C_SQL}"
 
 def q_tick_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compound growth per (name, month), factor and percent."""
+    return _rounded(_trends(spark, sf_dir))
+
+
+def _trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.trend_compound(parsed_ticks(spark, sf_dir))
 
 
-SQL_TICK_TREND = f"with t as ({T_SQL}) {TR_SQL}"
+SQL_TICK_TREND = f"with t as ({T_SQL}), c as ({TR_SQL}) select {ROUND_SQL} from c"
 
 
 def q_tick_trend_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's literal pair fold in arrival order."""
-    return tk.trend_pairfold(parsed_ticks(spark, sf_dir))
+    return tk.trend_pairfold(parsed_ticks(spark, sf_dir)).select(
+        "name", "month", F.round("trend_fold", 6).alias("trend_fold"))
 
 
 SQL_TICK_TREND_FOLD = (
@@ -86,11 +98,11 @@ SQL_TICK_COUNT_TOP10 = (f"with t as ({T_SQL}), c as ({C_SQL}) select * from c "
 
 def q_tick_trend_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: the ten largest trends of the batch."""
-    return tk.batch_top_trends(q_tick_trend(spark, sf_dir))
+    return _rounded(tk.batch_top_trends(_trends(spark, sf_dir)))
 
 
-SQL_TICK_TREND_TOP10 = (f"with t as ({T_SQL}), c as ({TR_SQL}) select * from c "
-                        f"order by trend desc, name, month limit {TOP}")
+SQL_TICK_TREND_TOP10 = (f"with t as ({T_SQL}), c as ({TR_SQL}) select {ROUND_SQL} from c "
+                        f"order by c.trend desc, name, month limit {TOP}")
 
 
 def q_tick_top10_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +133,21 @@ def q_tick_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.latest_period_run(r, "month", "seq")
 
 
+def q_tick_latest_run_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 where messages without a period are a run of their own: 'view'
+    events carry none."""
+    month = F.when(F.col("event_type") != "view", F.col("event_type"))
+    r = td.tick_rows(spark, sf_dir).select("seq", "name", month.alias("month"), "pct")
+    return tk.latest_period_run(r, "month", "seq")
+
+
+SQL_TICK_LATEST_RUN_NULLS = (
+    f"with r as (select *, nullif(event_type, 'view') as month from ({R_SQL})), "
+    "l as (select month as last from r order by seq desc limit 1), "
+    "c as (select coalesce(max(r.seq), -1) as cut from r, l where r.month is distinct from l.last) "
+    "select r.seq, r.name, r.month, r.pct from r, c where r.seq > c.cut")
+
+
 SQL_TICK_LATEST_RUN = (
     f"with r as ({R_SQL}), l as (select arg_max(event_type, seq) as last from r), "
     "c as (select coalesce(max(r.seq), -1) as cut from r, l where r.event_type <> l.last) "
@@ -145,15 +172,18 @@ SQL_TICK_DAY_BATCHES = (
 def q_message_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P14 + F4 + X4: count and trend results encoded as JSON messages on
     one merged topic, then routed back by their keys."""
-    c = q_tick_count(spark, sf_dir)
-    t = q_tick_trend(spark, sf_dir)
-    msgs = (c.select(encode_message({"name": F.col("name"), "month": F.col("month"),
-                                     "total": F.col("total")}).alias("value"))
-            .unionByName(t.select(encode_message({"name": F.col("name"), "month": F.col("month"),
-                                                  "trend": F.col("trend")}).alias("value"))))
-    routed = msgs.select(message_route(F.col("value")).alias("route"),
-                         F.get_json_object("value", "$.name").alias("name"),
-                         F.get_json_object("value", "$.month").alias("month"))
+    ticks = parsed_ticks(spark, sf_dir)
+    # one pass gives both results; each row makes a message for either topic
+    both = (ticks.groupBy("name", F.col("currMonth").alias("month"))
+            .agg(F.count(F.lit(1)).alias("total"),
+                 F.product(F.lit(1.0) + F.col("stockUpAndDrop") / 100).alias("trend")))
+    key = {"name": F.col("name"), "month": F.col("month")}
+    msgs = both.select(F.explode(F.array(encode_message(key | {"total": F.col("total")}),
+                                         encode_message(key | {"trend": F.col("trend")}))).alias("value"))
+    # read back with a single parse
+    m = msgs.select(F.from_json("value", "map<string,string>").alias("m"))
+    routed = m.select(route_of(F.col("m")).alias("route"), F.col("m")["name"].alias("name"),
+                      F.col("m")["month"].alias("month"))
     return routed.where(F.col("route").isNotNull())
 
 
@@ -173,6 +203,7 @@ QUERIES = {
     "tick_top10_per_day": q_tick_top10_per_day,
     "tick_running_total": q_tick_running_total,
     "tick_latest_run": q_tick_latest_run,
+    "tick_latest_run_nulls": q_tick_latest_run_nulls,
     "tick_day_batches": q_tick_day_batches,
     "message_routes": q_message_routes,
 }
@@ -186,6 +217,7 @@ ORACLES = {
     "tick_top10_per_day": SQL_TICK_TOP10_PER_DAY,
     "tick_running_total": SQL_TICK_RUNNING_TOTAL,
     "tick_latest_run": SQL_TICK_LATEST_RUN,
+    "tick_latest_run_nulls": SQL_TICK_LATEST_RUN_NULLS,
     "tick_day_batches": SQL_TICK_DAY_BATCHES,
     "message_routes": SQL_MESSAGE_ROUTES,
 }
@@ -193,13 +225,13 @@ ORACLES = {
 
 def q_tick_trend_top10_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 with ``per_period=True`` (Q6): ten largest trends of every day."""
-    return tk.batch_top_trends(q_tick_trend(spark, sf_dir), per_period=True)
+    return _rounded(tk.batch_top_trends(_trends(spark, sf_dir), per_period=True))
 
 
 SQL_TICK_TREND_TOP10_PER_DAY = (
     f"with t as ({T_SQL}), c as ({TR_SQL}), r as (select *, row_number() over "
     "(partition by month order by trend desc, name asc) as rn from c) "
-    f"select name, month, trend, trend_pct from r where rn <= {TOP}")
+    f"select {ROUND_SQL} from r where rn <= {TOP}")
 
 QUERIES["tick_trend_top10_per_day"] = q_tick_trend_top10_per_day
 ORACLES["tick_trend_top10_per_day"] = SQL_TICK_TREND_TOP10_PER_DAY

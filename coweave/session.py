@@ -8,6 +8,9 @@ without that setting (unit tests, laptops) gets a fresh scratch folder.
 
 from __future__ import annotations
 
+import os
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -69,7 +72,7 @@ def cut_lineage(df: DataFrame, observe: list[Column] | None = None
     """Write ``df`` as a parquet table under ``spark.checkpoint.dir`` and
     return a DataFrame reading it back.
 
-    Used by driver loops (PageRank, k-hop, snowball, Pregel) so plans stay
+    Used by driver loops (PageRank, k-hop, snowball) so plans stay
     short and a lost executor recomputes from the last written round, never
     from round zero.  One job per call: the write.  ``observe`` aggregates
     (e.g. "how many vertices still send") are computed by that same job via
@@ -84,6 +87,36 @@ def cut_lineage(df: DataFrame, observe: list[Column] | None = None
         df = df.observe(obs, *observe)
     df.write.parquet(path)
     out = df.sparkSession.read.parquet(path)
+    out._written_to = path
     if observe:
         return out, dict(obs.get)
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``cut_lineage`` that a loop has superseded.
+    Nothing may read ``df`` any more."""
+    path = getattr(df, "_written_to", None)
+    if path is not None:
+        jvm = df.sparkSession._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path under ``spark.checkpoint.dir`` for files that a query
+    writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/coweave-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they run: it
+    is shipped once per session as a zip file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_coweave_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="coweave-"), package.name),
+                                  "zip", root_dir=package.parent, base_dir=package.name)
+    sc.addPyFile(archive)
+    sc._coweave_shipped = True

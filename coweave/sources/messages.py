@@ -10,27 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, discard
 
-def read_tick_stream(spark: SparkSession, fmt: str = "text", path: str | None = None,
-                     topic: str | None = None, servers: str | None = None,
+
+def read_tick_stream(spark: SparkSession, fmt: str = "text", path: str | list[str] | None = None,
+                     topic: str | list[str] | None = None, servers: str | None = None,
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame with one ``value STRING`` column.
+    """A streaming DataFrame with ``value STRING`` and ``arrival``, a
+    struct that sorts messages in the order they came (file blocks, for files).
 
     kafka: subscribe to ``topic`` from the latest offset (offsets live in the
     query checkpoint, not in the broker: auto-commit off, W9).  text: every
-    new file of ``path``, optionally a few files per trigger (W10).
+    new file of ``path``, optionally a few files per trigger (W10).  Several
+    topics or paths are read as one stream (X4).
     """
     if fmt == "kafka":
         r = (spark.readStream.format("kafka")
              .option("kafka.bootstrap.servers", servers)
-             .option("subscribe", topic)
+             .option("subscribe", topic if isinstance(topic, str) else ",".join(topic or []))
              .option("startingOffsets", "latest")
              .load())
-        return r.select(F.col("value").cast("string").alias("value"))
-    r = spark.readStream.format("text")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(path)
+        return r.select(F.col("value").cast("string").alias("value"),
+                        F.struct("timestamp", "topic", "partition", "offset").alias("arrival"))
+    out = None
+    for one in [path] if isinstance(path, str) else path or []:
+        r = spark.readStream.format("text")
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+        lines = r.load(one).select("value", F.struct(
+            "_metadata.file_modification_time", "_metadata.file_path",
+            "_metadata.file_block_start").alias("arrival"))
+        out = lines if out is None else out.unionByName(lines)
+    if out is None:
+        raise ValueError("a path or a topic is needed")
+    return out
 
 
 def to_messages(df: DataFrame, topic: str | None = None) -> DataFrame:
@@ -54,13 +67,20 @@ def write_messages(df: DataFrame, fmt: str = "text", path: str | None = None,
 
 
 def replay_as_messages(df: DataFrame, path: str, batch_col: str = "batch_no") -> None:
-    """S7 + W10: write the rows of each replay batch as one directory of JSON
-    lines, so a file stream with ``maxFilesPerTrigger`` feeds them batch by
-    batch in order."""
+    """S7 + W10: write each replay batch as a directory of JSON lines, one
+    batch after the other, so that a file stream, which reads by file time,
+    feeds them in the order of their numbers.
+
+    The rows are encoded once; a batch is then one parallel write of its own
+    rows.  The driver only sees the list of batch numbers (one per period).
+    """
     cols = [c for c in df.columns if c != batch_col]
-    df.select(F.col(batch_col), F.to_json(F.struct(*cols)).alias("value")) \
-      .repartition(batch_col) \
-      .write.partitionBy(batch_col).mode("overwrite").text(path)
+    encoded = cut_lineage(df.select(F.col(batch_col), F.to_json(F.struct(*cols)).alias("value")))
+    batches = sorted(r[0] for r in encoded.select(batch_col).distinct().collect())
+    for batch in batches:
+        encoded.where(F.col(batch_col) == F.lit(batch)).select("value") \
+               .write.mode("overwrite").text(f"{path.rstrip('/')}/{batch_col}={batch}")
+    discard(encoded)
 
 
 def write_metric(df: DataFrame, metric: str, path: str) -> None:

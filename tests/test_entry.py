@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 from coweave.operators import graph as gr
 from coweave.operators import ticks
+from coweave.plans import catalog
 from pyspark.sql import functions as F
 
 from conftest import graph_of
@@ -16,7 +17,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries())
 
 
 def test_reduce_by_key_and_map_vertices(spark):

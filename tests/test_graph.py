@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import graph_of
 from coweave.operators import graph as gr
-from coweave.operators import khop, pagerank, pregel, ranking, triangles
+from coweave.operators import khop, pagerank, ranking, triangles
 
 TRI_TAIL = [(1, 2), (2, 3), (1, 3), (3, 4)]
 PATH4 = [(1, 2), (2, 3), (3, 4)]
@@ -39,22 +40,27 @@ def test_path_has_no_triangle(spark):
     assert set(_map(t, "id", "triangles").values()) == {0}
 
 
+def _all(g):
+    return g.vertices.select("id")
+
+
 def test_two_hop_triangle_tail(spark):
-    ring = _ring(khop.khop_ring(graph_of(spark, TRI_TAIL), 2))
+    g = graph_of(spark, TRI_TAIL)
+    ring = _ring(khop.khop_ring(g, _all(g), 2))
     assert ring.get(4) == {1, 2}
     assert 3 not in ring
 
 
 def test_path_two_and_three_hops(spark):
     g = graph_of(spark, PATH4)
-    assert _ring(khop.khop_ring(g, 2))[1] == {3}
-    assert _ring(khop.khop_ring(g, 3))[1] == {4}
+    assert _ring(khop.khop_ring(g, _all(g), 2))[1] == {3}
+    assert _ring(khop.khop_ring(g, _all(g), 3))[1] == {4}
 
 
 def test_star(spark):
     g = graph_of(spark, STAR)
     assert _map(gr.neighbour_count(g), "id", "neighbours") == {1: 4, 2: 1, 3: 1, 4: 1, 5: 1}
-    ring = _ring(khop.khop_ring(g, 2))
+    ring = _ring(khop.khop_ring(g, _all(g), 2))
     for leaf in (2, 3, 4, 5):
         assert ring[leaf] == {2, 3, 4, 5} - {leaf}
     pr = _map(pagerank.pagerank(g, 0.001), "id", "pagerank")
@@ -87,7 +93,7 @@ def test_degree_extrema_ties_smallest_id(spark):
 
 def test_khop_one_is_neighbours(spark):
     g = graph_of(spark, TRI_TAIL)
-    ring = _ring(khop.khop_ring(g, 1))
+    ring = _ring(khop.khop_ring(g, _all(g), 1))
     assert ring == {1: {2, 3}, 2: {1, 3}, 3: {1, 2, 4}, 4: {3}}
 
 
@@ -101,12 +107,76 @@ def _random_graph(spark, seed, n=14, m=22):
     return graph_of(spark, sorted(edges))
 
 
-def test_pregel_map_form_equals_frontier_form(spark):
+def _distances(g):
+    near = {}
+    for e in g.edges.collect():
+        near.setdefault(e["src"], set()).add(e["dst"])
+        near.setdefault(e["dst"], set()).add(e["src"])
+    out = {}
+    for s in near:
+        seen, frontier, d = {s: 0}, {s}, 0
+        while frontier:
+            d += 1
+            frontier = {y for x in frontier for y in near[x]} - set(seen)
+            seen |= {y: d for y in frontier}
+        out[s] = seen
+    return out
+
+
+def test_ring_equals_shortest_distances(spark):
     for seed in (1, 2):
         g = _random_graph(spark, seed)
-        a = sorted(tuple(r) for r in khop.khop_ring(g, 2).collect())
-        b = sorted(tuple(r) for r in pregel.khop_ring_pregel(g, 2).select("id", "other").collect())
-        assert a == b
+        want = sorted((s, o) for s, seen in _distances(g).items() for o, d in seen.items() if d == 2)
+        assert sorted(tuple(r) for r in khop.khop_ring(g, _all(g), 2).collect()) == want
+
+
+def test_duplicate_vertex_ids_count_once(spark):
+    v = spark.createDataFrame([(1, "a"), (1, "a2"), (2, "b")], "id bigint, name string")
+    e = spark.createDataFrame([(1, 2, 1)], "src bigint, dst bigint, w bigint")
+    g = gr.build_graph(v, e)
+    assert sorted((r["id"], r["name"]) for r in g.vertices.collect()) == [(1, "a2"), (2, "b")]
+    assert gr.attach_label(gr.degree_table(g), g.vertices).count() == 2
+
+
+def test_triangles_at_a_hub_of_ten_thousand(spark):
+    n = 10_000
+    spokes = spark.range(1, n + 1).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"),
+                                          F.lit(1).cast("bigint").alias("w"))
+    rim = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"),
+                                   F.lit(1).cast("bigint").alias("w"))
+    names = spark.range(0, n + 1).select("id", F.lit("x").alias("name"))
+    t = triangles.triangle_count(gr.build_graph(names, spokes.union(rim)))
+    hub, total = t.agg(F.max(F.when(F.col("id") == 0, F.col("triangles"))), F.sum("triangles")).first()
+    assert (hub, total) == (n - 1, 3 * (n - 1))
+
+
+def test_pagerank_against_power_iteration(spark):
+    g = _random_graph(spark, 9, n=40, m=90)
+    near = {}
+    for e in g.edges.collect():
+        near.setdefault(e["src"], []).append(e["dst"])
+        near.setdefault(e["dst"], []).append(e["src"])
+    rank = {v: 1.0 for v in near}
+    for _ in range(300):
+        rank = {v: 0.15 + 0.85 * sum(rank[u] / len(near[u]) for u in near[v]) for v in near}
+    scale = len(rank) / sum(rank.values())
+    got = _map(pagerank.pagerank(g, 1e-6, rounds_per_job=5), "id", "pagerank")
+    assert all(abs(got[v] - rank[v] * scale) < 1e-4 for v in rank)
+
+
+def test_pagerank_raises_when_not_converged(spark):
+    with pytest.raises(RuntimeError, match="not converged"):
+        pagerank.pagerank(graph_of(spark, TRI_TAIL), 0.001, max_rounds=2)
+
+
+def test_pagerank_hub_above_default_salt(spark):
+    n = 5_000                                        # edges_per_salt is 4096
+    e = spark.range(1, n + 1).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"),
+                                     F.lit(1).cast("bigint").alias("w"))
+    g = gr.build_graph(spark.range(0, n + 1).select("id", F.lit("").alias("name")), e)
+    hub, leaf, total = pagerank.pagerank(g, 0.01).agg(
+        F.max("pagerank"), F.min("pagerank"), F.sum("pagerank")).first()
+    assert abs(total - (n + 1)) < 1e-6 and hub > 1000 * leaf
 
 
 def test_triangle_sum_divisible_by_three(spark):

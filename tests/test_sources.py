@@ -4,6 +4,7 @@ import glob
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import graph_of
@@ -18,11 +19,39 @@ def _write(path, name, content):
 
 
 def test_vertices_with_double_space(spark, tmp_dir):
-    _write(tmp_dir, "name.txt", "101 alice\n205  bob smith\nxx bad\n309 carol\n")
+    _write(tmp_dir, "name.txt", "101 alice\n205  bob smith\n309 carol\n")
     got = {r["id"]: r["name"] for r in text.read_vertices(spark, tmp_dir).collect()}
     assert got == {101: "alice", 205: "bob smith", 309: "carol"}
 
 
+def test_bad_lines_raise(spark, tmp_dir):
+    _write(tmp_dir + "/v", "name.txt", "101 alice\nxx bad\n")
+    _write(tmp_dir + "/e", "pairs.txt", "1 2 3\n1 two 3\n")
+    _write(tmp_dir + "/m", "101.txt", "101 205 x9 \n")
+    with pytest.raises(Exception, match="not an id: xx"):
+        text.read_vertices(spark, tmp_dir + "/v").collect()
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        text.read_edges(spark, tmp_dir + "/e").collect()
+    with pytest.raises(Exception, match="not an id: x9"):
+        text.read_memberships(spark, tmp_dir + "/m").collect()
+
+
+def test_work_ids_do_not_depend_on_the_splits(spark, tmp_dir):
+    _write(tmp_dir, "1.txt", "".join(f"1 {i} \n" for i in range(2, 40)))
+    _write(tmp_dir, "2.txt", "2 1 \n2 3 \n")
+    def ids():
+        return sorted((r["work_id"].rsplit("/", 1)[1], r["member"])
+                      for r in text.membership_rows(text.read_memberships(spark, tmp_dir)).collect())
+    whole = ids()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert ids() == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ("1.txt#0", 2) in whole and ("2.txt#1", 3) in whole
+
+
 def test_edges_round_trip(spark, tmp_dir):
     e = spark.createDataFrame([(1, 2, 3), (2, 5, 1)], "src bigint, dst bigint, w bigint")
     text.write_pair_counts(e, tmp_dir + "/pairs")
@@ -52,7 +81,7 @@ def test_write_memberships_and_vertices(spark, tmp_dir):
 
 
 def test_daily_csv(spark, tmp_dir):
-    head = "分类,1,2,3,4,5,6,7,8,9,10\nsub,a,b,c,d,e,f,g,h,i,j\n"
+    head = "head,1,2,3,4,5,6,7,8,9,10\nsub,a,b,c,d,e,f,g,h,i,j\n"
     _write(tmp_dir, "2024-01-02.csv", head + 'steel/x,1,1.5%,,,,,,,,\n"oil, crude/y",1,--,,,,,,,,\n')
     _write(tmp_dir, "2024-02-01.csv", head + "gold,1,2%,,,,,,,,\n")
     rows = sorted((r["file"], r["pos"], r["name"], r["pct"], r["month_key"])
