@@ -12,32 +12,35 @@ feeds and ends with a NUL byte, which is predicted too.
 Beside it stands a smoothed unigram model of words.
 
 Both models grow with the corpus, so neither is ever gathered.  Documents are
-dealt into blocks of bounded size.  A block asks for what its own texts need:
-its different words, and its different contexts with the byte that follows,
-with the counts of its training texts.  Words are summed and joined by word.
-Contexts are dealt by their last two bytes, so that a task holds whole trees
-below depth two; the two topmost depths, at most 256 x 255 nodes, are summed
-over all tasks on the driver.  The answers are co-grouped with the block.
+dealt into blocks of bounded size, packed.  A block asks for what its own texts
+need: its different words, and its different contexts with the byte that
+follows, with the counts of its training texts.  Questions are packed arrays,
+words dealt by word, contexts by their last two bytes, so that a task holds
+whole trees below depth two; the two topmost depths, at most 256 x 255 nodes,
+are summed over all tasks on the driver.  The answers are co-grouped with the
+block.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ids_and_texts
+from .common import ids_and_texts, per_batch
 
 DEPTH = 5                      # a context and the next byte fit 48 bits
 START, FINISH = b"\n" * DEPTH, b"\0"
 CHUNK_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 64 << 20        # of text, for each bucket of contexts
+BLOCK_BYTES = 12 << 20
+BUCKET_BYTES = 64 << 20        # of text, for each bucket of questions
 END_WORD = b""                 # no word is empty
 _U = np.uint64
 
@@ -212,64 +215,142 @@ def text_scores(texts: list[bytes], codes: np.ndarray, scores: np.ndarray) -> li
 
 
 # --------------------------------------------------------------------------
-# jobs
+# jobs.  A side row is (block, kind, bucket, keys, counts): a question when it
+# goes to its bucket, an answer when it comes back with values for counts.
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t.lower() for t in table["body"].to_pylist()]
+SIDE = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()),
+                  ("keys", pa.binary()), ("counts", pa.binary())])
+SIDE_SQL = "block int, kind int, bucket int, keys binary, counts binary"
+WORDS, CONTEXTS, TOTALS = 0, 1, 2
 
 
-def _words_of(table: pa.Table) -> pa.Table:
-    seen: Counter = Counter()
-    for text, held_out in zip(_texts(table), table["held_out"].to_pylist()):
-        words = text.split()
-        words.append(END_WORD)
-        if held_out:
-            for w in words:
-                seen.setdefault(w, 0)
-        else:
-            seen.update(words)
-    return pa.table({"block": pa.array([table["block"][0].as_py()] * len(seen), pa.int32()),
-                     "word": pa.array(seen.keys(), pa.binary()),
-                     "n": pa.array(seen.values(), pa.int64())})
+def _pack(data: bytes | np.ndarray) -> bytes:
+    return zstandard.compress(data.tobytes() if isinstance(data, np.ndarray) else data, 1)
 
 
-def _block_codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return block_codes(_texts(table), [not h for h in table["held_out"].to_pylist()])
+def _unpack(data: bytes, dtype=None):
+    data = zstandard.decompress(data)
+    return data if dtype is None else np.frombuffer(data, dtype)
 
 
-def _contexts_of(buckets: int):
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes as their differences."""
+    return _pack(np.diff(codes, prepend=_U(0)))
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, _U), dtype=_U)
+
+
+def _side(rows: list[tuple]) -> pa.Table:
+    cols = zip(*rows) if rows else [[]] * len(SIDE)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, SIDE.types)], schema=SIDE)
+
+
+PACKED_SQL = "block int, ids binary, flags binary, sizes binary, texts binary"
+
+
+@per_batch
+def _pack_documents(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Documents -> one row per block: ids, flags (1: has an id, 2: held out),
+    sizes and the lower-cased texts."""
+    doc_id, body, held_out, block = batch.columns
+    blocks = block.to_numpy()
+    texts = body.to_pylist()
+    flags = doc_id.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+    flags |= held_out.to_numpy(zero_copy_only=False).astype(np.uint8) << 1
+    ids = doc_id.fill_null(0).to_numpy()
+    o = np.argsort(blocks, kind="stable")
+    cuts = _heads(blocks[o])
+    rows = []
+    for at in (o[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(o)))):
+        part = [texts[i].lower() for i in at.tolist()]
+        rows.append((int(blocks[at[0]]), _pack(ids[at]), _pack(flags[at]),
+                     _pack(np.array([len(t) for t in part], np.int64)), _pack(b"".join(part))))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)],
+        names=["block", "ids", "flags", "sizes", "texts"])
+
+
+def _unpack_documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ids, flags, texts = [], [], []
+    for _, i, f, n, t in zip(*(c.to_pylist() for c in table.columns)):
+        ids.append(_unpack(i, np.int64))
+        flags.append(_unpack(f, np.uint8))
+        data, at = _unpack(t), 0
+        for size in _unpack(n, np.int64).tolist():
+            texts.append(data[at:at + size])
+            at += size
+    return np.concatenate(ids), np.concatenate(flags), texts
+
+
+def _ask(buckets: int):
+    """Block -> its words and contexts with their training counts."""
     def run(table: pa.Table) -> pa.Table:
-        codes, n = _block_codes(table)
+        _, flags, texts = _unpack_documents(table)
+        train = (flags & 2 == 0).tolist()
+        block, rows = table["block"][0].as_py(), []
+
+        seen: Counter = Counter()
+        for text, learn in zip(texts, train):
+            words = text.split()
+            words.append(END_WORD)
+            if learn:
+                seen.update(words)
+            else:
+                for w in words:
+                    seen.setdefault(w, 0)
+        dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+        for w in seen:
+            dealt[zlib.crc32(w) % buckets].append(w)
+        for n, words in enumerate(dealt):
+            if words:
+                rows.append((block, WORDS, n, _pack(b"\n".join(words)),
+                             _pack(np.array([seen[w] for w in words], np.int64))))
+
+        codes, counts = block_codes(texts, train)
         bucket = _bucket(codes, buckets)
         o = np.argsort(bucket, kind="stable")
         cuts = _heads(bucket[o])
-        parts = [o[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(o)))]
-        return pa.table({
-            "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-            "block": pa.array([table["block"][0].as_py()] * len(parts), pa.int32()),
-            "codes": pa.array([codes[p].tobytes() for p in parts], pa.binary()),
-            "n": pa.array([n[p].astype(np.int32).tobytes() for p in parts], pa.binary())})
+        for at in (o[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(o)))):
+            rows.append((block, CONTEXTS, int(bucket[at[0]]), _pack_codes(codes[at]), _pack(counts[at])))
+        return _side(rows)
     return run
 
 
-def _asked(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _answer_words(table: pa.Table) -> pa.Table:
+    """Bucket -> every block's words with their counts over all blocks, and
+    the bucket's tokens and vocabulary."""
+    total: Counter = Counter()
+    asked = []
+    for block, keys, counts in zip(table["block"].to_pylist(), table["keys"].to_pylist(),
+                                   table["counts"].to_pylist()):
+        asked.append((block, keys))
+        for w, n in zip(_unpack(keys).split(b"\n"), _unpack(counts, np.int64).tolist()):
+            total[w] += n
+    rows = [(block, WORDS, None, keys, _pack(np.array([total[w] for w in _unpack(keys).split(b"\n")], np.int64)))
+            for block, keys in asked]
+    known = np.array([sum(total.values()), sum(1 for n in total.values() if n)], np.int64)
+    return _side([*rows, (-1, TOTALS, None, b"", _pack(known))])
+
+
+def _asked_codes(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Codes of every row, and all different ones with their counts."""
-    codes = [np.frombuffer(x, _U) for x in table["codes"].to_pylist()]
-    n = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["n"].to_pylist()]
+    codes = [_unpack_codes(x) for x in table["keys"].to_pylist()]
+    n = [_unpack(x, np.int64) for x in table["counts"].to_pylist()]
     return codes, *_sum_runs(np.concatenate(codes), np.concatenate(n))
 
 
 def _top_of_bucket(table: pa.Table) -> pa.Table:
-    return top_nodes(*_asked(table)[1:])
+    return top_nodes(*_asked_codes(table)[1:])
 
 
-def _answer(top: TopOfTree):
+def _answer_contexts(top: TopOfTree):
     def run(table: pa.Table) -> pa.Table:
-        asked, codes, n = _asked(table)
+        asked, codes, n = _asked_codes(table)
         scores = top.code_lengths(codes, n).astype(np.float32)
-        return pa.table({"block": table["block"], "bucket": table["bucket"],
-                         "scores": pa.array([scores[np.searchsorted(codes, a)].tobytes() for a in asked],
-                                            pa.binary())})
+        return _side([(block, CONTEXTS, None, keys, scores[np.searchsorted(codes, a)].tobytes())
+                      for block, keys, a in zip(table["block"].to_pylist(), table["keys"].to_pylist(), asked)])
     return run
 
 
@@ -289,28 +370,38 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1,
     rows = ids_and_texts(docs, (fold == held_out_fold).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     blocks, buckets = 1 + size // block_bytes, 1 + size // bucket_bytes
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-
-    words = cut_lineage(rows.groupBy("block").applyInArrow(_words_of, "block int, word binary, n bigint"))
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                       F.count_if(F.col("c") > 0).alias("v")).first()
-    train_tokens = total["n"]
-    each = float(np.log10(train_tokens + 0.5 * (total["v"] + 1)))
-
-    contexts = cut_lineage(rows.groupBy("block").applyInArrow(
-        _contexts_of(buckets), "bucket int, block int, codes binary, n binary"))
-    by_bucket = contexts.groupBy("bucket")
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("body")), F.lit(blocks)).cast("int")
+    packed = (rows.withColumn("block", block).mapInArrow(_pack_documents, PACKED_SQL)
+              .groupBy("block"))
+
+    asked = cut_lineage(packed.applyInArrow(_ask(buckets), SIDE_SQL))
+    words = cut_lineage(asked.where(F.col("kind") == WORDS).groupBy("bucket")
+                        .applyInArrow(_answer_words, SIDE_SQL))
+    # a row per bucket
+    known = [_unpack(r["counts"], np.int64) for r in words.where(F.col("kind") == TOTALS).collect()]
+    train_tokens, vocabulary = (int(sum(k[i] for k in known)) for i in (0, 1))
+    each = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
+
+    contexts = asked.where(F.col("kind") == CONTEXTS).groupBy("bucket")
     # at most 256 last bytes x 255 decision nodes
-    top = TopOfTree(by_bucket.applyInArrow(_top_of_bucket, "node int, zeros double, ones double, below double")
+    top = TopOfTree(contexts.applyInArrow(_top_of_bucket, "node int, zeros double, ones double, below double")
                     .groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow())
-    scores = by_bucket.applyInArrow(_answer(top), "block int, bucket int, scores binary")
 
     def score(table: pa.Table, side: pa.Table) -> pa.Table:
-        is_word = side["bucket"].is_null()
-        known = side.filter(is_word)
-        value = dict(zip(known["word"].to_pylist(), np.log10(known["c"].to_numpy() + 0.5).tolist()))
-        texts = _texts(table)
+        ids, flags, texts = _unpack_documents(table)
+        value: dict[bytes, float] = {}
+        codes, scores = [], []
+        for kind, keys, counts in zip(side["kind"].to_pylist(), side["keys"].to_pylist(),
+                                      side["counts"].to_pylist()):
+            if kind == WORDS:
+                value.update(zip(_unpack(keys).split(b"\n"),
+                                 np.log10(_unpack(counts, np.int64) + 0.5).tolist()))
+            else:
+                codes.append(_unpack_codes(keys))
+                scores.append(np.frombuffer(counts, np.float32))
+        codes, scores = np.concatenate(codes), np.concatenate(scores)
+        o = np.argsort(codes)
+        codes, scores = codes[o], scores[o].astype(np.float64)
         n_tokens, n_known, base = [], [], []
         for t in texts:
             tokens = t.split()
@@ -319,22 +410,16 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1,
             n_tokens.append(len(tokens))
             n_known.append(int((logs > 0).sum()))      # log10(0.5) < 0 < log10(1.5)
             base.append(float(logs.sum()) - len(tokens) * each)
-        codes, _ = _block_codes(table)
-        answers = side.filter(side["bucket"].is_valid()).sort_by("bucket")
-        of_code = np.empty(len(codes))
-        of_code[np.argsort(_bucket(codes, buckets), kind="stable")] = np.frombuffer(
-            b"".join(answers["scores"].to_pylist()), np.float32)
         return pa.table({
-            "doc_id": table["doc_id"], "held_out": table["held_out"],
+            "doc_id": pa.array(ids, pa.int64(), mask=flags & 1 == 0),
+            "held_out": pa.array(flags & 2 != 0),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([train_tokens] * len(texts), pa.int64()),
             "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(text_scores(texts, codes, of_code), pa.float64())})
+            "score": pa.array(text_scores(texts, codes, scores), pa.float64())})
 
-    answers = (words.join(counts, "word")
-               .select("block", "word", "c", F.lit(None).cast("int").alias("bucket"),
-                       F.lit(None).cast("binary").alias("scores"))
-               .unionByName(scores, allowMissingColumns=True))
-    return (rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    answers = (words.where(F.col("kind") == WORDS)
+               .unionByName(contexts.applyInArrow(_answer_contexts(top), SIDE_SQL)))
+    return packed.cogroup(answers.groupBy("block")).applyInArrow(
         score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-               "train_tokens bigint, base_score double, score double"))
+               "train_tokens bigint, base_score double, score double")
