@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, tick_queries
+from . import graph_queries, io_queries, stream_queries, tick_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,4 +24,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _modules():
-    return [graph_queries, tick_queries]
+    return [graph_queries, tick_queries, io_queries, stream_queries]

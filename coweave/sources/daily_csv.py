@@ -20,14 +20,20 @@ N_COLUMNS = 11    # fixed: columns of a daily file
 CSV_SCHEMA = ", ".join(f"c{i} STRING" for i in range(N_COLUMNS))
 
 
-def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_daily_csv(spark: SparkSession, path: str, day_folders: bool = False) -> DataFrame:
     """S4 → (file, year, month, day, month_key, pos, name, pct).
 
+    The day is the file's name, or with ``day_folders`` that of its folder
+    ``date=YYYY-MM-DD``.
+
     ``pos`` is the 0-based data row within its file (file order, the
     tie-break of the per-file top list).
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value"))
+    name = F.col("_metadata.file_name")
+    if day_folders:
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"/date=([^/]*)/[^/]*$", 1)
+    raw = (spark.read.option("recursiveFileLookup", str(day_folders).lower())
+           .text(path, wholetext=True).select(name.alias("file"), F.col("value")))
     lines = raw.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
     rows = lines.where((F.col("line_no") >= SKIP_ROWS) & (F.length("line") > 0))
     rec = F.from_csv(F.col("line"), CSV_SCHEMA)
