@@ -183,7 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS,
 
 def keep_target_like(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns.
-    The rejected ids, the smaller part, are taken out by an anti-join; a row
-    without doc_id stays if its own text is kept."""
-    out = classify(docs, labels, clean_loss).where("not kept").select(F.col("doc_id").alias("_out"))
-    return docs.join(out.distinct(), docs["doc_id"].eqNullSafe(F.col("_out")), "left_anti")
+    The rejected ids, the smaller part, are taken out by an anti-join, so rows
+    that share a doc_id (or have none) go if one of them is rejected."""
+    out = classify(docs, labels, clean_loss).where("not kept").select(F.col("doc_id").alias("rejected")).distinct()
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["rejected"]), "left_anti")

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import functools
-import os
-import pathlib
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -57,17 +55,17 @@ class BoundedCache(dict):
 
 
 def with_package(fn: Callable) -> Callable:
-    """Wrap ``fn(spark, ...)`` so that Python workers can import this package
-    wherever they run: it is shipped once per session as a zip file."""
+    """Wrap ``fn(spark, ...)`` so that Python workers can import this package."""
     @functools.wraps(fn)
     def run(spark, *args):
-        sc = spark.sparkContext
-        if not getattr(sc, "_coweave_shipped", False):
-            package = pathlib.Path(__file__).resolve().parent.parent
-            archive = shutil.make_archive(
-                os.path.join(tempfile.mkdtemp(prefix="coweave-"), package.name), "zip",
-                root_dir=package.parent, base_dir=package.name)
-            sc.addPyFile(archive)
-            sc._coweave_shipped = True
+        ship_package(spark)
         return fn(spark, *args)
     return run
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

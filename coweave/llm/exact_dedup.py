@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ids_and_texts, per_batch
+from .common import ASCII_LOWER, ASCII_UPPER, fresh_name, ids_and_texts, per_batch
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -203,10 +203,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     The dropped rows are found by (doc_id, digest); a row repeated under one
     doc_id is thinned to one by the same pair.
     """
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")),
-                          "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    key = F.xxhash64(F.col("doc_id"), F.sha2(lowered, 256))
-    stay = (exact_duplicates(docs).where("kept")
-            .select(F.xxhash64("doc_id", "text_sha256").alias("_stay")))
-    kept = docs.withColumn("_key", key).join(stay, F.col("_key") == F.col("_stay"), "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), ASCII_UPPER, ASCII_LOWER)
+    key = fresh_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.sha2(lowered, 256).alias("text_sha256")))
+    stay = exact_duplicates(docs).where("kept").select(F.struct("doc_id", "text_sha256").alias("stay"))
+    kept = keyed.join(stay, keyed[key].eqNullSafe(stay["stay"]), "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

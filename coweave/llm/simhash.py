@@ -209,8 +209,9 @@ def simhash_classes(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
 
 
 def keep_class_representatives(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class."""
+    """The rows of ``docs`` whose doc_id is the smallest of its class; rows
+    without doc_id stay where their class has no id at all."""
     keep = (simhash_classes(docs, shingle_words, max_bits)
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+            .select(F.col("doc_id").alias("representative")).distinct())
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["representative"]), "left_semi")
