@@ -39,7 +39,7 @@ from .common import ids_and_texts, per_batch
 DEPTH = 5                      # a context and the next byte fit 48 bits
 START, FINISH = b"\n" * DEPTH, b"\0"
 CHUNK_BYTES = 2 << 20
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20        # of text, for each bucket of questions
 END_WORD = b""                 # no word is empty
 _U = np.uint64
@@ -116,7 +116,8 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
         shift += np.log(x + k)
     y = x + 8
     return ((y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi)
-            + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5)) - shift
+            + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5)
+            - 1 / (1680 * y ** 7) + 1 / (1188 * y ** 9)) - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
