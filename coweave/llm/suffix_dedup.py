@@ -15,29 +15,32 @@ suffix behind their Lyndon prefix, which has its rank already.  Many strings
 are sorted side by side, one group of each at a time, with array operations.
 
 **The job.**  All strings of ``min_bytes`` bytes that are equal have the same
-smallest hash of their 16-byte substrings, their anchor.  A text falls into
-runs of strings with one anchor (about 20 in a run).
+smallest hash of their 24-byte substrings, their anchor.  A text falls into
+runs of strings with one anchor (about 14 in a run).
 
 1. Copies of a whole text are found by digest; the smallest doc_id goes on.
 2. Documents are dealt into blocks.  Every block asks which of its anchors
    occur in another document as well; questions are packed arrays, dealt by
    anchor, each anchor once per block.
 3. Runs with a shared anchor are cut out (each different one once per block)
-   and dealt by anchor.  An anchor with very many different runs is dealt
-   further by the string itself.  Per anchor, the different runs are put
-   behind each other and suffix-sorted; neighbours that share ``min_bytes``
-   bytes form classes, and a class removes all but its smallest doc_id.
+   and dealt by anchor.  Where an anchor has very many different runs, these
+   are cut further by the anchors that other hash functions give, and dealt
+   by all of them.  The different runs dealt together are put behind each
+   other and suffix-sorted; neighbours that share ``min_bytes`` bytes form
+   classes, and a class removes all but its smallest doc_id.
 4. Every block removes the strings found from its texts.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +48,12 @@ from ..session import cut_lineage
 from .common import text_bytes
 
 MIN_BYTES = 50
-ANCHOR_BYTES = 16
+ANCHOR_BYTES = 24          # a multiple of eight
 BLOCK_BYTES = 8 << 20
 ASKS_PER_BUCKET = 1 << 20
-RUNS_PER_STRING = 128
-SORT_BYTES = 2 << 20
+RUNS_PER_STRING = 512
+MAX_CUTS = 3
+SMALL_STRING, SMALL_BATCH, LARGE_BATCH = 1 << 10, 1 << 18, 2 << 20
 
 PAD, SENTINEL, SEPARATOR, FIRST_BYTE = 0, 1, 2, 3
 
@@ -73,18 +77,18 @@ def group_suffixes(sym: np.ndarray) -> np.ndarray:
     n_places = len(sym)
     string = np.cumsum(sym == PAD)
     places = np.flatnonzero(sym != PAD)
-    order = np.lexsort((sym[places], string[places]))
-    sa = places[order]
-    isa = np.full(n_places, -1, np.int64)
+    # members of a group come in any order at first
+    sa = places[np.argsort(string[places] * 512 + sym[places])].astype(np.int32)
+    isa = np.full(n_places, -1, np.int32)
     isa[sa] = np.arange(len(sa))
     key = string[sa] * 512 + sym[sa]
     heads = _starts(key)
-    size = np.zeros(len(sa), np.int64)
+    size = np.zeros(len(sa), np.int32)
     size[heads] = np.diff(np.append(heads, len(sa)))
-    length = np.ones(len(sa), np.int64)             # of the group's Lyndon prefix
-    group = np.full(n_places, -1, np.int64)         # of a place: where its group starts in sa
+    length = np.ones(len(sa), np.int32)             # of the group's Lyndon prefix
+    group = np.full(n_places, -1, np.int32)         # of a place: where its group starts in sa
     group[sa] = np.repeat(heads, size[heads])
-    prev = np.zeros(n_places, np.int64)
+    prev = np.zeros(n_places, np.int32)
     moving = np.zeros(n_places, bool)
     first = _starts(string[sa])
     end = np.append(first, len(sa))[1:].copy()
@@ -127,7 +131,7 @@ def group_suffixes(sym: np.ndarray) -> np.ndarray:
             moving[p] = False
             sa[room], isa[stays] = stays, room
             sa[slots], isa[p] = p, slots
-            new = _starts(own * (len(sym) + 1) + times)
+            new = _starts(own * np.int64(len(sym) + 1) + times)
             n_new = np.diff(np.append(new, len(own)))
             longer = length[own[new]] + times[new] * prefix[new]
             size[from_group] -= n_moved
@@ -139,12 +143,12 @@ def group_suffixes(sym: np.ndarray) -> np.ndarray:
 
     # emit: members of a group in the order of the suffixes behind their prefix
     behind = places + length[group[places]]
-    follow = np.zeros(n_places, np.int64)
+    follow = np.zeros(n_places, np.int32)
     follow[places] = np.minimum(behind, n_places - 1)
-    rank = np.full(n_places, -1, np.int64)
+    rank = np.full(n_places, -1, np.int32)
     alone = size[group[places]] == 1
     rank[places[alone]] = group[places[alone]]
-    heads = np.unique(group[places[~alone]])
+    heads = np.flatnonzero(size > 1)
     if len(heads):
         of = string[sa[heads]]
         begin = _starts(of)
@@ -176,18 +180,17 @@ def equal_windows(strings: list[list[bytes]], width: int) -> tuple[np.ndarray, .
     """Classes of equal ``width``-byte windows within each string, which is
     given as its fragments: (fragment, offset, class) arrays of all windows,
     classes in suffix order.  Fragments count through all strings."""
-    parts, frag_at, frag_n, at = [], [], [], 0
-    for fragments in strings:
-        parts.append(np.array([PAD], np.uint16))
-        at += 1
-        for n, f in enumerate(fragments):
-            parts.append(np.frombuffer(f, np.uint8).astype(np.uint16) + FIRST_BYTE)
-            parts.append(np.array([SEPARATOR if n + 1 < len(fragments) else SENTINEL], np.uint16))
-            frag_at.append(at)
-            frag_n.append(len(f))
-            at += len(f) + 1
-    sym = np.concatenate(parts)
-    frag_at, frag_n = np.array(frag_at), np.array(frag_n)
+    frag_n = np.array([len(f) for s in strings for f in s])
+    per_string = np.array([len(s) for s in strings])
+    raw = np.frombuffer(b"".join(b"\0" + b"\0".join(s) + b"\0" for s in strings), np.uint8)
+    last = np.cumsum(per_string) - 1                  # last fragment of each string
+    first = last - per_string + 1
+    before = np.cumsum(frag_n + 1) - frag_n           # the byte before, of fragments without PADs
+    frag_at = before + np.repeat(np.arange(len(strings)), per_string)
+    sym = raw.astype(np.uint16) + np.uint16(FIRST_BYTE)
+    sym[frag_at - 1] = SEPARATOR
+    sym[frag_at[first] - 1] = PAD
+    sym[(frag_at + frag_n)[last]] = SENTINEL
     sa = group_suffixes(sym)
     windows = np.maximum(frag_n - width + 1, 0)
     starts = np.zeros(len(sym), bool)
@@ -195,10 +198,13 @@ def equal_windows(strings: list[list[bytes]], width: int) -> tuple[np.ndarray, .
     string = np.cumsum(sym == PAD)
     a, b = sa[:-1], sa[1:]
     same = np.flatnonzero(starts[a] & starts[b] & (string[a] == string[b]))
-    for k in range(width):                          # neighbours that share a whole window
-        same = same[sym[a[same] + k] == sym[b[same] + k]]
-        if not len(same):
-            break
+    # neighbours that share a whole window, compared eight bytes at a time
+    step = min(8, width)
+    code = raw.astype(np.uint64)
+    for k in range(1, step):
+        code[:-k] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
+    for k in (*range(0, width - step, step), width - step):
+        same = same[code[a[same] + k] == code[b[same] + k]]
     new = np.ones(len(sa), bool)
     new[same + 1] = False
     cls = np.cumsum(new) - 1
@@ -214,28 +220,59 @@ def equal_windows(strings: list[list[bytes]], width: int) -> tuple[np.ndarray, .
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def anchor_runs(text: bytes, width: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of a text: anchors, and the first and last + 1 window of
-    each run.  ``width`` must be ANCHOR_BYTES or more."""
-    if len(text) < width:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+def _substring_hashes(text: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """From each place on, the next eight bytes as a number and the hash of
+    the next ANCHOR_BYTES."""
     c = np.frombuffer(text, np.uint8).astype(np.uint64)
-    for step in (1, 2, 4):                          # eight bytes as one number
+    for step in (1, 2, 4):
         c = c[:-step] | c[step:] << np.uint64(8 * step)
-    h = c[:-8] * _K1
-    h ^= h >> np.uint64(29)
-    h += c[8:]
+    n = len(text) - ANCHOR_BYTES + 1
+    h = np.full(n, seed, np.uint64)
+    for at in range(0, ANCHOR_BYTES, 8):
+        h ^= c[at:at + n]
+        h *= _K1
+        h ^= h >> np.uint64(29)
     h *= _K2
     h ^= h >> np.uint64(32)
+    return c, h
+
+
+def window_anchors(text: bytes, width: int = MIN_BYTES, seed: int = 0) -> np.ndarray:
+    """Anchor of every window of a text: the smallest hash of its substrings of
+    ANCHOR_BYTES.  ``width`` must be that or more; ``seed`` picks the hash."""
+    if len(text) < width:
+        return np.zeros(0, np.uint64)
+    h = _substring_hashes(text, seed)[1]
     span, step = width - ANCHOR_BYTES + 1, 1
     while step * 2 <= span:
         h = np.minimum(h[:-step], h[step:])
         step *= 2
     if step < span:
         h = np.minimum(h[:len(h) - (span - step)], h[span - step:])
+    return h
+
+
+def anchor_runs(text: bytes, width: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: anchor, first window, last window + 1."""
+    h = window_anchors(text, width)
     first = _starts(h)
-    return h[first], first, np.append(first[1:], len(h))
+    return h[first], first, np.append(first[1:], len(h)).astype(np.int64)
+
+
+@functools.lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    return np.cumprod(np.full(n, _K1)), np.cumprod(np.full(n, np.uint64(pow(int(_K1), -1, 1 << 64))))
+
+
+def run_contents(text: bytes, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    """A number for the bytes of each run, equal for equal bytes (and seldom
+    otherwise: it serves to count different runs)."""
+    n = len(text)
+    power, inverse = _powers(1 << n.bit_length())
+    power = power[:n]
+    total = np.append(np.uint64(0), np.cumsum((np.frombuffer(text, np.uint8) + np.uint64(1)) * power))
+    return (total[last + width - 1] - total[first]) * inverse[first] + (last - first).astype(np.uint64)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,25 +317,45 @@ def _documents(table: pa.Table, side: pa.Table) -> Iterator[tuple[int, int, byte
             yield order, uid, body
 
 
+def _pack(data: np.ndarray) -> bytes:
+    return zstandard.compress(data.tobytes(), 1)
+
+
+def _unpack(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype)
+
+
+def _pack_sorted(numbers: np.ndarray) -> bytes:
+    return _pack(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+
+
 def _ask(width: int, buckets: int):
-    """Block -> its anchors, how many runs have them and whether two of its own
-    documents do, packed by bucket."""
+    """Block -> its anchors, how many different runs have them and whether two
+    of its own documents do, packed by bucket."""
     def run(table: pa.Table, side: pa.Table) -> pa.Table:
-        found, owner = [], []
+        found, owner, content = [], [], []
         for order, _, body in _documents(table, side):
-            anchors, _, _ = anchor_runs(body, width)
-            found.append(anchors)
-            owner.append(np.full(len(anchors), order, np.int64))
-        if not found or not sum(map(len, found)):
+            anchors, first, last = anchor_runs(body, width)
+            if len(anchors):
+                found.append(anchors)
+                owner.append(np.full(len(anchors), order, np.int64))
+                content.append(run_contents(body, first, last, width))
+        if not found:
             return ASK_SCHEMA.empty_table()
-        anchors, owner = np.concatenate(found), np.concatenate(owner)
-        o = np.argsort(anchors, kind="stable")
-        anchors, owner = anchors[o], owner[o]
+        anchors, owner, content = np.concatenate(found), np.concatenate(owner), np.concatenate(content)
+        o = np.lexsort((content, anchors))
+        anchors, owner, content = anchors[o], owner[o], content[o]
         heads = _starts(anchors)
-        n = np.diff(np.append(heads, len(anchors)))
+        different = np.ones(len(anchors), np.int64)
+        different[1:] = (anchors[1:] != anchors[:-1]) | (content[1:] != content[:-1])
+        n = np.add.reduceat(different, heads)
         two = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
         anchors = anchors[heads]
-        # the top bits of the least of 35 hashes are mostly zero
+        # the top bits of the least of many hashes are mostly zero
         bucket = (anchors * _K2 >> np.uint64(20)) % np.uint64(buckets)
         o = np.argsort(bucket, kind="stable")
         cuts = _starts(bucket[o])
@@ -307,8 +364,8 @@ def _ask(width: int, buckets: int):
         return pa.table({
             "bucket": pa.array([int(bucket[p[0]]) for p in packed], pa.int32()),
             "block": pa.array([block] * len(packed), pa.int32()),
-            "anchors": pa.array([anchors[p].tobytes() for p in packed], pa.binary()),
-            "runs": pa.array([(n[p] << 1 | two[p]).astype(np.int32).tobytes() for p in packed], pa.binary())})
+            "anchors": pa.array([_pack_sorted(anchors[p]) for p in packed], pa.binary()),
+            "runs": pa.array([_pack(n[p] << 1 | two[p]) for p in packed], pa.binary())})
     return run
 
 
@@ -317,46 +374,58 @@ ASK_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()),
 
 
 def _answer(runs_per_string: int):
-    """Bucket -> per block, the anchors that two documents have, and into how
-    many strings their runs are dealt."""
+    """Bucket -> per block, the anchors that two documents have, and how many
+    more anchors their runs are cut by."""
     def run(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_pylist()
-        anchors = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
-        runs = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["runs"].to_pylist()]
+        anchors = [_unpack_sorted(x) for x in table["anchors"].to_pylist()]
+        runs = [_unpack(x, np.int64) for x in table["runs"].to_pylist()]
         from_row = np.repeat(np.arange(len(blocks)), list(map(len, anchors)))
         a, r = np.concatenate(anchors), np.concatenate(runs)
-        o = np.argsort(a, kind="stable")
+        o = np.argsort(a)
         heads = _starts(a[o])
         n = np.diff(np.append(heads, len(o)))
         shared = (n > 1) | np.bitwise_or.reduceat(r[o] & 1, heads).astype(bool)
-        strings = 1 + np.add.reduceat(r[o] >> 1, heads) // runs_per_string
+        runs_of = np.add.reduceat(r[o] >> 1, heads)
+        # one more for each factor of 16 above the bound
+        more = np.searchsorted(runs_per_string * 16 ** np.arange(MAX_CUTS), runs_of, side="left")
         keep = np.repeat(shared, n)
-        rows, strings = o[keep], np.repeat(strings, n)[keep]
+        rows, more = o[keep], np.repeat(more, n)[keep]
         back = np.lexsort((a[rows], from_row[rows]))
-        rows, strings = rows[back], strings[back]
+        rows, more = rows[back], more[back]
         cuts = _starts(from_row[rows])
-        packed = [(rows[x:y], strings[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(rows)))]
+        packed = [(rows[x:y], more[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(rows)))]
         return _side([blocks[from_row[p[0]]] for p, _ in packed], SHARED,
                      [a[p].tobytes() for p, _ in packed],
-                     [s.astype(np.int32).tobytes() for _, s in packed])
+                     [m.astype(np.int32).tobytes() for _, m in packed])
     return run
 
 
-FRAGMENT = pa.schema([("anchor", pa.int64()), ("deal", pa.int32()), ("fragment", pa.binary()),
+FRAGMENT = pa.schema([("anchor", pa.int64()), ("deal", pa.int64()), ("fragment", pa.binary()),
                       ("ord", pa.int64()), ("uid", pa.int64()), ("block", pa.int32()),
                       ("at", pa.binary())])
-FRAGMENT_SQL = ("anchor bigint, deal int, fragment binary, ord bigint, uid bigint, block int, at binary")
+FRAGMENT_SQL = ("anchor bigint, deal bigint, fragment binary, ord bigint, uid bigint, block int, at binary")
+
+
+def _finer(text: bytes, width: int, levels: int) -> list[np.ndarray]:
+    """Per window, the anchors by the first one, two, ... other hashes as one
+    positive number each."""
+    out, key = [], np.uint64(0)
+    for seed in range(1, levels + 1):
+        key = (key ^ window_anchors(text, width, seed)) * _K1
+        out.append((key >> np.uint64(1)).view(np.int64))
+    return out
 
 
 def _cut(width: int):
     """Block -> its different runs with a shared anchor.  Of equal runs, the
     one with the smallest doc_id is sent; the others hold nothing else, so
-    they are answered at once (deal -1)."""
+    they are answered at once (deal -1; dealt ones are 0 or above)."""
     def run(table: pa.Table, side: pa.Table) -> pa.Table:
-        anchors, strings = _told(side, SHARED)
+        anchors, more = _told(side, SHARED)
         anchors = np.frombuffer(anchors, np.uint64)
         o = np.argsort(anchors)
-        anchors, strings = anchors[o], np.frombuffer(strings, np.int32)[o]
+        anchors, more = anchors[o], np.frombuffer(more, np.int32)[o]
         block = table["block"][0].as_py() if table.num_rows else 0
         least: dict[tuple, list] = {}               # run -> [ord, {uid: [places]}]
         gone: dict[int, list[int]] = {}             # uid -> [start, end, ...]
@@ -383,42 +452,114 @@ def _cut(width: int):
                 continue
             at = np.minimum(np.searchsorted(anchors, found), len(anchors) - 1)
             hit = np.flatnonzero(anchors[at] == found)
-            for anchor, deal, a, b in zip(found[hit].view(np.int64).tolist(), strings[at[hit]].tolist(),
-                                          first[hit].tolist(), last[hit].tolist()):
-                if deal == 1:
+            cuts = more[at[hit]]
+            finer = _finer(body, width, int(cuts.max(initial=0)))
+            for anchor, cut, a, b in zip(found[hit].view(np.int64).tolist(), cuts.tolist(),
+                                         first[hit].tolist(), last[hit].tolist()):
+                if not cut:
                     note((anchor, 0, body[a:b + width - 1]), b + width - 1 - a, order, uid, a)
-                else:
-                    for x in range(a, b):
-                        window = body[x:x + width]
-                        note((anchor, xxhash.xxh32_intdigest(window) % deal, window), width, order, uid, x)
-        rows = [(*key, order, uid, np.array(places, np.int32).tobytes())
+                    continue
+                keys = finer[cut - 1][a:b]
+                heads = _starts(keys)
+                for x, y, deal in zip((heads + a).tolist(), [*(heads[1:] + a).tolist(), b], keys[heads].tolist()):
+                    note((anchor, deal, body[x:y + width - 1]), y + width - 1 - x, order, uid, x)
+        rows = [(*key, order, uid, array("i", places).tobytes())
                 for key, (order, uids) in least.items() for uid, places in uids.items()]
-        rows += [(0, -1, b"", 0, uid, np.array(spans, np.int32).tobytes()) for uid, spans in gone.items()]
+        rows += [(0, -1, b"", 0, uid, array("i", spans).tobytes()) for uid, spans in gone.items()]
         cols = list(zip(*rows)) or [[]] * 6
         return pa.table([pa.array(c, t) for c, t in zip(
             [*cols[:5], [block] * len(rows), cols[5]], FRAGMENT.types)], schema=FRAGMENT)
     return run
 
 
+def _trim(strings: list[tuple[int, list]], width: int) -> list[list[tuple]]:
+    """Fragments (bytes, ord, owners) of each (anchor, fragments) as (bytes,
+    ord, owners, first byte kept), without what no two fragments can share.
+
+    A shared window holds the anchor and reaches ``half`` bytes beyond it to
+    one side at least.  A fragment whose ``half`` bytes on a side no other
+    fragment of the string has needs less than that on this side; one alone
+    on both sides is left out.  Contexts are compared by a number that equal
+    bytes share, so nothing that could match is lost.  Strings in which the
+    anchor occurs twice in a fragment stay as they are.
+    """
+    half = (width - ANCHOR_BYTES) // 2
+    frags = [f for _, s in strings for f in s]
+    size = np.array([len(f[0]) for f in frags])
+    if half < 8:
+        return [[(*f, 0) for f in s] for _, s in strings]
+    string = np.repeat(np.arange(len(strings)), [len(s) for _, s in strings])
+    anchor = np.array([a for a, _ in strings], np.int64).view(np.uint64)[string]
+    end = np.cumsum(size)
+    start = end - size
+    text = b"".join(f[0] for f in frags)
+    code, h = _substring_hashes(text + bytes(8), 0)
+    h = h[:len(text) - ANCHOR_BYTES + 1]
+    of = np.repeat(np.arange(len(frags)), size)[:len(h)]
+    hit = np.flatnonzero((h == anchor[of]) & (np.arange(len(h)) + ANCHOR_BYTES <= end[of]))
+    first = np.zeros(len(frags), np.int64)
+    first[of[hit[::-1]]] = hit[::-1]
+    times = np.bincount(of[hit], minlength=len(frags))
+    plain = ~np.isin(string, string[times != 1])
+    last = first + ANCHOR_BYTES
+
+    def shared(has: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(frags), bool)
+        who = np.flatnonzero(has & plain)
+        number = code[one[who]] * _K1 ^ code[two[who]] * _K2
+        o = np.lexsort((number, string[who]))
+        who, number = who[o], number[o]
+        same = (string[who][1:] == string[who][:-1]) & (number[1:] == number[:-1])
+        out[who[1:][same]] = out[who[:-1][same]] = True
+        return out
+    left = shared(first - start >= half, first - half, first - 8)
+    right = shared(end - last >= half, last, last + half - 8)
+    lo = np.where(left | ~plain, start, np.maximum(start, first - half + 1))
+    hi = np.where(right | ~plain, end, np.minimum(end, last + half - 1))
+    out: list[list[tuple]] = [[] for _ in strings]
+    for n in np.flatnonzero(hi - lo >= width).tolist():
+        out[string[n]].append((text[lo[n]:hi[n]], *frags[n][1:], int(lo[n] - start[n])))
+    return [s for s in out if len(s) > 1]
+
+
 def _resolve(width: int):
     """Sorted runs -> spans that go, as side rows.  Equal runs meet first: all
     but the smallest doc_id's go whole.  Different runs of one string are
     suffix-sorted, many strings at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: list[list[tuple]] = []             # [(fragment, ord, [(block, uid, at)])]
+        # strings of [(fragment, ord, [(block, uid, at)])]: small and large ones
+        # are sorted apart, each batch about as long as suits its steps
+        waiting: tuple[list, list] = ([], [])
+        pending = [0, 0]
         current: list[tuple] = []
         key = None
-        pending = 0
-        out: dict[tuple[int, int], list[np.ndarray]] = {}
-
-        def go(owners: list[tuple], spans: np.ndarray):
-            """spans [n, 2] relative to every place of the owners"""
-            for block, uid, at in owners:
-                at = np.frombuffer(at, np.int32)
-                out.setdefault((block, uid), []).append(
-                    (at[:, None, None] + spans[None]).reshape(-1).astype(np.int32))
-
-        def sort():
+        out: dict[tuple[int, int], array] = {}      # (block, uid) -> start, end, ...
+
+        def go(owners: list[tuple], start: int, end: int):
+            """the span goes at every place of the owners"""
+            for block, uid, places in owners:
+                spans = out.get((block, uid))
+                if spans is None:
+                    spans = out[block, uid] = array("i")
+                for at in array("i", places):
+                    spans.append(at + start)
+                    spans.append(at + end)
+
+        def add():
+            if len(current) > 1:
+                size = sum(len(f[0]) + 1 for f in current)
+                large = size > SMALL_STRING
+                waiting[large].append((key[0], current))
+                pending[large] += size
+                if pending[large] >= (LARGE_BATCH if large else SMALL_BATCH):
+                    sort(large)
+
+        def sort(large: bool):
+            strings = _trim(waiting[large], width)
+            waiting[large].clear()
+            pending[large] = 0
+            if not strings:
+                return
             frags = [f for s in strings for f in s]
             ords = np.array([f[1] for f in frags])
             frag, offset, cls = equal_windows([[f[0] for f in s] for s in strings], width)
@@ -435,41 +576,40 @@ def _resolve(width: int):
                 new = _starts(frag * (1 << 32) + offset - np.arange(len(frag)))
                 ends = np.append(new[1:], len(frag)) - 1
                 for f, a, b in zip(frag[new].tolist(), offset[new].tolist(), offset[ends].tolist()):
-                    go(frags[f][2], np.array([[a, b + width]], np.int64))
+                    go(frags[f][2], frags[f][3] + a, frags[f][3] + b + width)
 
         def flush():
-            rows = list(out.items())
-            batch = _side([b for (b, _), _ in rows], SPANS,
-                          [u.to_bytes(8, "little", signed=True) for (_, u), _ in rows],
-                          [np.concatenate(s).tobytes() for _, s in rows]).combine_chunks().to_batches()
+            """a row per block: uids, and per uid the number of spans and these"""
+            by_block: dict[int, tuple[array, array]] = {}
+            for (block, uid), spans in out.items():
+                uids, data = by_block.setdefault(block, (array("q"), array("i")))
+                uids.append(uid)
+                data.append(len(spans) // 2)
+                data.extend(spans)
             out.clear()
-            return batch
+            return _side(list(by_block), SPANS, [u.tobytes() for u, _ in by_block.values()],
+                         [d.tobytes() for _, d in by_block.values()]).combine_chunks().to_batches()
 
         for batch in batches:
             for anchor, deal, fragment, order, uid, block, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if deal < 0:
-                    out.setdefault((block, uid), []).append(np.frombuffer(at, np.int32))
+                    out.setdefault((block, uid), array("i")).frombytes(at)
                     continue
                 if (anchor, deal) != key:
-                    if len(current) > 1:
-                        strings.append(current)
-                        pending += sum(len(f[0]) + 1 for f in current)
-                        if pending >= SORT_BYTES:
-                            sort()
-                            strings, pending = [], 0
+                    add()
                     key, current = (anchor, deal), []
                 if not current or fragment != current[-1][0]:
                     current.append((fragment, order, [(block, uid, at)]))
                 elif order == current[-1][1]:
                     current[-1][2].append((block, uid, at))
                 else:
-                    go([(block, uid, at)], np.array([[0, len(fragment)]]))
+                    go([(block, uid, at)], 0, len(fragment))
             if len(out) >= 50_000:
                 yield from flush()
-        if len(current) > 1:
-            strings.append(current)
-        if strings:
-            sort()
+        add()
+        for large in (False, True):
+            if waiting[large]:
+                sort(large)
         if out:
             yield from flush()
     return run
@@ -481,9 +621,11 @@ def _remove(width: int, carried: list[str], with_text: bool):
         spans: dict[int, list[tuple[int, int]]] = {}
         for kind, a, b in zip(side["kind"].to_pylist(), side["a"].to_pylist(), side["b"].to_pylist()):
             if kind == SPANS:
-                pairs = np.frombuffer(b, np.int32).reshape(-1, 2)
-                spans.setdefault(int.from_bytes(a, "little", signed=True), []).extend(
-                    zip(pairs[:, 0].tolist(), pairs[:, 1].tolist()))
+                data, at = np.frombuffer(b, np.int32).tolist(), 0
+                for uid in np.frombuffer(a, np.int64).tolist():
+                    stop = at + 1 + 2 * data[at]
+                    spans.setdefault(uid, []).extend(zip(data[at + 1:stop:2], data[at + 2:stop:2]))
+                    at = stop
         n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
         for uid, body in zip(table["uid"].to_pylist(), table["body"].to_pylist()):
             if uid in copies and len(body) >= width:
