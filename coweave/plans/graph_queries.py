@@ -365,7 +365,7 @@ ORACLES.update({
 
 
 # --------------------------------------------------------------------------
-# the denser second graph: users with an event of one type in one hour
+# the denser second graph: users with an event of one type in one slot
 
 def event_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> gr.CoGraph:
     edges = cooccur.cooccurrence_edges(td.event_memberships(spark, sf_dir))
@@ -373,8 +373,8 @@ def event_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> gr.CoG
     return g.materialized(td.event_vertices(spark, sf_dir)) if reuse else g
 
 
-EM_SQL = "select distinct event_type, date_trunc('hour', ts) as work_hour, user_id as member from events"
-EE_SQL = E_SQL.replace("a.work_id = b.work_id", "a.event_type = b.event_type and a.work_hour = b.work_hour")
+EM_SQL = "select distinct event_type, floor(epoch(ts) / 600) as slot, user_id as member from events"
+EE_SQL = E_SQL.replace("a.work_id = b.work_id", "a.event_type = b.event_type and a.slot = b.slot")
 EV_CTE = (f"with m as ({EM_SQL}), e as ({EE_SQL}), s as ({S_SQL}), "
           "v as (select distinct user_id as id, cast(user_id as varchar) as name from events)")
 

@@ -8,8 +8,8 @@ Mapping (fixed):
   memberships   work_id = l_orderkey, member = l_partkey from ``lineitem``,
                 distinct
   vertices      id = p_partkey, name = p_name from ``part``
-  dense graph   work_id = event type and hour of ``events.ts``, member =
-                user_id, distinct
+  dense graph   work_id = event type and ten-minute slot of ``events.ts``,
+                member = user_id, distinct
   ticks         name = user_id as text, pct = (value % 20) - 10,
                 period = ts as yyyy-MM-dd, index = ts as text, seq = event_id;
                 'error' events carry their ``props`` JSON as the message, a
@@ -39,11 +39,11 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Denser graph: users with an event of one type in one hour.
+    """Denser graph: users with an event of one type in the same ten minutes.
     (work_id STRING, member BIGINT)."""
     ev = table(spark, sf_dir, "events")
-    hour = F.date_format("ts", "yyyy-MM-dd HH")
-    return ev.select(F.concat_ws("|", "event_type", hour).alias("work_id"),
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600)
+    return ev.select(F.concat_ws("|", "event_type", slot.cast("string")).alias("work_id"),
                      F.col("user_id").alias("member")).distinct()
 
 

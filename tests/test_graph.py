@@ -146,6 +146,8 @@ def test_triangles_at_a_hub_of_ten_thousand(spark):
                                    F.lit(1).cast("bigint").alias("w"))
     names = spark.range(0, n + 1).select("id", F.lit("x").alias("name"))
     t = triangles.triangle_count(gr.build_graph(names, spokes.union(rim)))
+    few = triangles.triangle_count(gr.build_graph(names, spokes.union(rim)), block_ids=1)
+    assert few.exceptAll(t).count() == 0
     hub, total = t.agg(F.max(F.when(F.col("id") == 0, F.col("triangles"))), F.sum("triangles")).first()
     assert (hub, total) == (n - 1, 3 * (n - 1))
 

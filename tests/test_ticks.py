@@ -43,7 +43,7 @@ def test_tree_fold_hot_group_matches_sequential(spark):
 def test_fold_gives_one_answer_however_it_is_cut(spark):
     groups = {"inf": [1.0] * 9 + [math.inf, -20000.0] + [2.0] * 9, "zero": [math.inf, -100.0, 3.0],
               "large": [1e6, -20000.0, 5.0, -3.0, 1e5, 7.0] * 4, "minus": [-math.inf, 4.0, -250.0],
-              "one": [-7.0], "long": [((i * 37) % 41) / 4 - 5 for i in range(700)]}
+              "one": [-7.0], "long": [((i * 37) % 41) / 4 - 5 for i in range(9000)]}
     rows = [(i, n, p, "m") for n, ps in groups.items() for i, p in enumerate(ps)]
     for run_rows in (1, 4, 512, 4096):
         got = {r["name"]: r["trend_fold"] for r in ticks.trend_pairfold(_ticks(spark, rows), run_rows=run_rows).collect()}
