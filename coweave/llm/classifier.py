@@ -28,7 +28,7 @@ NGRAM = 5
 BUCKETS = 1 << 18
 SMOOTHING = 0.5
 MAX_LABELLED = 200_000    # bound of the labelled rows the target model is fitted on
-CLEAN_LOSS = 0.005
+CLEAN_LOSS = 0.01
 SHRINK = 50.0             # n-grams' worth of the average target document
 SHARPNESS = 2_000.0       # weight of the log ratio against the noise
 CALIBRATION = 4           # one target document in so many is kept out of the fit
