@@ -229,6 +229,19 @@ SQL_CHOSEN_VERTICES = ("select p_partkey as id, cast(p_partkey as varchar) || ':
                        "from part where p_partkey in (1, 7, 150)")
 
 
+def q_label_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of an ``id label`` line by position, cast; a field that does
+    not parse is null."""
+    line = F.concat_ws(" ", F.col("id").cast("string"), "name")
+    v = td.vertices(spark, sf_dir).select(line.alias("line"))
+    part = lambda pos, to: scalars.split_cast(F.col("line"), " ", pos, to)
+    return v.select(part(0, "bigint").alias("id"), part(1, "string").alias("word"), part(1, "bigint").alias("number"))
+
+
+SQL_LABEL_PARTS = ("select p_partkey as id, split_part(p_name, ' ', 1) as word, "
+                   "try_cast(split_part(p_name, ' ', 1) as bigint) as number from part")
+
+
 # -- M1-M3, F3, X2, X3: map columns ---------------------------------------------
 
 def _user_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +362,7 @@ QUERIES = {
     "head_of_ranking": q_head_of_ranking,
     "label_line": q_label_line,
     "chosen_vertices": q_chosen_vertices,
+    "label_parts": q_label_parts,
     "map_merges": q_map_merges,
     "first_labels": q_first_labels,
     "works_staff": q_works_staff,
@@ -371,6 +385,7 @@ ORACLES = {
     "head_of_ranking": SQL_HEAD_OF_RANKING,
     "label_line": SQL_LABEL_LINE,
     "chosen_vertices": SQL_CHOSEN_VERTICES,
+    "label_parts": SQL_LABEL_PARTS,
     "map_merges": SQL_MAP_MERGES,
     "first_labels": SQL_FIRST_LABELS,
     "works_staff": SQL_WORKS_STAFF,

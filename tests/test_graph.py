@@ -233,3 +233,15 @@ def test_seeded_ring_with_labels(spark):
     seeds = spark.createDataFrame([(1,), (4,), (99,)], "id bigint")
     got = sorted(tuple(r) for r in khop.khop_ring_labelled(g, 2, seeds).collect())
     assert got == [(1, "a", 3, "c"), (4, "d", 2, "b")]
+
+
+def test_triangles_are_listed_once(spark):
+    g = _random_graph(spark, 4, n=12, m=34)
+    near = {}
+    for e in g.edges.collect():
+        near.setdefault(e["src"], set()).add(e["dst"])
+        near.setdefault(e["dst"], set()).add(e["src"])
+    want = {tuple(sorted((a, b, c))) for a in near for b in near[a] for c in near[a] & near[b]}
+    for block_ids in (1, 1024):
+        got = [tuple(sorted(r)) for r in triangles.triangles(g.edges, block_ids=block_ids).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
