@@ -53,7 +53,8 @@ BLOCK_BYTES = 8 << 20
 ASKS_PER_BUCKET = 1 << 20
 RUNS_PER_STRING = 512
 MAX_CUTS = 3
-SMALL_STRING, SMALL_BATCH, LARGE_BATCH = 1 << 10, 1 << 18, 2 << 20
+# strings up to so many bytes are sorted in batches of so many
+BATCHES = ((1 << 10, 1 << 18), (1 << 13, 1 << 20), (1 << 62, 1 << 22))
 
 PAD, SENTINEL, SEPARATOR, FIRST_BYTE = 0, 1, 2, 3
 
@@ -347,12 +348,13 @@ def _ask(width: int, buckets: int):
         if not found:
             return ASK_SCHEMA.empty_table()
         anchors, owner, content = np.concatenate(found), np.concatenate(owner), np.concatenate(content)
-        o = np.lexsort((content, anchors))
-        anchors, owner, content = anchors[o], owner[o], content[o]
+        pair = anchors * _K1 ^ content              # one sort each for runs and anchors
+        o = np.argsort(pair)
+        different = np.sort(anchors[o][_starts(pair[o])])
+        o = np.argsort(anchors)
+        anchors, owner = anchors[o], owner[o]
         heads = _starts(anchors)
-        different = np.ones(len(anchors), np.int64)
-        different[1:] = (anchors[1:] != anchors[:-1]) | (content[1:] != content[:-1])
-        n = np.add.reduceat(different, heads)
+        n = np.diff(np.append(_starts(different), len(different)))
         two = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
         anchors = anchors[heads]
         # the top bits of the least of many hashes are mostly zero
@@ -527,10 +529,10 @@ def _resolve(width: int):
     but the smallest doc_id's go whole.  Different runs of one string are
     suffix-sorted, many strings at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # strings of [(fragment, ord, [(block, uid, at)])]: small and large ones
-        # are sorted apart, each batch about as long as suits its steps
-        waiting: tuple[list, list] = ([], [])
-        pending = [0, 0]
+        # strings of [(fragment, ord, [(block, uid, at)])], waiting by size: a
+        # batch takes as many steps as its longest string needs
+        waiting: list[list] = [[] for _ in BATCHES]
+        pending = [0] * len(BATCHES)
         current: list[tuple] = []
         key = None
         out: dict[tuple[int, int], array] = {}      # (block, uid) -> start, end, ...
@@ -548,16 +550,16 @@ def _resolve(width: int):
         def add():
             if len(current) > 1:
                 size = sum(len(f[0]) + 1 for f in current)
-                large = size > SMALL_STRING
-                waiting[large].append((key[0], current))
-                pending[large] += size
-                if pending[large] >= (LARGE_BATCH if large else SMALL_BATCH):
-                    sort(large)
-
-        def sort(large: bool):
-            strings = _trim(waiting[large], width)
-            waiting[large].clear()
-            pending[large] = 0
+                n = next(n for n, (most, _) in enumerate(BATCHES) if size <= most)
+                waiting[n].append((key[0], current))
+                pending[n] += size
+                if pending[n] >= BATCHES[n][1]:
+                    sort(n)
+
+        def sort(n: int):
+            strings = _trim(waiting[n], width)
+            waiting[n].clear()
+            pending[n] = 0
             if not strings:
                 return
             frags = [f for s in strings for f in s]
@@ -607,9 +609,9 @@ def _resolve(width: int):
             if len(out) >= 50_000:
                 yield from flush()
         add()
-        for large in (False, True):
-            if waiting[large]:
-                sort(large)
+        for n in range(len(BATCHES)):
+            if waiting[n]:
+                sort(n)
         if out:
             yield from flush()
     return run
@@ -679,7 +681,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     block = F.pmod(F.col("uid"), F.lit(blocks)).cast("int").alias("block")
     rows = rows.withColumn("block", block)
 
-    least = digests.groupBy("digest").agg(F.min("ord").alias("least"))
+    # written, so that the join below is one of plain exchanges, which AQE
+    # splits where one text has very many copies
+    least = cut_lineage(digests.groupBy("digest").agg(F.min("ord").alias("least")))
     copies = cut_lineage(digests.join(least, "digest").where(F.col("ord") != F.col("least"))
                          .select(block, F.lit(COPY).alias("kind"), _little_endian("uid").alias("a"),
                                  F.lit(None).cast("binary").alias("b")))
