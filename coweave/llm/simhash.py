@@ -199,9 +199,11 @@ def simhash_classes(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
     prints = cut_lineage(fingerprints(docs, shingle_words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(distinct.select("fp"), max_bits))
-    rooted = (distinct.join(roots, F.col("fp") == F.col("node"), "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = cut_lineage(distinct.join(roots, F.col("fp") == F.col("node"), "left")
+                         .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # written, so that the join below is one of plain exchanges: AQE can then
+    # split a class that holds a large part of all fingerprints
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_print = rooted.join(least, "root").select("fp", "component_id")
     return (prints.join(by_print, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
