@@ -36,6 +36,8 @@ from .common import BoundedCache, ids_and_texts, per_batch
 
 SALTS = 256
 MARKS = string.punctuation.encode()
+# opening of a special token, or a character from U+0100 on, in UTF-8
+AS_WRITTEN = re.compile(rb"<\||[\xc4-\xff]")
 # letters that are one character each in lower case and composed form
 PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -97,11 +99,14 @@ class WordTokenizer:
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers.  The
-        vocabulary is lower case, so A-Z may be lowered beforehand; special
-        tokens written out in a text have no capitals."""
+        vocabulary is lower case, so A-Z may be lowered beforehand where that
+        changes nothing else: in chunks of characters below U+0100, which nothing
+        composes with (composing comes before lowering), without the opening of
+        a special token (those are matched as written)."""
         out = []
         for at in range(0, len(texts), 256):
-            chunks = [t.lower().split() for t in texts[at:at + 256]]
+            chunks = [[c if AS_WRITTEN.search(c) else c.lower() for c in t.split()]
+                      if AS_WRITTEN.search(t) else t.lower().split() for t in texts[at:at + 256]]
             if len(self.cache) > self.limit:
                 self.cache.clear()
             self._learn(set().union(*chunks).difference(self.cache))

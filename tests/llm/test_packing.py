@@ -29,6 +29,16 @@ def test_tokens_equal_the_library():
     assert [np.frombuffer(x, np.uint32).tolist() for x in got] == _reference_ids(texts)
 
 
+def test_capitals_that_lowering_would_change():
+    texts = ["<|ENDOFTEXT|> x<|StartOfText|>y <|endoftext|>Z A<|ENDOFTEXT|>", "J\u030c H\u0331 T\u0308 aJ\u030cB, W\u030a Y\u030a",
+             "I\u0307 A\u030a \u00c5NGSTR\u00d6M \u00c9T\u00c9 caf\u00c9 Plain WORDS <| >| <|", "<|ENDOFTEXT| |> < |ENDOFTEXT|>"]
+    rnd = random.Random(2)
+    parts = ["<|", "ENDOFTEXT", "endoftext", "|>", "J", "T", "h", "\u030c", "\u0331", "\u0308", " ", "Ab,", "\u00c9"]
+    texts += ["".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(400)]
+    got = packing.WordTokenizer(PATH, limit=50).packed([t.encode() for t in texts])
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == _reference_ids(texts)
+
+
 def _check_plan(counts, plan, capacity):
     used = Counter()
     for n, items in plan:
