@@ -15,10 +15,12 @@ Both models grow with the corpus, so neither is ever gathered.  Documents are
 dealt into blocks of bounded size, packed.  A block asks for what its own texts
 need: its different words, and its different contexts with the byte that
 follows, with the counts of its training texts.  Questions are packed arrays,
-words dealt by word, contexts by their last two bytes, so that a task holds
-whole trees below depth two; the two topmost depths, at most 256 x 255 nodes,
-are summed over all tasks on the driver.  The answers are co-grouped with the
-block.
+words dealt by word, contexts by their last three bytes, so that a task holds
+whole trees below depth three.  Equal contexts are first summed over groups of
+blocks, so that the task of a common ending holds its different contexts, not
+every block's.  The depths above are summed over all tasks by Spark and mixed on
+the driver: a row per decision node of the two-byte contexts there are, at most
+65,536 x 255.  The answers are co-grouped with the block.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ START, FINISH = b"\n" * DEPTH, b"\0"
 CHUNK_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20        # of text, for each bucket of questions
+SUM_BLOCKS = 64                # summed together first
+ANSWER_BLOCKS = 1024           # answered by one task of a bucket
+TOP = 3                        # bytes of context that choose the bucket
 END_WORD = b""                 # no word is empty
 _U = np.uint64
 
@@ -102,8 +107,8 @@ def block_codes(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.n
 
 
 def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """By the last two bytes of the context."""
-    return ((codes >> _U(8 * (DEPTH - 1))) * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(buckets)
+    """By the last bytes of the context."""
+    return ((codes >> _U(8 * (DEPTH + 1 - TOP))) * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(buckets)
 
 
 # --------------------------------------------------------------------------
@@ -165,10 +170,10 @@ def trees(codes: np.ndarray, counts: np.ndarray, top: int) -> Iterator[tuple[np.
 
 
 def top_nodes(codes: np.ndarray, counts: np.ndarray) -> pa.Table:
-    """Per last byte and decision node: zeros, ones and the ln P_w of the
-    contexts of two bytes, summed over the codes given."""
+    """Per two last bytes and decision node: zeros, ones and the ln P_w of the
+    contexts of three bytes, summed over the codes given."""
     out = []
-    for level, (_, _, key, zeros, ones, weighted) in enumerate(trees(codes, counts, 2)):
+    for level, (_, _, key, zeros, ones, weighted) in enumerate(trees(codes, counts, TOP)):
         node = (key >> _U(level + 8) << _U(8)) | _U(1 << level) | key & _U((1 << level) - 1)
         found, at = np.unique(node, return_inverse=True)
         out.append([found.astype(np.int32)] + [np.bincount(at, weights=x) for x in (zeros, ones, weighted)])
@@ -176,25 +181,30 @@ def top_nodes(codes: np.ndarray, counts: np.ndarray) -> pa.Table:
 
 
 class TopOfTree:
-    """Depths zero and one of all decision nodes: weights and estimates."""
+    """Depths zero to two of all decision nodes: weights and estimates."""
 
     def __init__(self, nodes: pa.Table):
-        zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-        at = nodes["node"].to_numpy()
-        for x, name in ((zeros, "zeros"), (ones, "ones"), (below, "below")):
-            x.reshape(-1)[at] = nodes[name].to_numpy()
+        nodes = nodes.sort_by("node")
+        self.node2 = nodes["node"].to_numpy()
+        zeros, ones, below = (nodes[c].to_numpy() for c in ("zeros", "ones", "below"))
+        weighted, self.weight2, self.own2 = _mix(zeros, ones, below)
+        at = self.node2 >> 16 << 8 | self.node2 & 255
+        zeros, ones, below = (np.bincount(at, weights=x, minlength=1 << 16).astype(np.float64).reshape(256, 256)
+                              for x in (zeros, ones, weighted))
         weighted, self.weight1, self.own1 = _mix(zeros, ones, below)
         _, self.weight0, self.own0 = _mix(zeros.sum(axis=0), ones.sum(axis=0), weighted.sum(axis=0))
 
     def code_lengths(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each code's byte after its context."""
-        last = (codes >> _U(8 * DEPTH)).astype(np.int64)
-        following = (codes & _U(255)).astype(np.int64)
+        last_two = (codes >> _U(8 * (DEPTH - 1))).astype(np.int32)
+        following = (codes & _U(255)).astype(np.int32)
         out = np.zeros(len(codes))
-        for level, (bit, p, *_) in enumerate(trees(codes, counts, 2)):
+        for level, (bit, p, *_) in enumerate(trees(codes, counts, TOP)):
             node = (1 << level) | following >> (8 - level)
-            w1, w0 = self.weight1[last, node], self.weight0[node]
-            p = w1 * self.own1[last, node] + (1 - w1) * p
+            at = np.searchsorted(self.node2, last_two << 8 | node)
+            w2, w1, w0 = self.weight2[at], self.weight1[last_two >> 8, node], self.weight0[node]
+            p = w2 * self.own2[at] + (1 - w2) * p
+            p = w1 * self.own1[last_two >> 8, node] + (1 - w1) * p
             p = w0 * self.own0[node] + (1 - w0) * p
             out += np.log10(np.where(bit, p, 1 - p))
         return out
@@ -335,28 +345,55 @@ def _answer_words(table: pa.Table) -> pa.Table:
     return _side([*rows, (-1, TOTALS, None, b"", _pack(known))])
 
 
-def _asked_codes(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Codes of every row, and all different ones with their counts."""
-    codes = [_unpack_codes(x) for x in table["keys"].to_pylist()]
-    n = [_unpack(x, np.int64) for x in table["counts"].to_pylist()]
-    return codes, *_sum_runs(np.concatenate(codes), np.concatenate(n))
+def _sum_codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All different codes of the rows with their counts.  Rows are unpacked
+    one by one, and summed whenever they outgrow the sum."""
+    keys, n, held = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    for packed_keys, packed_n in zip(table["keys"], table["counts"]):
+        keys.append(_unpack_codes(packed_keys.as_py()))
+        n.append(_unpack(packed_n.as_py(), np.int64))
+        held += len(keys[-1])
+        if held >= max(1 << 20, len(keys[0])):
+            codes, total = _sum_runs(np.concatenate(keys), np.concatenate(n))
+            keys, n, held = [codes], [total], 0
+    return _sum_runs(np.concatenate(keys), np.concatenate(n))
+
+
+def _sum_contexts(table: pa.Table) -> pa.Table:
+    """Rows of one bucket -> one row with the sums."""
+    codes, n = _sum_codes(table)
+    return _side([(None, CONTEXTS, table["bucket"][0].as_py(), _pack_codes(codes), _pack(n))])
 
 
 def _top_of_bucket(table: pa.Table) -> pa.Table:
-    return top_nodes(*_asked_codes(table)[1:])
+    return top_nodes(*_sum_codes(table))
 
 
-def _answer_contexts(top: TopOfTree):
+def _score_contexts(top: TopOfTree):
+    """Sums of a bucket -> the score of each of its codes."""
     def run(table: pa.Table) -> pa.Table:
-        asked, codes, n = _asked_codes(table)
+        codes, n = _sum_codes(table)
         scores = top.code_lengths(codes, n).astype(np.float32)
-        return _side([(block, CONTEXTS, None, keys, scores[np.searchsorted(codes, a)].tobytes())
-                      for block, keys, a in zip(table["block"].to_pylist(), table["keys"].to_pylist(), asked)])
+        return _side([(None, CONTEXTS, table["bucket"][0].as_py(), _pack_codes(codes), scores.tobytes())])
     return run
 
 
+def _answer_contexts(asked: pa.Table, scored: pa.Table) -> pa.Table:
+    """Blocks' questions and the scores of their bucket -> answers."""
+    if not asked.num_rows:
+        return _side([])
+    codes = _unpack_codes(scored["keys"][0].as_py())
+    scores = np.frombuffer(scored["counts"][0].as_py(), np.float32)
+    rows = []
+    for block, keys in zip(asked["block"].to_pylist(), asked["keys"]):
+        keys = keys.as_py()
+        rows.append((block, CONTEXTS, None, keys, scores[np.searchsorted(codes, _unpack_codes(keys))].tobytes()))
+    return _side(rows)
+
+
 def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1,
-                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+                    sum_blocks: int = SUM_BLOCKS, answer_blocks: int = ANSWER_BLOCKS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score (unigram), score (context-tree
     weighting); both log10 probabilities of the text with A-Z lower-cased.
@@ -383,10 +420,15 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1,
     train_tokens, vocabulary = (int(sum(k[i] for k in known)) for i in (0, 1))
     each = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
 
-    contexts = asked.where(F.col("kind") == CONTEXTS).groupBy("bucket")
-    # at most 256 last bytes x 255 decision nodes
-    top = TopOfTree(contexts.applyInArrow(_top_of_bucket, "node int, zeros double, ones double, below double")
+    contexts = asked.where(F.col("kind") == CONTEXTS)
+    part = lambda n: F.floor(F.col("block") / n).cast("int").alias("part")
+    summed = cut_lineage(contexts.groupBy("bucket", part(sum_blocks)).applyInArrow(_sum_contexts, SIDE_SQL)
+                         .groupBy("bucket").applyInArrow(_sum_contexts, SIDE_SQL)).groupBy("bucket")
+    # a row per decision node of the two-byte contexts
+    top = TopOfTree(summed.applyInArrow(_top_of_bucket, "node int, zeros double, ones double, below double")
                     .groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow())
+    every = F.explode(F.sequence(F.lit(0), F.lit(int((blocks - 1) // answer_blocks)))).alias("part")
+    scored = summed.applyInArrow(_score_contexts(top), SIDE_SQL).select("bucket", "keys", "counts", every)
 
     def score(table: pa.Table, side: pa.Table) -> pa.Table:
         ids, flags, texts = _unpack_documents(table)
@@ -420,7 +462,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1,
             "score": pa.array(text_scores(texts, codes, scores), pa.float64())})
 
     answers = (words.where(F.col("kind") == WORDS)
-               .unionByName(contexts.applyInArrow(_answer_contexts(top), SIDE_SQL)))
+               .unionByName(contexts.select("block", "bucket", "keys", part(answer_blocks)).groupBy("bucket", "part")
+                            .cogroup(scored.groupBy("bucket", "part")).applyInArrow(_answer_contexts, SIDE_SQL)))
     return packed.cogroup(answers.groupBy("block")).applyInArrow(
         score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
                "train_tokens bigint, base_score double, score double")

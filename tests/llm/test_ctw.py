@@ -113,3 +113,33 @@ def test_no_training_text_and_empty_table(spark):
     assert (got["n_known"], got["train_tokens"]) == (0, 0)
     assert math.isclose(got["score"], 24 * math.log10(0.5), rel_tol=1e-6) and math.isclose(got["base_score"], 0.0, abs_tol=1e-9)
     assert ctw.score_documents(df.limit(0)).count() == 0
+
+
+def test_one_common_ending(spark):
+    # all contexts that matter end alike; blocks are summed in groups, and dealt by a third byte
+    rnd = random.Random(5)
+    rows = [(d, "".join(rnd.choice("abcd") + ". " for _ in range(30))) for d in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    plain = Plain([t.encode() for d, t in rows if not _held_out(d)])
+    got = {r["doc_id"]: r["score"] for r in ctw.score_documents(
+        df, block_bytes=200, bucket_bytes=300, sum_blocks=3, answer_blocks=4).collect()}
+    assert len(got) == 30
+    for d, t in rows:
+        assert math.isclose(got[d], plain.score(t.encode()), rel_tol=1e-6)
+    codes, _ = ctw.block_codes([t.encode() for _, t in rows], [True] * 30)
+    tail = codes[codes >> np.uint64(32) == ord(" ") << 8 | ord(".")]
+    assert len(set(ctw._bucket(tail, 1 << 20).tolist())) == 4
+
+
+def test_rows_are_summed_as_they_come():
+    rnd = np.random.default_rng(1)
+    want, rows = Counter(), []
+    for block in range(50):
+        codes = np.unique(rnd.integers(0, 3000, 400).astype(np.uint64))
+        n = rnd.integers(0, 9, len(codes))
+        for c, k in zip(codes.tolist(), n.tolist()):
+            want[c] += k
+        rows.append((block, ctw.CONTEXTS, 7, ctw._pack_codes(codes), ctw._pack(n)))
+    once = ctw._sum_contexts(ctw._side(rows[:20])).to_pylist() + ctw._sum_contexts(ctw._side(rows[20:])).to_pylist()
+    codes, n = ctw._sum_codes(ctw._side([tuple(r.values()) for r in once]))
+    assert dict(zip(codes.tolist(), n.tolist())) == want
