@@ -76,3 +76,15 @@ def test_saved_footrule_is_the_difference_of_distances():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert pm.nearest(df, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_with_the_registered_parameters(spark):
+    df = spark.read.parquet(SF)
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    got = {}
+    for r in pm.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = _brute(vectors, [i for i in vectors if i % 20 == 0], 20)
+    assert set(got) == set(want)
+    recall = sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (20 * len(want))
+    assert recall >= 0.9, recall
