@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.testdata import table
-from . import bpe, chat, classifier, ctw, exact_dedup, packing, permutation, simhash, suffix_dedup, wrapper
+from . import (bpe, chat, classifier, ctw, exact_dedup, packing, permutation, repair, simhash, suffix_dedup,
+               wrapper)
 from .common import ASCII_LOWER, ASCII_UPPER, with_package
 
 LOWERED = f"translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}')"
@@ -122,11 +123,87 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(table(spark, sf_dir, "pages"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Stand-in for broken logs (the contract's damage): by the CRC-32 of
+    ``conv_id:turn`` a row is dropped, emptied, loses its full stops, is
+    repeated or becomes a user's.  Nulls are one space."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", or_space("role").alias("role"), or_space("text").alias("text"),
+                                kind.alias("kind")).where(F.col("kind") != 0)
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure repair of all ``conversations`` after the contract's damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(damaged(rows), rows)
+
+
+# CRC-32 of an ASCII string: one step a byte, eight shifts a step.
+_CRC32 = ("xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform("
+          "range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::ubigint)), lambda c, b: "
+          "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+          "lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))))")
+SQL_OP11 = (
+    "with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, "
+    "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key "
+    f"from conversations), c as (select *, {_CRC32.format('key')} % 20 as kind from k), "
+    "r as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, "
+    "case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text "
+    "from c, (values (1), (2)) v(copy) where kind <> 0 and (copy = 1 or kind = 3)), "
+    "p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from r), "
+    "o as (select *, row_number() over (partition by conv_id, role, text order by i) as seen, "
+    "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed from p), "
+    "f as (select *, left(role, 1) as l, lag(left(role, 1)) over (partition by conv_id order by i) as before, "
+    "case when trimmed = '' then 'b' when seen > 1 then 'd' "
+    "when right(trimmed, 1) not in ('.', '!', '?') then 't' else '-' end as fault from o), "
+    # state 0: start, 1: after system, 2: after user, 3: after assistant
+    "ins(a, z, edits, added) as (values (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), "
+    "(0, 2, 'I', chr(10) || 'user:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), "
+    "(1, 2, 'I', chr(10) || 'user:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), "
+    "(2, 3, 'I', chr(10) || 'assistant:'), (3, 2, 'I', chr(10) || 'user:')), "
+    "kept(a, l, z) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)), "
+    "given(a, z, role) as (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')), "
+    "edit as (select a, '' as l, a as z, 'D' as e, 4 as cost, '' as role from given "
+    "union all select a, l, z, 'K', 0, '' from kept union all select a, '', z, 'R', 3, role from given), "
+    "n as (select conv_id, count(*) as n from f group by conv_id), "
+    "walk as (select conv_id, cast(0 as bigint) as i, 0 as state, "
+    "{'cost': cast(0 as bigint), 'audit': '', 'out': ''} as best from n "
+    "union all select w.conv_id, w.i + 1, x.z, min({'cost': w.best.cost + 3 * length(ins.edits) + x.cost "
+    "+ case when f.fault = 't' and x.e <> 'D' then 3 else 0 end, 'audit': w.best.audit || ins.edits || x.e, "
+    "'out': w.best.out || ins.added || case x.e when 'D' then '' when 'K' "
+    "then chr(10) || f.role || ':' || f.text else chr(10) || x.role || ':' || f.text end}) "
+    "from walk w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1 "
+    "join ins on ins.a = w.state join edit x on x.a = ins.z and (x.e <> 'K' or x.l = f.l) "
+    "and (x.e = 'D' or f.fault in ('t', '-')) group by w.conv_id, w.i, x.z), "
+    "ends as (select w.conv_id, min({'cost': w.best.cost + 3 * length(ins.edits), "
+    "'audit': w.best.audit || ins.edits, 'out': w.best.out || ins.added}) as best from walk w "
+    "join n on n.conv_id is not distinct from w.conv_id and n.n = w.i "
+    "join ins on ins.a = w.state and ins.z in (0, 3) group by w.conv_id), "
+    "s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, "
+    "count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, "
+    "count(*) filter (fault = 't') as truncated, "
+    "count(*) filter (before || l not in ('su', 'ua', 'au')) as illegal from f group by conv_id) "
+    "select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, "
+    "coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, "
+    "coalesce(best.cost, 0) as cost, coalesce(best.audit, '') as audit, "
+    "sha256(coalesce(substr(best.out, 2), '')) as repaired_sha256 "
+    "from (select distinct conv_id from conversations) a "
+    "left join s on s.conv_id is not distinct from a.conv_id "
+    "left join ends on ends.conv_id is not distinct from a.conv_id")
+
+
 QUERIES = {f.__name__: with_package(f) for f in (
     op1_exact_dedup, op2_best_fit_packing, op3_permutation_index, op4_chat_formatting,
     op5_importance_resampling, op6_simhash_near_dedup, op7_suffix_dedup, op8_bpe_round_trip,
-    op9_context_tree_weighting, op10_wrapper_induction)}
+    op9_context_tree_weighting, op10_wrapper_induction, op11_structure_repair)}
 ORACLES = {
     "op1_exact_dedup": SQL_OP1,
     "op4_chat_formatting": SQL_OP4,
+    "op11_structure_repair": SQL_OP11,
 }
