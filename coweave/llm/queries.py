@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.testdata import table
-from . import (bpe, chat, classifier, ctw, exact_dedup, packing, permutation, repair, simhash, suffix_dedup,
-               wrapper)
+from . import (bpe, chat, classifier, ctw, exact_dedup, lexical, packing, permutation, repair, secret_scan,
+               simhash, suffix_dedup, wrapper)
 from .common import ASCII_LOWER, ASCII_UPPER, with_package
 
 LOWERED = f"translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}')"
@@ -198,12 +198,45 @@ SQL_OP11 = (
     "left join ends on ends.conv_id is not distinct from a.conv_id")
 
 
+def op12_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all ``documents``: base patterns, and keys and tokens whose
+    decoded structure holds."""
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op13_accumulator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best ``documents`` of every ``benchmark`` item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+_TERMS_SQL = (f"unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), "
+              "'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term")
+SQL_OP13 = (
+    "with d as (select row_number() over () as r, doc_id, text from documents), "
+    f"t as (select r, doc_id, {_TERMS_SQL} from d), "
+    "p as (select r, doc_id, term, count(*) as tf from t group by r, doc_id, term), "
+    "n as (select r, cast(sum(tf) as bigint) as n from p group by r), "
+    "g as (select count(*) as nn, cast(sum(n) as bigint) as l from n), "
+    "w as (select term, cast(floor(1000 * ln((2.0::double * nn + 2) / (2.0::double * count(*) + 1))) as bigint) as w "
+    "from p, g group by term, nn), "
+    f"q as (select item_id, term, count(*) as qtf from (select item_id, {_TERMS_SQL} from benchmark) "
+    "group by item_id, term), "
+    "s as (select q.item_id, p.r, p.doc_id, cast(sum(q.qtf * w.w * ((1000000000 * p.tf) // "
+    "(1000 * p.tf + 12 * (75 + (25 * n.n * g.nn) // g.l)))) as bigint) as score "
+    "from q join w using (term) join p using (term) join n using (r), g group by q.item_id, p.r, p.doc_id), "
+    "k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank, "
+    "doc_id, score from s where score > 0) "
+    "select item_id, cast(rank as integer) as rank, doc_id, score from k where rank <= 20")
+
+
 QUERIES = {f.__name__: with_package(f) for f in (
     op1_exact_dedup, op2_best_fit_packing, op3_permutation_index, op4_chat_formatting,
     op5_importance_resampling, op6_simhash_near_dedup, op7_suffix_dedup, op8_bpe_round_trip,
-    op9_context_tree_weighting, op10_wrapper_induction, op11_structure_repair)}
+    op9_context_tree_weighting, op10_wrapper_induction, op11_structure_repair,
+    op12_structural_secrets, op13_accumulator_search)}
 ORACLES = {
     "op1_exact_dedup": SQL_OP1,
     "op4_chat_formatting": SQL_OP4,
     "op11_structure_repair": SQL_OP11,
+    "op13_accumulator_search": SQL_OP13,
 }
