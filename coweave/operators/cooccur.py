@@ -23,24 +23,25 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_ROWS = 2048
 
 
-def _normalise(memberships: DataFrame, work: str, member: str) -> DataFrame:
+def _normalise(memberships: DataFrame, work: str, member: str, carry: tuple[str, ...] = ()) -> DataFrame:
     # Rows with a null key take part in no pair.  Filtering them here, once,
     # makes every branch below share one identical subtree, so Spark reuses
     # a single scan + exchange for the sizes and both join sides.
     return (memberships.select(F.col(work).alias("work_id"),
-                               F.col(member).cast("bigint").alias("member"))
+                               F.col(member).cast("bigint").alias("member"), *carry)
             .where(F.col("work_id").isNotNull() & F.col("member").isNotNull()))
 
 
 def work_blocks(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
-                work: str = "work_id", member: str = "member") -> DataFrame:
-    """Attach ``nb`` (hash blocks of the row's work) and ``blk`` to each row.
+                work: str = "work_id", member: str = "member", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Attach ``nb`` (hash blocks of the row's work) and ``blk`` to each row;
+    the columns in ``carry`` come along.
 
     Only works above ``block_rows`` are looked up; that list is at most
     rows / block_rows long, and AQE broadcasts it only once its measured size
     is under the broadcast threshold, falling back to a shuffle join.
     """
-    m = _normalise(memberships, work, member)
+    m = _normalise(memberships, work, member, carry)
     hot = (m.groupBy("work_id").agg(F.count(F.lit(1)).alias("k"))
             .where(F.col("k") > block_rows)
             .select("work_id",

@@ -421,6 +421,63 @@ ORACLES.update({
 })
 
 
+# --------------------------------------------------------------------------
+# heavy edges by overlap join, growing input
+
+from ..operators import incremental, overlap  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+HOUR_MIN_W = 3        # heavy-edge threshold of the hour graph
+APPENDED = 5          # batches the memberships arrive in
+
+
+def q_heavy_edges_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 + J4: the heavy edges again, found without counting all pairs."""
+    h = overlap.heavy_overlaps(td.memberships(spark, sf_dir), HEAVY_MIN_W)
+    g = gr.CoGraph(td.vertices(spark, sf_dir), h)
+    return gr.triplets(g, symmetric=False).select("src", "dst", "w", "src_name", "dst_name")
+
+
+EH_SQL = "select distinct event_type, date_trunc('hour', ts) as slot, user_id as member from events"
+
+
+def q_event_hour_heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 on the densest graph (event type and hour): pairs of users who met in
+    at least three slots."""
+    return overlap.heavy_overlaps(td.event_hour_memberships(spark, sf_dir), HOUR_MIN_W)
+
+
+SQL_EVENT_HOUR_HEAVY_EDGES = (
+    f"with m as ({EH_SQL}), e as ({EE_SQL}) select src, dst, w from e where w >= {HOUR_MIN_W}")
+
+
+def q_incremental_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 + S12: the pair counts kept while the memberships arrive in batches
+    (by line number, so that most works grow several times); one batch comes
+    twice, and the deltas are merged once on the way."""
+    view = incremental.EdgeView(spark, scratch_path(spark))
+    lines = td.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("work_id"), F.col("l_partkey").alias("member"),
+        (F.col("l_linenumber") % APPENDED).alias("batch"))
+    for batch in [0, 1, 2, 1, 3, 4]:
+        view.append(batch, lines.where(F.col("batch") == batch).select("work_id", "member"))
+        if batch == 2:
+            view.compact()
+    return view.edges()
+
+
+QUERIES.update({
+    "heavy_edges_prefix": q_heavy_edges_prefix,
+    "event_hour_heavy_edges": q_event_hour_heavy_edges,
+    "incremental_edges": q_incremental_edges,
+})
+ORACLES.update({
+    "heavy_edges_prefix": SQL_HEAVY_EDGES,
+    "event_hour_heavy_edges": SQL_EVENT_HOUR_HEAVY_EDGES,
+    "incremental_edges": SQL_COOCCUR_EDGES,
+})
+
+
 # --------------------------------------------------------------------------
 # exports
 

@@ -179,26 +179,26 @@ SQL_GEXF_ROUND_TRIP = f"{gq.EV_CTE} select src, dst, cast(w as bigint) as w from
 # -- T1, T2, T6, T7, A12, F1, P15, P16, A13 ------------------------------------
 
 def q_sorted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labels in order, with the place each got."""
-    v = ranking.sort_by_label(td.vertices(spark, sf_dir))
-    # places are per sorted partition; the order is what the sort returned
-    return v.select("id", "name")
+    """All labels with the exact place each has in the order."""
+    return ranking.placed_by_label(td.vertices(spark, sf_dir)).select("place", "id", "name")
 
 
-SQL_SORTED_LABELS = "select p_partkey as id, p_name as name from part order by name, id"
+SQL_SORTED_LABELS = ("select row_number() over (order by p_name, p_partkey) as place, "
+                     "p_partkey as id, p_name as name from part")
 
 
 def q_ranked_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + A13 + P16: members by falling degree, from a keyed reduce."""
     g = gq.event_graph(spark, sf_dir)
     d = gr.reduce_by_key(g.symmetric().withColumnRenamed("src", "id"), ["id"], {"coworks": F.sum("w")})
-    ranked = ranking.rank_by_value(gr.attach_label(d, g.vertices), "coworks")
+    ranked = ranking.placed_by_value(gr.attach_label(d, g.vertices), "coworks")
     name, value = scalars.view_pairs(F.col("name"), F.col("coworks").cast("string"))
-    return ranked.select(name.alias("name"), value.alias("value"))
+    return ranked.select("place", name.alias("name"), value.alias("value"))
 
 
-SQL_RANKED_DEGREES = (f"{gq.EV_CTE} select v.name, cast(sum(s.w) as double) as value from s "
-                      "join v on v.id = s.src group by s.src, v.name")
+SQL_RANKED_DEGREES = (f"{gq.EV_CTE}, d as (select v.name, s.src as id, cast(sum(s.w) as double) as value from s "
+                      "join v on v.id = s.src group by s.src, v.name) "
+                      "select row_number() over (order by value desc, name, id) as place, name, value from d")
 
 
 def q_head_of_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,13 +245,14 @@ SQL_LABEL_PARTS = ("select p_partkey as id, split_part(p_name, ' ', 1) as word,
 # -- M1-M3, F3, X2, X3: map columns ---------------------------------------------
 
 def _user_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, a, b): per user the hour -> count maps of clicks and of views."""
+    """(id, a, b): per user the hour -> count maps of its events on even and
+    on odd days of the month."""
     ev = td.table(spark, sf_dir, "events")
-    n = (ev.where(F.col("event_type").isin("click", "view"))
-         .groupBy("user_id", "event_type", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).cast("int").alias("n")))
-    entries = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(
-        F.when(F.col("event_type") == kind, F.struct("h", "n")))))
-    return n.groupBy(F.col("user_id").alias("id")).agg(entries("click").alias("a"), entries("view").alias("b"))
+    n = (ev.groupBy("user_id", (F.dayofmonth("ts") % 2).alias("odd"), F.hour("ts").alias("h"))
+         .agg(F.count(F.lit(1)).cast("int").alias("n")))
+    entries = lambda odd: F.map_from_entries(F.array_sort(F.collect_list(
+        F.when(F.col("odd") == odd, F.struct("h", "n")))))
+    return n.groupBy(F.col("user_id").alias("id")).agg(entries(0).alias("a"), entries(1).alias("b"))
 
 
 def _pairs(m) -> "F.Column":
@@ -276,8 +277,8 @@ def q_map_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_MAP_MERGES = (
-    "with n as (select user_id, hour(ts) as h, count(*) filter (event_type = 'click') as x, "
-    "count(*) filter (event_type = 'view') as y from events where event_type in ('click', 'view') group by all), "
+    "with n as (select user_id, hour(ts) as h, count(*) filter (day(ts) % 2 = 0) as x, "
+    "count(*) filter (day(ts) % 2 = 1) as y from events group by all), "
     "l as (select user_id as id, h, x, y, cast(h as varchar) as k from n) "
     "select id, "
     "coalesce(string_agg(k || '=' || cast(case when x = 0 then y when y = 0 then x else least(x, y) end as varchar), ' ' order by h), '') as least, "

@@ -9,7 +9,7 @@ Mapping (fixed):
                 distinct
   vertices      id = p_partkey, name = p_name from ``part``
   dense graph   work_id = event type and ten-minute slot of ``events.ts``,
-                member = user_id, distinct
+                member = user_id, distinct; the densest one by the hour
   ticks         name = user_id as text, pct = (value % 20) - 10,
                 period = ts as yyyy-MM-dd, index = ts as text, seq = event_id;
                 'error' events carry their ``props`` JSON as the message, a
@@ -47,6 +47,15 @@ def event_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("user_id").alias("member")).distinct()
 
 
+def event_hour_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densest graph: users with an event of one type in the same hour.
+    (work_id STRING, member BIGINT)."""
+    ev = table(spark, sf_dir, "events")
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    return ev.select(F.concat_ws("|", "event_type", slot.cast("string")).alias("work_id"),
+                     F.col("user_id").alias("member")).distinct()
+
+
 def event_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user of ``events`` as a vertex; the label is the id as text."""
     ev = table(spark, sf_dir, "events")
