@@ -7,13 +7,17 @@ rank of part i with part i + 1.  The encoder scans the ranks for the minimum
 neighbours, until no pair can merge.
 
 Words are short, so the scan beats a heap; the ids of words seen before come
-from a bounded cache in each task.
+from a bounded cache in each task.  The scan's cost is quadratic, though, and a
+text may hold one "word" of a million letters: beyond ``LONG_WORD`` bytes the
+parts are linked to their neighbours and a heap finds the minimum, with the same
+merges in the same order.  Long words are not cached.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
@@ -27,6 +31,8 @@ from .common import BoundedCache, ids_and_texts, per_batch
 # Fixed value: the split of this family of byte-level vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NO_RANK = 1 << 60
+LONG_WORD = 512          # bytes of the longest word whose ranks are scanned
+CACHED_CHARS = 128       # longest chunk that is cached
 
 
 def byte_symbols() -> dict[str, int]:
@@ -39,6 +45,13 @@ def byte_symbols() -> dict[str, int]:
     return out
 
 
+class ShortCache(BoundedCache):
+    """A cache that only keeps short texts, so its bytes are bounded, too."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= CACHED_CHARS else self.fill(key)
+
+
 def pack(ids: Iterable[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -65,13 +78,15 @@ class RankArrayBpe:
         self.split_special = (regex.compile("(" + "|".join(
             regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
             if self.special else None)
-        self.by_word = BoundedCache(lambda w: pack(self.encode_word(w.encode())))
-        self.by_chunk = BoundedCache(lambda c: b"".join(
+        self.by_word = ShortCache(lambda w: pack(self.encode_word(w.encode())))
+        self.by_chunk = ShortCache(lambda c: b"".join(
             map(self.by_word.__getitem__, WORDS.findall(c))))
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one word.  Part i is ``word[start[i]:start[i + 1]]`` with the
         id ``part[i]``."""
+        if len(word) > LONG_WORD:
+            return self.encode_long_word(word)
         start = list(range(len(word) + 1))
         part = list(map(self.of_byte.__getitem__, word))
         code = self.merges.get
@@ -89,6 +104,40 @@ class RankArrayBpe:
                 rank[i - 1] = code(part[i - 1] << 16 | part[i], NO_RANK)
         return part
 
+    def encode_long_word(self, word: bytes) -> list[int]:
+        """Ids of a word of any length in n log n steps: the pairs wait in a
+        heap by rank, then place (leftmost first).  A pair that has changed
+        since is known by its code and passed over."""
+        part = list(map(self.of_byte.__getitem__, word))
+        n = len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        code = self.merges.get
+        now = [code(a << 16 | b, NO_RANK) for a, b in zip(part, part[1:])] + [NO_RANK]
+        heap = [(c, i) for i, c in enumerate(now) if c != NO_RANK]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            least, i = pop(heap)
+            if now[i] != least:
+                continue
+            gone = after[i]
+            part[i], part[gone] = least & 0xFFFF, -1
+            now[gone] = NO_RANK
+            after[i] = nxt = after[gone]
+            if nxt < n:
+                before[nxt] = i
+                now[i] = c = code(part[i] << 16 | part[nxt], NO_RANK)
+                if c != NO_RANK:
+                    push(heap, (c, i))
+            else:
+                now[i] = NO_RANK
+            prev = before[i]
+            if prev >= 0:
+                now[prev] = c = code(part[prev] << 16 | part[i], NO_RANK)
+                if c != NO_RANK:
+                    push(heap, (c, prev))
+        return [p for p in part if p >= 0]
+
     def encode_packed(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
         if self.split_special is None:

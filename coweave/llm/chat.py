@@ -118,9 +118,10 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 def format_messages(messages: DataFrame) -> DataFrame:
     """Every message rendered: conv_id, turn, message, role, segment,
-    loss_start, loss_end.  The formatted conversation is its segments joined
-    in the order of turn, role, text and message; the text of an assistant is
-    under the loss mask (characters of the segment; null for other roles)."""
+    text_start, text_end, loss_start, loss_end.  The formatted conversation is
+    its segments joined in the order of turn, role, text and message; text_start
+    and text_end bound the escaped text (characters of the segment), which is
+    under the loss mask where the role is assistant (else null)."""
     @per_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         roles, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -128,20 +129,24 @@ def format_messages(messages: DataFrame) -> DataFrame:
         under = [r == "assistant" for r in roles]
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:4], pa.array([s for s, _, _ in out], pa.string()),
+             pa.array([a for _, a, _ in out], pa.int64()), pa.array([b for _, _, b in out], pa.int64()),
              pa.array([a if u else None for u, (_, a, _) in zip(under, out)], pa.int64()),
              pa.array([b if u else None for u, (_, _, b) in zip(under, out)], pa.int64())],
-            names=["conv_id", "turn", "message", "role", "segment", "loss_start", "loss_end"])
+            names=["conv_id", "turn", "message", "role", "segment", "text_start", "text_end",
+                   "loss_start", "loss_end"])
     ordered = messages.select("conv_id", "turn", "message", "role", "text")
     return ordered.mapInArrow(run, "conv_id bigint, turn bigint, message bigint, role string, "
-                                   "segment string, loss_start bigint, loss_end bigint")
+                                   "segment string, text_start bigint, text_end bigint, "
+                                   "loss_start bigint, loss_end bigint")
 
 
 def conversation_digests(segments: DataFrame) -> DataFrame:
     """Per conversation, read back from its formatted segments: n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    A hash over a whole conversation is sequential, so its segments pass
-    through one task in order, one at a time; nothing is gathered.
+    Messages of one turn go by role, then by their own (unescaped) text, then
+    by message.  A hash over a whole conversation is sequential, so its segments
+    pass through one task in order, one at a time; nothing is gathered.
     """
     fields = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
               "loss_sha256 string, formatted_chars bigint")
@@ -177,6 +182,10 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
 
-    ordered = (segments.repartition("conv_id")
-               .sortWithinPartitions("conv_id", "turn", "role", "segment", "message"))
+    # the escapes of a text would change its place, so it is sorted without them
+    escaped = F.substring(F.col("segment"), F.col("text_start").cast("int") + 1,
+                          (F.col("text_end") - F.col("text_start")).cast("int"))
+    text = F.regexp_replace(escaped, r"(?s)\\(.)", "$1")
+    ordered = (segments.repartition("conv_id").sortWithinPartitions(
+        "conv_id", "turn", F.coalesce("role", F.lit("")), text, "message"))
     return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, fields)

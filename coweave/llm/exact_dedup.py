@@ -200,12 +200,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The dropped rows are found by (doc_id, digest); a row repeated under one
-    doc_id is thinned to one by the same pair.
+    A row is known by its doc_id and digest.  Only what must go is listed:
+    keys of which no row stays, and keys repeated exactly, which are thinned to
+    one row.  The list is written, so the planner knows its size: it is sent to
+    the texts where it is small, and they are shuffled once where it is not.
     """
+    rows = exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(
+        F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    listed = cut_lineage(rows.where(~F.col("stays") | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("listed_id"), F.unhex("text_sha256").alias("listed_digest"), "stays"))
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), ASCII_UPPER, ASCII_LOWER)
-    key = fresh_name(docs, "row_key")
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.sha2(lowered, 256).alias("text_sha256")))
-    stay = exact_duplicates(docs).where("kept").select(F.struct("doc_id", "text_sha256").alias("stay"))
-    kept = keyed.join(stay, keyed[key].eqNullSafe(stay["stay"]), "left_semi")
-    return kept.dropDuplicates([key]).drop(key)
+    key = fresh_name(docs, "row_digest")
+    keyed = docs.withColumn(key, F.unhex(F.sha2(lowered, 256)))
+    met = keyed.join(listed, keyed["doc_id"].eqNullSafe(listed["listed_id"])
+                     & (keyed[key] == listed["listed_digest"]), "left")
+    columns = [keyed[f"`{c}`"] for c in docs.columns]
+    stays = met.where(listed["stays"].isNull()).select(*columns)
+    thinned = met.where(listed["stays"]).select(*columns, keyed[key]).dropDuplicates(["doc_id", key]).drop(key)
+    return stays.unionByName(thinned)

@@ -16,6 +16,7 @@ pairs; lists above ``hot_list`` are first split by longer groups.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ids_and_texts, per_batch
+from .common import ids_and_texts, per_batch, text_bytes
 from .components import components
 
 POSITIONS = 8
@@ -59,14 +60,17 @@ def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp bigint): the fingerprint's 64 bits as a signed number, one
-    row per row of ``docs``.  Null and wordless texts have fingerprint zero."""
+    """(doc_id, fp bigint, digest): the fingerprint's 64 bits as a signed
+    number and the SHA-256 of the text, one row per row of ``docs``.  Null and
+    wordless texts have fingerprint zero."""
     @per_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()],
-                       np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
-    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+        texts = batch.column(1).to_pylist()
+        fps = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64)
+        digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), digests],
+                                          names=["doc_id", "fp", "digest"])
+    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, fp bigint, digest binary")
 
 
 def position_groups(max_bits: int) -> list[tuple[int, ...]]:
@@ -196,6 +200,13 @@ def simhash_classes(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
     smallest id (null if its class has none).  Repeated rows and ties share a
     class; an empty table gives an empty result.
     """
+    return (_classed(docs, shingle_words, max_bits)
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                    "component_id"))
+
+
+def _classed(docs: DataFrame, shingle_words: int, max_bits: int) -> DataFrame:
+    """(doc_id, fp, digest, component_id), one row per row of ``docs``."""
     prints = cut_lineage(fingerprints(docs, shingle_words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(distinct.select("fp"), max_bits))
@@ -205,15 +216,20 @@ def simhash_classes(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
     # split a class that holds a large part of all fingerprints
     least = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_print = rooted.join(least, "root").select("fp", "component_id")
-    return (prints.join(by_print, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
+    return prints.join(by_print, "fp")
 
 
 def keep_class_representatives(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class; rows
-    without doc_id stay where their class has no id at all."""
-    keep = (simhash_classes(docs, shingle_words, max_bits)
-            .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("representative")).distinct())
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["representative"]), "left_semi")
+    """The rows of ``docs`` whose doc_id is the smallest of their own class;
+    rows without doc_id stay where their class has no id at all.
+
+    A row is known by its doc_id and the digest of its text, so of rows that
+    share a doc_id only those of the class it represents stay.  The rows that
+    go are listed and written: the planner sends a small list to the texts.
+    """
+    go = cut_lineage(_classed(docs, shingle_words, max_bits)
+                     .where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+                     .select(F.col("doc_id").alias("go_id"), F.col("digest").alias("go_digest")).distinct())
+    digest = F.unhex(F.sha2(text_bytes(), 256))
+    return docs.join(go, docs["doc_id"].cast("bigint").eqNullSafe(go["go_id"])
+                     & (digest == go["go_digest"]), "left_anti")

@@ -1,6 +1,8 @@
 """Byte-level BPE against the tokenizers library."""
 
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -47,3 +49,26 @@ def test_job(spark):
     back = bpe.decode_documents(bpe.encode_documents(df, PATH), PATH)
     assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(((d, t or "") for d, t in rows), key=str)
     assert bpe.round_trip_digests(df.limit(0), PATH).count() == 0
+
+
+def test_words_of_any_length_in_seconds():
+    """Both routes merge alike; a word of a megabyte takes seconds."""
+    rnd = random.Random(6)
+    kinds = [lambda n: "a" * n, lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)),
+             lambda n: "".join(rnd.choices("ACGT", k=n)), lambda n: "".join(rnd.choices("日本語の文字", k=n)),
+             lambda n: "".join(rnd.choices("=+/Ab9", k=n)), lambda n: "ab" * (n // 2), lambda n: "1" * n]
+    for kind in kinds:
+        for n in (bpe.LONG_WORD // 2, bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 5000):
+            text = kind(n)
+            ids = np.frombuffer(ours.encode_packed(text), np.uint32).tolist()
+            assert ids == REFERENCE.encode(text, add_special_tokens=False).ids
+        word = kind(400).encode()
+        assert ours.encode_word(word[:bpe.LONG_WORD]) == ours.encode_long_word(word[:bpe.LONG_WORD])
+    for kind in kinds[:2]:
+        text = kind(1_000_000)
+        began = time.perf_counter()
+        packed = ours.encode_packed(text)
+        assert time.perf_counter() - began < 60
+        assert ours.decode_packed(packed).decode() == text
+        assert np.frombuffer(packed, np.uint32).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
+    assert all(len(k) <= bpe.CACHED_CHARS for k in [*ours.by_word, *ours.by_chunk])

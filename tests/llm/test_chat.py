@@ -58,3 +58,20 @@ def test_digests_of_odd_rows(spark):
 def test_empty_log(spark):
     empty = chat.reconstruct(spark.createDataFrame([], EVENTS))
     assert chat.conversation_digests(chat.format_messages(empty)).count() == 0
+
+
+def test_ties_of_one_turn_equal_the_sql(spark, tmp_path):
+    """Messages of one turn go by role and raw text, as in the registered SQL."""
+    import duckdb
+    texts = ["a", "a b", "a</turn>", "a\\", "a\\b", "a###", "a#", "ab", "", None, "###", "##", "\\###", "é", "a\n", "a:"]
+    roles = ["user", "assistant", "us:er", "us\\er", None, "###"]
+    rows = [(c, c % 2, r, t) for c in range(3) for r in roles for t in texts] + [(1, None, "user", "late"), (1, 1, "user", "a")] * 2
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    path = str(tmp_path)
+    df.coalesce(1).write.mode("overwrite").parquet(path + "/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{path}/conversations.parquet/*.parquet')")
+    # nulls first: the order that the job gives a missing turn
+    want = con.sql(queries.SQL_OP4.replace("order by turn,", "order by turn nulls first,"))
+    got = queries.op4_chat_formatting(spark, path)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())

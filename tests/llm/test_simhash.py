@@ -98,3 +98,14 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.simhash_classes(df).count() == 0
+
+
+def test_a_row_stays_by_its_own_class(spark):
+    """Rows that share a doc_id may be of different classes."""
+    a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, "only without an id")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, go_id int")
+    got = simhash.keep_class_representatives(df, 3, 3)
+    assert got.columns == df.columns
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=str) == sorted(
+        [(1, a), (2, b), (None, "only without an id")], key=str)
