@@ -52,13 +52,30 @@ def test_odd_vectors_ties_and_few_candidates(spark):
         (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 3, 1.0), (20, 4, 0, 0.0)]
 
 
-def test_copies_of_one_vector_give_the_smallest_ids(spark):
+def test_copies_of_one_vector_equal_brute_force(spark):
+    """400 equal vectors (ties to the smaller id) among longer and shorter
+    ones: what the largest products are says brute force."""
     rnd = random.Random(1)
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(400)] + [
         (i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(400, 900)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = pm.nearest(df, F.col("vec_id") == 100, 5, n_pivots=16, prefix=8).where("score = 1.0")
-    assert sorted(r["vec_id"] for r in got.collect()) == [0, 1, 2, 3, 4]
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    got = pm.nearest(df, F.col("vec_id") == 100, 5, n_pivots=16, prefix=8).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == _brute(vectors, [100], 5)[100]
+    same = spark.createDataFrame(rows[:400], "vec_id bigint, embedding array<float>")
+    got = pm.nearest(same, F.col("vec_id") == 100, 5, n_pivots=16, prefix=8).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(5)]
+
+
+def test_rows_that_share_an_id_and_differ_are_all_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (0, [3.0, 0.0]), (2, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = pm.nearest(df, (F.col("vec_id") == 0) & (F.col("embedding")[0] == 1.0), 20).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [
+        (0, 1, 0, 3.0), (0, 2, 1, 2.0), (0, 3, 1, 1.0), (0, 4, 2, 0.5)]
+    both = pm.nearest(df, F.col("vec_id") == 0, 20).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in both) == sorted(
+        [(1, 0, 3.0), (2, 1, 2.0), (3, 1, 1.0), (4, 2, 0.5), (1, 1, 6.0), (2, 0, 3.0), (3, 1, 3.0), (4, 2, 1.5)])
 
 
 def test_saved_footrule_is_the_difference_of_distances():
@@ -88,3 +105,43 @@ def test_recall_with_the_registered_parameters(spark):
     assert set(got) == set(want)
     recall = sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (20 * len(want))
     assert recall >= 0.9, recall
+
+
+def test_recall_where_norms_differ(spark):
+    """The registered parameters on the test vectors, with log-normal norms
+    and with one vector a thousand times as long as all others."""
+    base = spark.read.parquet(SF).select("vec_id", "embedding")
+    given = {r["vec_id"]: np.array(r["embedding"], float) for r in base.collect()}
+    rnd = np.random.default_rng(9)
+    for sigma, huge in ((0.5, 1.0), (1.0, 1.0), (0.5, 1000.0)):
+        vectors = {i: v * float(np.exp(rnd.normal(0, sigma))) * (huge if i == 7 else 1.0) for i, v in given.items()}
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id bigint, embedding array<double>")
+        got = {}
+        for r in pm.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        want = _brute(vectors, [i for i in vectors if i % 20 == 0], 20)
+        recall = sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (20 * len(want))
+        assert recall >= 0.9, (sigma, huge, recall)
+
+
+def test_recall_of_the_shards_of_a_larger_table():
+    """A full shard of the registered size, modelled in numpy: 8 % of it are
+    reranked (the test tables above are small, so 256 rows are a larger part)."""
+    rnd = np.random.default_rng(3)
+    n, dim = pm.SHARD_ROWS, 64
+    for sigma in (0.0, 0.5, 1.0):
+        x = rnd.normal(size=(n, dim))
+        x *= (np.exp(rnd.normal(0, sigma, n)) / np.linalg.norm(x, axis=1))[:, None]
+        norms = np.linalg.norm(x, axis=1)
+        norm = float(np.quantile(norms, 1 - pm.LONG_SHARE, method="higher"))
+        pivots = pm.filled_up(x[rnd.choice(n, pm.PIVOTS, replace=False)], norm)
+        files = pm.InvertedFiles(pm.pivot_orders(pm.filled_up(x, norm), pivots, pm.PREFIX), pm.PIVOTS)
+        orders = pm.pivot_orders(x[:60], pivots[:, :-1], pm.PREFIX)
+        some, hits = int(pm.RERANK_SHARE * n) + 20, 0
+        long = set(np.flatnonzero(norms > norm).tolist())
+        for q in range(60):
+            scores = x @ x[q]
+            scores[q] = -np.inf
+            kept = set(np.argsort(-files.saved(orders[q]), kind="stable")[:some].tolist()) | long
+            hits += len(kept & set(np.argsort(-scores)[:20].tolist()))
+        assert hits / 1200 >= 0.9, (sigma, hits / 1200)
