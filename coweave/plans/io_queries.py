@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import maps, scalars
 from ..operators import cooccur, graph as gr, khop, ranking, ticks as tk
 from ..session import scratch_path
-from ..sources import daily_csv, gexf, messages, testdata as td, text
+from ..sources import daily_csv, gexf, listings, messages, testdata as td, text
 from . import graph_queries as gq
 from .tick_queries import C_SQL, R_SQL, T_SQL, parsed_ticks
 
@@ -51,11 +51,11 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_memberships_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S13 + P10 + S3 + A5: listings written per member and read; pair counts
-    of what was read, both directions folded into one."""
+    """S13 + P10 + S3 + A5: listings written in order of their members and read;
+    pair counts of what was read, both directions folded into one."""
     path = scratch_path(spark)
-    text.write_memberships(_listings(spark, sf_dir), path)
-    rows = text.membership_rows(text.read_memberships(spark, path + "/*"))
+    listings.write_listings(_listings(spark, sf_dir), path)
+    rows = text.membership_rows(listings.read_listings(spark, path))
     return cooccur.fold_symmetric(cooccur.symmetrize(cooccur.cooccurrence_edges(rows)))
 
 
@@ -63,11 +63,34 @@ SQL_MEMBERSHIPS_ROUND_TRIP = (f"with m as ({gq.M_SQL}), e as ({gq.E_SQL}) "
                               "select src, dst, cast(2 * w as bigint) as w from e")
 
 
+def q_member_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 + S3: all works listed under one member, of two appends, found by the
+    index: the member with the most listings, ties to the smaller id."""
+    path = scratch_path(spark)
+    lines = _listings(spark, sf_dir)
+    size = F.size("members") % 2
+    listings.write_listings(lines.where(size == 0), path, append="even")
+    listings.write_listings(lines.where(size == 1), path, append="odd")
+    most = (listings.index_of(spark, path).groupBy("member").agg(F.sum("rows").alias("n"))
+            .orderBy(F.desc("n"), "member").first())
+    if most is None:
+        return spark.createDataFrame([], "member bigint, line string")
+    got = listings.read_member(spark, path, most["member"])
+    return got.select("member", maps.ids_to_line(F.col("members")).alias("line"))
+
+
 def q_member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: every work's members as one line."""
     return _listings(spark, sf_dir).select("member", maps.ids_to_line(F.col("members")).alias("line"))
 
 
+SQL_MEMBER_LISTING = (
+    f"with m as ({gq.M_SQL}), l as (select min(member) as member, "
+    "string_agg(cast(member as varchar), ' ' order by member) as line from m group by work_id), "
+    "t as (select member from l group by member order by count(*) desc, member limit 1) "
+    "select l.member, l.line from l join t using (member)")
+
+
 SQL_MEMBER_LINES = (f"with m as ({gq.M_SQL}) select min(member) as member, "
                     "string_agg(cast(member as varchar), ' ' order by member) as line from m group by work_id")
 
@@ -351,6 +374,7 @@ QUERIES = {
     "vertices_round_trip": q_vertices_round_trip,
     "pair_counts_round_trip": q_pair_counts_round_trip,
     "memberships_round_trip": q_memberships_round_trip,
+    "member_listing": q_member_listing,
     "member_lines": q_member_lines,
     "distinct_members": q_distinct_members,
     "daily_files": q_daily_files,
@@ -374,6 +398,7 @@ ORACLES = {
     "vertices_round_trip": SQL_VERTICES_ROUND_TRIP,
     "pair_counts_round_trip": SQL_PAIR_COUNTS_ROUND_TRIP,
     "memberships_round_trip": SQL_MEMBERSHIPS_ROUND_TRIP,
+    "member_listing": SQL_MEMBER_LISTING,
     "member_lines": SQL_MEMBER_LINES,
     "distinct_members": SQL_DISTINCT_MEMBERS,
     "daily_files": SQL_DAILY_FILES,
