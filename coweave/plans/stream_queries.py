@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ticks as tk
 from ..session import scratch_path
-from ..sources import messages, testdata as td
-from ..streaming import ticks_stream as ts
+from ..sources import messages, replay, testdata as td
+from ..streaming import latest_run, ticks_stream as ts
 from .tick_queries import C_SQL, ROUND_SQL, R_SQL, T_SQL, TR_SQL
 
 TOP = tk.TOP_STREAM
@@ -147,6 +147,66 @@ SQL_STREAM_EVENT_TIME = (
     "from r, e where period < strftime(e.open, '%Y-%m-%d') group by name, period")
 
 
+def _drain(query) -> None:
+    """Let a query work off its source, then end it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def _replay(spark: SparkSession, sf_dir: str, *cols) -> str:
+    path = scratch_path(spark)
+    rows = tk.month_batches(td.tick_rows(spark, sf_dir), "period", "2024-01-01 00:00:00")
+    replay.write_replay(rows.select("batch_no", *cols), path)
+    return path
+
+
+def q_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + W10 + P6 + P8: ticks replayed as a streaming source, one period a
+    trigger, with the micro-batch each came in."""
+    path = _replay(spark, sf_dir, "name", F.col("pct").alias("stockUpAndDrop"), F.col("period").alias("currMonth"), "index")
+    out, checkpoint = scratch_path(spark), scratch_path(spark)
+    stream = replay.read_replay(spark, path, f"{checkpoint}-progress")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("value").write.mode("overwrite").text(f"{out}/batch={batch_id}")
+    _drain(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start())
+    got = spark.read.option("basePath", out).text(f"{out}/batch=*").select(F.col("batch").cast("bigint").alias("seq"), "value")
+    return tk.parse_ticks(got).select((F.col("seq") + 1).alias("batch"), "name", "stockUpAndDrop", "currMonth", "index")
+
+
+SQL_REPLAY_STREAM = (
+    f"with r as ({R_SQL}) select dense_rank() over (order by r.period) as batch, r.name, r.pct as stockUpAndDrop, "
+    "r.period as currMonth, strftime(e.ts, '%Y-%m-%d %H:%M:%S') as \"index\" from r join events e on e.event_id = r.seq")
+
+
+def q_stream_latest_run_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 + W10 with keyed state: the last run of the replayed ticks."""
+    path = _replay(spark, sf_dir, "name", F.col("period").alias("month"), F.col("pct").alias("trend"))
+    run, checkpoint = scratch_path(spark), scratch_path(spark)
+    stream = replay.read_replay(spark, path, f"{checkpoint}-progress", periods=10)
+    _drain(latest_run.start_latest_run(stream, run, checkpoint))
+    return latest_run.current(spark, run).select("name", "month", "trend")
+
+
+def q_stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1-W5 + S6: both results of the tick job, published in one commit an
+    epoch and read back."""
+    out = scratch_path(spark)
+    stream = messages.read_tick_stream(spark, "text", _input(spark, sf_dir))
+    ts.start_tick_job(stream, ts.TickTopicsWriter(out), scratch_path(spark), trigger="availableNow").awaitTermination()
+    m = F.from_json("value", "name string, month string, total bigint, trend double")
+    got = replay.read_topics(spark, out).select("epoch", "topic", m.alias("m"))
+    value = F.coalesce(F.col("m.total").cast("double"), F.round("m.trend", 6))
+    return got.select("epoch", "topic", "m.name", "m.month", value.alias("value"))
+
+
+SQL_STREAM_TOPICS = (
+    f"select cast(0 as bigint) as epoch, 'times' as topic, name, month, cast(total as double) as value "
+    f"from ({SQL_STREAM_TOP_COUNTS}) union all select 0, 'trend', name, month, trend from ({SQL_STREAM_TOP_TRENDS})")
+
+
 QUERIES = {
     "stream_top_counts": q_stream_top_counts,
     "stream_top_trends": q_stream_top_trends,
@@ -155,6 +215,9 @@ QUERIES = {
     "stream_routes": q_stream_routes,
     "stream_latest_run": q_stream_latest_run,
     "stream_event_time": q_stream_event_time,
+    "replay_stream": q_replay_stream,
+    "stream_latest_run_keyed": q_stream_latest_run_keyed,
+    "stream_topics": q_stream_topics,
 }
 ORACLES = {
     "stream_top_counts": SQL_STREAM_TOP_COUNTS,
@@ -164,4 +227,7 @@ ORACLES = {
     "stream_routes": SQL_STREAM_ROUTES,
     "stream_latest_run": SQL_STREAM_LATEST_RUN,
     "stream_event_time": SQL_STREAM_EVENT_TIME,
+    "replay_stream": SQL_REPLAY_STREAM,
+    "stream_latest_run_keyed": SQL_STREAM_LATEST_RUN,
+    "stream_topics": SQL_STREAM_TOPICS,
 }

@@ -25,6 +25,7 @@ from ..functions.scalars import message_route, parse_tick
 from ..operators import ticks as tk
 from ..operators.ranking import sort_ascending_view
 from ..sources.messages import to_messages
+from ..sources.replay import write_topics
 
 TIMES_TOPIC = "times"
 TREND_TOPIC = "trend"
@@ -58,6 +59,24 @@ def topic_publisher(servers: str) -> Publisher:
     return publish
 
 
+class TickTopicsWriter:
+    """W5 + S6: both results of a batch as one epoch of ``sources.replay``'s
+    topic sink: they become visible in one commit, or neither does."""
+
+    def __init__(self, path: str, n: int = tk.TOP_STREAM):
+        self.path, self.n = path, n
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            counts, trends = batch_results(batch, self.n)
+            both = to_messages(counts.select("name", "month", "total"), TIMES_TOPIC).unionByName(
+                to_messages(trends.select("name", "month", "trend"), TREND_TOPIC))
+            write_topics(both, self.path, batch_id)
+        finally:
+            batch.unpersist()
+
+
 class TickBatchWriter:
     """The ``foreachBatch`` function — one source, two result topics.
 
@@ -79,13 +98,14 @@ class TickBatchWriter:
             batch.unpersist()
 
 
-def start_tick_job(source: DataFrame, out: str | Publisher, checkpoint: str,
+def start_tick_job(source: DataFrame, out: str | Publisher | TickTopicsWriter, checkpoint: str,
                    trigger: str | None = None, n: int = tk.TOP_STREAM) -> StreamingQuery:
-    """W1 + W5 + W9: run the job.  ``out`` is a folder or a publisher (see
-    ``topic_publisher``).  ``trigger=None`` → processing-time batches every
+    """W1 + W5 + W9: run the job.  ``out`` is a folder, a publisher (see
+    ``topic_publisher``) or a ``TickTopicsWriter``.  ``trigger=None`` → processing-time batches every
     10 s (the reference); ``"availableNow"`` → drain what is there."""
     publish = folder_publisher(out) if isinstance(out, str) else out
-    w = (source.writeStream.foreachBatch(TickBatchWriter(publish, n))
+    writer = publish if isinstance(publish, TickTopicsWriter) else TickBatchWriter(publish, n)
+    w = (source.writeStream.foreachBatch(writer)
          .option("checkpointLocation", checkpoint))
     if trigger == "availableNow":
         w = w.trigger(availableNow=True)
