@@ -6,6 +6,11 @@ documents).  A document's log importance weight is the log ratio of the two,
 per n-gram; Gumbel noise on the weights and a top-k of the sums draw k
 documents without replacement in proportion to their weights.
 
+The weight is taken per n-gram and sharpened, not summed over the document: a
+sum leaves short texts, whose few n-grams carry little evidence, to the noise (on
+sf 0.1 the fate of 39 % of the short clean documents would depend on the seed,
+against none), and lets the length of a text outweigh its quality.
+
 k is the number of documents that score like the target: those above the
 score that all but ``clean_loss`` of the labelled target documents reach.
 That score is read off target documents the model was not fitted on (one in
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -100,6 +105,14 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return smooth(target) - smooth(raw)
 
 
+def gumbel(doc_id: str, seed: int) -> Column:
+    """Standard Gumbel noise of a document: the k largest of log weight plus
+    noise are a draw of k without replacement in proportion to the weights."""
+    # 53 bits of a hash make a number strictly between 0 and 1
+    uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0 ** 53)
+    return -F.log(-F.log(uniform))
+
+
 def _kth_largest(keys: DataFrame, k: int) -> float | None:
     """The k-th largest of column ``key``, by counting in ever finer bins: at
     most BINS counts reach the driver each time."""
@@ -167,11 +180,9 @@ def classify(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS,
         score, "doc_id bigint, n bigint, total double, target boolean"))
     mean = (scored.where("target and n > 0").agg(F.avg(F.col("total") / F.col("n")).alias("m"))
             .first()["m"]) or 0.0
-    # 53 bits of a hash make a number strictly between 0 and 1
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0 ** 53)
     keyed = scored.withColumn(
         "log_ratio", (F.col("total") + SHRINK * mean) / (F.col("n") + SHRINK)).withColumn(
-        "key", SHARPNESS * F.col("log_ratio") - F.log(-F.log(uniform)))
+        "key", SHARPNESS * F.col("log_ratio") + gumbel("doc_id", seed))
     least = keyed.where("target").agg(
         F.percentile_approx("log_ratio", F.lit(clean_loss), F.lit(10_000)).alias("q")).first()["q"]
     k = keyed.where(F.col("log_ratio") >= least).count() if least is not None else 0
