@@ -1,21 +1,29 @@
 """Level-wise expansion over graphs and membership rows (G4, G5, G6, F7,
 J6, M3).
 
-All three are frontier loops on the driver over DataFrames: a round joins
-the newest frontier with the edges (or the membership rows), removes what
-was reached before with a left-anti join, and appends the rest.  A round
-touches only the frontier, not the whole reached set's neighbourhoods again.
-Each round's new frontier is written as a table under
-``spark.checkpoint.dir`` (one job per round), so plans stay short and a lost
-executor never replays the whole loop.
+All are frontier loops on the driver over DataFrames: a round joins the newest
+frontier with the edges (or the membership rows), takes out what was reached
+before, and the rest is the next frontier.  A round touches only the frontier,
+not the whole reached set's neighbourhoods again.
+
+What was reached is one table of bitmaps (32,768 ids a row), replaced every
+round by the union of itself and the round's new ids.  A candidate is tested by
+its bit, so a round reads that table and the frontier and no round before, and
+a visited set of n near ids takes n / 8 bytes.  Both are written as tables under
+``spark.checkpoint.dir``, so plans stay short and a lost executor never replays
+the whole loop.
+
+``ring_sizes`` does the same for all vertices at once, with sketches in place of
+the rings, which nobody could list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from .graph import CoGraph, attach_label
 
 
@@ -23,6 +31,56 @@ def _materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+# --------------------------------------------------------------------------
+# visited sets
+
+def bitmaps(ids: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    """(keys, bucket, bits): the ids of every key as bitmaps."""
+    return (ids.groupBy(*keys, F.bitmap_bucket_number(col).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(col)).alias("bits")))
+
+
+def merge_bitmaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The union of two sets of bitmaps."""
+    return a.unionByName(b).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def _bit(bits: str, col: str) -> Column:
+    """The bit of an id in its bitmap, 0 where there is no bitmap."""
+    at = f"bitmap_bit_position({col})"
+    byte = f"cast(conv(hex(substring({bits}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return F.expr(f"coalesce(shiftright({byte}, cast({at} % 8 as int)) & 1, 0)")
+
+
+def not_visited(candidates: DataFrame, col: str, visited: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidates whose bit is not set."""
+    bucket = "_bucket"
+    met = candidates.withColumn(bucket, F.bitmap_bucket_number(col)).join(
+        visited.withColumnRenamed("bucket", bucket), [*keys, bucket], "left")
+    return met.where(_bit("bits", col) == 0).select(*candidates.columns)
+
+
+class Visited:
+    """The ids reached so far, per key: one written table of bitmaps."""
+
+    def __init__(self, ids: DataFrame, col: str, keys: list[str] | None = None):
+        self.col, self.keys = col, keys or []
+        self.table = cut_lineage(bitmaps(ids, col, self.keys))
+
+    def new_of(self, candidates: DataFrame) -> DataFrame:
+        return not_visited(candidates, self.col, self.table, self.keys)
+
+    def add(self, ids: DataFrame) -> None:
+        """Replace the table by its union with ``ids``; nothing may read the
+        one before any more."""
+        before = self.table
+        self.table = cut_lineage(merge_bitmaps(before, bitmaps(ids, self.col, self.keys), self.keys))
+        discard(before)
+
+
+# --------------------------------------------------------------------------
+# rings
+
 def khop_ring(g: CoGraph, seeds: DataFrame, k: int = 2) -> DataFrame:
     """The ring of every seed (``seeds``: one column ``id``).
 
@@ -40,18 +98,41 @@ def khop_ring(g: CoGraph, seeds: DataFrame, k: int = 2) -> DataFrame:
     # written once: every round reads them, and they may be costly to find
     start = _materialise(seeds.select(F.col("id").cast("bigint")).distinct())
     frontier = start.select("id", F.col("id").alias("other"))
-    reached = frontier
+    visited = Visited(frontier, "other", ["id"])
     for r in range(1, k + 1):
-        step = (frontier.select("id", F.col("other").alias("via"))
-                .join(adj, "via").select("id", "other").distinct()
-                .join(reached, ["id", "other"], "left_anti"))
+        step = visited.new_of(frontier.select("id", F.col("other").alias("via"))
+                              .join(adj, "via").select("id", "other").distinct())
         if r == k:
             return step
-        # one write per round; ``reached`` stays a union of written rounds
-        step = _materialise(step)
-        reached = reached.unionByName(step)
-        frontier = step
-    return frontier
+        frontier = _materialise(step)
+        visited.add(frontier)
+
+
+def ring_sizes(g: CoGraph, k: int = 3, lg_k: int = 12) -> DataFrame:
+    """G4 for all vertices, as sizes: (id, ring_1 ... ring_k), estimates of the
+    number of vertices at shortest distance 1 to k from each.
+
+    Every vertex has a mergeable distinct-count sketch of what is within r
+    steps, at first of itself.  A round sends the sketches along the edges and
+    unions them per vertex, partially before the shuffle, so a hub costs one
+    sketch per map task.  A ring is the difference of two balls.  A sketch takes
+    2^lg_k bytes at most, whatever it has counted; the standard error of a ball
+    is about 1.04 / sqrt(2^lg_k) (1.6 % at 12) and small balls are exact.
+    """
+    sym = g.symmetric().select(F.col("src").alias("id"), F.col("dst").alias("via")).distinct()
+    edges = _materialise(sym.where(F.col("id") != F.col("via")))
+    ball = _materialise(g.vertices.select("id").groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("ball")))
+    size = F.hll_sketch_estimate("ball")
+    sizes = ball.select("id", size.alias("b0"))
+    for r in range(1, k + 1):
+        sent = edges.join(ball.select(F.col("id").alias("via"), "ball"), "via").select("id", "ball")
+        before = ball
+        ball = _materialise(sent.unionByName(ball).groupBy("id").agg(F.hll_union_agg("ball").alias("ball")))
+        sizes = _materialise(sizes.join(ball.select("id", size.alias(f"b{r}")), "id"))
+        discard(before)
+    # estimates of growing balls could fall by chance, sizes do not
+    return sizes.select("id", *[F.greatest(F.col(f"b{r}") - F.col(f"b{r - 1}"), F.lit(0)).cast("bigint")
+                                .alias(f"ring_{r}") for r in range(1, k + 1)])
 
 
 def khop_ring_labelled(g: CoGraph, k: int, seeds: DataFrame) -> DataFrame:
@@ -78,21 +159,36 @@ def snowball(memberships: DataFrame, seeds: DataFrame, rounds: int = 3,
     # Memberships are read twice a round and by the result: written once.
     m = _materialise(memberships.select(F.col(work).alias("work_id"),
                                         F.col(member).cast("bigint").alias("member")))
+    # bitmaps need numbers; works of another type are compared with the earlier rounds' works
+    numbered = isinstance(m.schema["work_id"].dataType, IntegralType)
     frontier = _materialise(seeds.select(F.col("member").cast("bigint")).distinct())
-    found = frontier.withColumn("round", F.lit(0))
-    collected = None
+    visited, collected = Visited(frontier, "member"), None
+    rounds_found, works_found = [frontier.withColumn("round", F.lit(0))], []
     for r in range(1, rounds + 1):
         works = m.join(frontier, "member").select("work_id").distinct()
         if collected is not None:
-            works = works.join(collected, "work_id", "left_anti")
+            works = collected.new_of(works)
+        elif works_found:
+            works = works.join(_union(works_found), "work_id", "left_anti")
         works = _materialise(works)
-        collected = works if collected is None else collected.unionByName(works)
-        co = m.join(works, "work_id").select("member").distinct()
-        # one write per round; ``found`` stays a union of written rounds
-        new = _materialise(co.join(found.select("member"), "member", "left_anti"))
-        found = found.unionByName(new.withColumn("round", F.lit(r)))
-        frontier = new
-    return found, m.join(collected, "work_id")
+        works_found.append(works)
+        if numbered and r < rounds:
+            if collected is None:
+                collected = Visited(works, "work_id")
+            else:
+                collected.add(works)
+        frontier = _materialise(visited.new_of(m.join(works, "work_id").select("member").distinct()))
+        if r < rounds:
+            visited.add(frontier)
+        rounds_found.append(frontier.withColumn("round", F.lit(r)))
+    return _union(rounds_found), m.join(_union(works_found), "work_id")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def first_seen_label(labelled: DataFrame, id_col: str = "member",

@@ -16,6 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
+def estimates() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries whose results are estimates, so that no SQL gives the same."""
+    return dict(graph_queries.ESTIMATES)
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for mod in _modules():

@@ -478,6 +478,18 @@ ORACLES.update({
 })
 
 
+RING_ROUNDS = 3
+
+
+def q_ring_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 for all vertices: estimated sizes of the rings 1 to 3."""
+    return khop.ring_sizes(membership_graph(spark, sf_dir, reuse=True), RING_ROUNDS)
+
+
+# Estimates, which SQL cannot give; tests hold them against exact rings.
+ESTIMATES = {"ring_sizes": q_ring_sizes}
+
+
 # --------------------------------------------------------------------------
 # exports
 
