@@ -200,21 +200,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    A row is known by its doc_id and digest.  Only what must go is listed:
-    keys of which no row stays, and keys repeated exactly, which are thinned to
-    one row.  The list is written, so the planner knows its size: it is sent to
-    the texts where it is small, and they are shuffled once where it is not.
+    A row is known by its doc_id and digest.  Only what must go is listed and
+    taken out by an anti-join: the list is written, so the planner knows its
+    size, sends it to the texts where it is small and shuffles them once where
+    it is not.  Keys that are repeated exactly are thinned to one row; that
+    second join is only planned where there are any.
     """
     rows = exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     listed = cut_lineage(rows.where(~F.col("stays") | (F.col("n") > 1)).select(
         F.col("doc_id").alias("listed_id"), F.unhex("text_sha256").alias("listed_digest"), "stays"))
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), ASCII_UPPER, ASCII_LOWER)
-    key = fresh_name(docs, "row_digest")
-    keyed = docs.withColumn(key, F.unhex(F.sha2(lowered, 256)))
-    met = keyed.join(listed, keyed["doc_id"].eqNullSafe(listed["listed_id"])
-                     & (keyed[key] == listed["listed_digest"]), "left")
-    columns = [keyed[f"`{c}`"] for c in docs.columns]
-    stays = met.where(listed["stays"].isNull()).select(*columns)
-    thinned = met.where(listed["stays"]).select(*columns, keyed[key]).dropDuplicates(["doc_id", key]).drop(key)
-    return stays.unionByName(thinned)
+    digest = F.unhex(F.sha2(lowered, 256))
+    same = docs["doc_id"].eqNullSafe(listed["listed_id"]) & (digest == listed["listed_digest"])
+    stays = docs.join(listed, same, "left_anti")
+    if listed.where("stays").limit(1).count():
+        key = fresh_name(docs, "row_digest")
+        thinned = docs.join(listed.where("stays"), same, "left_semi").withColumn(key, digest)
+        stays = stays.unionByName(thinned.dropDuplicates(["doc_id", key]).drop(key))
+    return stays
