@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import maps, scalars
 from ..operators import cooccur, graph as gr, khop, ranking, ticks as tk
 from ..session import scratch_path
-from ..sources import daily_csv, gexf, listings, messages, testdata as td, text
+from ..sources import daily_csv, daily_source, gexf, listings, messages, testdata as td, text
 from . import graph_queries as gq
 from .tick_queries import C_SQL, R_SQL, T_SQL, parsed_ticks
 
@@ -120,6 +120,21 @@ def _daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_daily_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + P2-P5: one file per day with two leading rows, read and parsed."""
+    path = _daily_folder(spark, sf_dir)
+    return _daily_columns(daily_source.read_daily(spark, path, day_folders=True))
+
+
+def q_daily_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + P2-P5: the newest day alone, whose filter chooses the file; long
+    files are cut into parts."""
+    path = _daily_folder(spark, sf_dir)
+    newest = td.tick_rows(spark, sf_dir).agg(F.max("period")).first()[0]
+    return _daily_columns(daily_source.read_daily(spark, path, day_folders=True, days=F.col("date") == newest,
+                                                  split_bytes=4096))
+
+
+def _daily_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The daily tables, one file per day in a folder named for it."""
     path = scratch_path(spark)
     head = F.concat_ws("\n", *[F.lit(",".join(f"h{i}" for i in range(daily_csv.N_COLUMNS)))] * daily_csv.SKIP_ROWS)
     lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
@@ -127,7 +142,10 @@ def q_daily_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(head, F.lit("\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("value"))
     # a file per day, named for it by its folder
     days.repartition("date").write.partitionBy("date").text(path)
-    rows = daily_csv.read_daily_csv(spark, path, day_folders=True)
+    return path
+
+
+def _daily_columns(rows: DataFrame) -> DataFrame:
     return rows.select("file", "year", "month", "day", "month_key", F.col("pos").cast("int").alias("pos"),
                        "name", "pct")
 
@@ -138,6 +156,9 @@ SQL_DAILY_FILES = (
     "cast(row_number() over (partition by period order by seq) - 1 as integer) as pos, name, pct from r")
 
 
+SQL_DAILY_NEWEST = f"select * from ({SQL_DAILY_FILES}) where file = (select max(period) from ({R_SQL}))"
+
+
 def q_daily_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S15 + P11: a CSV per date with a header, columns dropped and named by
     position beforehand."""
@@ -378,6 +399,7 @@ QUERIES = {
     "member_lines": q_member_lines,
     "distinct_members": q_distinct_members,
     "daily_files": q_daily_files,
+    "daily_newest": q_daily_newest,
     "daily_csv_round_trip": q_daily_csv_round_trip,
     "replayed_messages": q_replayed_messages,
     "metrics_table": q_metrics_table,
@@ -402,6 +424,7 @@ ORACLES = {
     "member_lines": SQL_MEMBER_LINES,
     "distinct_members": SQL_DISTINCT_MEMBERS,
     "daily_files": SQL_DAILY_FILES,
+    "daily_newest": SQL_DAILY_NEWEST,
     "daily_csv_round_trip": SQL_DAILY_CSV_ROUND_TRIP,
     "replayed_messages": SQL_REPLAYED_MESSAGES,
     "metrics_table": SQL_METRICS_TABLE,
