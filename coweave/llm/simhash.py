@@ -11,12 +11,14 @@ bytes decides who goes on, the bit distance verifies.
 
 Texts meet as distinct fingerprints.  A list only emits links that join
 fingerprints not yet connected inside it (a spanning forest), never all its
-pairs; lists above ``hot_list`` are first split by longer groups.
+pairs; lists above ``hot_list`` are first split by longer groups, and what is
+still long is linked by looking up the neighbours of its fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,6 +34,7 @@ from .components import components
 
 POSITIONS = 8
 HOT_LIST = 512
+FLIP_COST = 8             # a looked-up neighbour against a tallied pair
 HASHES_AT_ONCE = 1 << 15
 
 
@@ -119,11 +122,46 @@ class _Forest:
         return True
 
 
+def flip_masks(fps: np.ndarray, max_bits: int) -> np.ndarray:
+    """All differences of at most ``max_bits`` bits that two of the fingerprints
+    can have: those of the bits in which any two of them differ."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [1 << b for b in range(64) if varying >> b & 1]
+    return np.array([sum(c) for n in range(1, max_bits + 1) for c in combinations(bits, n)], np.uint64)
+
+
+def _flip_count(fps: np.ndarray, max_bits: int) -> int:
+    bits = int(np.bitwise_or.reduce(fps ^ fps[0])).bit_count()
+    return sum(math.comb(bits, n) for n in range(1, max_bits + 1))
+
+
 def list_links(fps: np.ndarray, max_bits: int, block: int = 1024) -> list[tuple[int, int]]:
-    """Spanning links of one list: pairs that share enough positional bytes
-    (tallied) and differ in at most ``max_bits`` bits (verified), reduced to a
-    forest.  Works block by block, whatever the length of the list."""
+    """Spanning links of one list of different fingerprints: pairs that share
+    enough positional bytes (tallied) and differ in at most ``max_bits`` bits
+    (verified), reduced to a forest.
+
+    All pairs are tallied, block by block, while that is less work than looking
+    up every neighbour of every fingerprint, which the list's varying bits
+    bound: a list that agrees in five bytes has 2,324 neighbours a fingerprint
+    at most, so a list of any length costs in proportion to it.
+    """
     forest, out = _Forest(len(fps)), []
+    if _flip_count(fps, max_bits) * FLIP_COST < len(fps):
+        order = np.argsort(fps)
+        ranked = fps[order]
+        for mask in flip_masks(fps, max_bits):
+            other = ranked ^ mask
+            at = np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)
+            hit = (ranked[at] == other) & (ranked < other)
+            if hit.any():
+                a, b = order[np.flatnonzero(hit)], order[at[hit]]
+                # few bits differ, but the count filter is the operator's: five of eight bytes
+                x = (fps[a] ^ fps[b]).view(np.uint8).reshape(-1, POSITIONS)
+                near = (x == 0).sum(axis=1) >= POSITIONS - max_bits
+                for u, v in zip(a[near].tolist(), b[near].tolist()):
+                    if forest.join(u, v):
+                        out.append((min(u, v), max(u, v)))
+        return out
     as_bytes = fps.view(np.uint8).reshape(-1, POSITIONS)
     for i in range(0, len(fps), block):
         for j in range(i, len(fps), block):
@@ -160,31 +198,41 @@ def near_links(distinct: DataFrame, max_bits: int = 3, hot_list: int = HOT_LIST)
     lists = cold.unionByName(split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if carry is not None:
-                cols = [np.concatenate(p) for p in zip(carry, cols)]
-            fp, grp, val = cols
-            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (val[1:] != val[:-1])) + 1
-            bounds = [0, *cuts.tolist()]
-            carry = [c[bounds[-1]:] for c in cols]      # its list may go on
-            yield from links(fp, bounds)
-        if carry is not None:
-            yield from links(carry[0], [0, len(carry[0])])
-
-    def links(fp: np.ndarray, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []                # the list that may go on
         a: list[int] = []
         b: list[int] = []
-        for lo, hi in zip(bounds, bounds[1:]):
-            if hi - lo > 1:
-                part = np.ascontiguousarray(fp[lo:hi]).view(np.uint64)
-                for u, v in list_links(part, max_bits):
-                    a.append(int(fp[lo + u]))
-                    b.append(int(fp[lo + v]))
+
+        def close() -> None:
+            fp = np.concatenate(parts)
+            if len(fp) > 1:
+                for u, v in list_links(fp.view(np.uint64), max_bits):
+                    a.append(int(fp[u]))
+                    b.append(int(fp[v]))
+
+        def found() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+            return out
+
+        for batch in batches:
+            fp, grp, val = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (val[1:] != val[:-1])) + 1
+            bounds = [0, *cuts.tolist(), len(fp)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if hi == lo:
+                    continue
+                if (grp[lo], val[lo]) != key:
+                    if parts:
+                        close()
+                    key, parts = (grp[lo], val[lo]), []
+                parts.append(fp[lo:hi])
+            if a:
+                yield found()
+        if parts:
+            close()
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             names=["a", "b"])
+            yield found()
 
     return (lists.repartition("grp", "val").sortWithinPartitions("grp", "val", "fp")
             .select("fp", "grp", "val").mapInArrow(run, "a bigint, b bigint"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from coweave.llm import simhash
@@ -109,3 +110,27 @@ def test_a_row_stays_by_its_own_class(spark):
     assert got.columns == df.columns
     assert sorted((tuple(r)[:2] for r in got.collect()), key=str) == sorted(
         [(1, a), (2, b), (None, "only without an id")], key=str)
+
+
+def test_long_lists_are_linked_alike_by_neighbours_and_by_pairs(monkeypatch):
+    """20,000 fingerprints that agree in five bytes, some of them near each other."""
+    rnd = np.random.default_rng(2)
+    fps = np.unique(rnd.integers(0, 1 << 24, 20_000, dtype=np.uint64) | np.uint64(0xABCDEF0123 << 24))
+    rnd.shuffle(fps)
+
+    def classes(links):
+        forest = simhash._Forest(len(fps))
+        for u, v in links:
+            assert u < v and int(fps[u] ^ fps[v]).bit_count() <= 3
+            forest.join(u, v)
+        return [forest.find(i) for i in range(len(fps))]
+    monkeypatch.setattr(simhash, "FLIP_COST", 0)
+    by_neighbours = simhash.list_links(fps, 3)
+    monkeypatch.setattr(simhash, "FLIP_COST", 1 << 40)
+    by_pairs = simhash.list_links(fps[:6000], 3)
+    monkeypatch.setattr(simhash, "FLIP_COST", 0)
+    few = simhash.list_links(fps[:6000], 3)
+    assert classes(few) == classes(by_pairs) and len(few) == len(by_pairs)
+    assert len(by_neighbours) < len(fps)
+    masks = simhash.flip_masks(fps, 3)
+    assert len(masks) == 24 + 24 * 23 // 2 + 24 * 23 * 22 // 6 == simhash._flip_count(fps, 3)
