@@ -19,6 +19,7 @@ That score is read off target documents the model was not fitted on (one in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,16 +179,18 @@ def classify(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS,
 
     scored = cut_lineage(ids_and_texts(docs).mapInArrow(
         score, "doc_id bigint, n bigint, total double, target boolean"))
-    mean = (scored.where("target and n > 0").agg(F.avg(F.col("total") / F.col("n")).alias("m"))
+    # rounded, so that the order of adding up does not show
+    mean = (scored.where("target and n > 0").agg(F.round(F.avg(F.col("total") / F.col("n")), 9).alias("m"))
             .first()["m"]) or 0.0
     keyed = scored.withColumn(
         "log_ratio", (F.col("total") + SHRINK * mean) / (F.col("n") + SHRINK)).withColumn(
         "key", SHARPNESS * F.col("log_ratio") + gumbel("doc_id", seed))
-    least = keyed.where("target").agg(
-        F.percentile_approx("log_ratio", F.lit(clean_loss), F.lit(10_000)).alias("q")).first()["q"]
-    k = keyed.where(F.col("log_ratio") >= least).count() if least is not None else 0
-    if least is None:                                   # no labelled id is among the documents
+    held_out = keyed.where("target").select((-F.col("log_ratio")).alias("key"))
+    n = held_out.count()
+    if not n:                                           # no labelled id is among the documents
         return keyed.select("doc_id", "log_ratio", "key", F.lit(True).alias("kept"))
+    least = -_kth_largest(held_out, max(1, math.ceil(clean_loss * n)))
+    k = keyed.where(F.col("log_ratio") >= least).count()
     cut = _kth_largest(keyed.select("key"), k)
     return keyed.select("doc_id", "log_ratio", "key", (F.col("key") >= F.lit(cut)).alias("kept"))
 

@@ -95,7 +95,7 @@ def _model(docs, target, seed):
     logp = lambda c, g: math.log((c.get(g, 0) + cl.SMOOTHING) / (sum(c.values()) + cl.SMOOTHING * cl.BUCKETS))
     table = {g: logp(good, g) - logp(raw, g) for g in raw}
     total = {d: (sum(table[g] for g in _buckets(t)), len(_buckets(t))) for d, t in docs}
-    mean = np.mean([total[d][0] / total[d][1] for d in held if total[d][1]])
+    mean = round(float(np.mean([total[d][0] / total[d][1] for d in held if total[d][1]])), 9)
     ratio = {d: (s + cl.SHRINK * mean) / (n + cl.SHRINK) for d, (s, n) in total.items()}
     key = {d: cl.SHARPNESS * r + _noise(d, seed) for d, r in ratio.items()}
     at = sorted(ratio[d] for d in held)
