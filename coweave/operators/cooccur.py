@@ -11,16 +11,26 @@ its own join key, so one hot work is spread over nb² tasks, and each pair is
 produced exactly once.  Works under the threshold keep nb = 1 and pay
 nothing.  Pair counts are then summed with map-side partial aggregation.
 
+Where works are so large that there are many more pairs than rows
+(``dense_edges``), no pair is shuffled: members are dealt into blocks, the rows
+of two blocks meet in one task, and the pairs between the two are counted there.
+How many tasks there are follows the number of pairs, which is counted first
+from the sizes of the works.
+
 Metrics that do not need the pairs are computed without them
 (``weighted_degree_from_memberships``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 2048
+PAIRS_PER_TASK = 4_000_000     # of a cell of dense_edges
+ROWS_PER_TASK = 2_000_000      # of a shuffle sized by its rows
 
 
 def _normalise(memberships: DataFrame, work: str, member: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -52,47 +62,136 @@ def work_blocks(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
 
 
 def member_pairs(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
-                 work: str = "work_id", member: str = "member") -> DataFrame:
-    """(work_id, src, dst) for every pair src < dst inside a work."""
+                 work: str = "work_id", member: str = "member", partitions: int | None = None) -> DataFrame:
+    """(work_id, src, dst) for every pair src < dst inside a work; dealt over
+    ``partitions`` tasks where that is more than the session's number."""
     m = work_blocks(memberships, block_rows, work, member)
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     left = m.select("work_id", F.col("member").alias("src"),
                     F.col("blk").alias("bi"), every.alias("bj"))
     right = m.select("work_id", F.col("member").alias("dst"),
                      every.alias("bi"), F.col("blk").alias("bj"))
+    left, right = (dealt(side, partitions, "work_id", "bi", "bj") for side in (left, right))
     return (left.join(right, ["work_id", "bi", "bj"])
                 .where(F.col("src") < F.col("dst"))
                 .select("work_id", "src", "dst"))
 
 
+def pair_load(memberships: DataFrame, work: str = "work_id", member: str = "member") -> tuple[int, int]:
+    """(rows, pairs): how many rows there are and how many pairs their works
+    make, from the sizes of the works."""
+    k = F.col("k").cast("double")
+    load = (_normalise(memberships, work, member).groupBy("work_id").agg(F.count(F.lit(1)).alias("k"))
+            .agg(F.sum("k").alias("rows"), F.sum(k * (k - 1) / 2).alias("pairs")).first())
+    return load["rows"] or 0, int(load["pairs"] or 0)
+
+
+def block_count(pairs: int, pairs_per_task: int = PAIRS_PER_TASK) -> int:
+    """Blocks of members, so that two of them share about ``pairs_per_task`` pairs."""
+    return max(1, math.ceil(math.sqrt(2 * pairs / pairs_per_task)))
+
+
+def is_dense(rows: int, pairs: int, blocks: int) -> bool:
+    """Whether a copy of every row per block is less than all the pairs."""
+    return pairs > 2 * rows * (blocks + 1)
+
+
+def partitions_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) -> int | None:
+    """Shuffle partitions for ``rows`` where the session's number would give a
+    partition more than ``per_task`` of them, else None."""
+    n = math.ceil(rows / per_task)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into ``partitions``; None leaves it to the session."""
+    return df.repartition(partitions, *keys) if partitions else df
+
+
+def dense_edges(memberships: DataFrame, blocks: int, work: str = "work_id", member: str = "member") -> DataFrame:
+    """``cooccurrence_edges`` by pairs of member blocks.
+
+    Members are dealt into ``blocks`` hash blocks; a work's members of one block
+    travel as one list to every pair of blocks (a cell) it takes part in.  All
+    pairs between two blocks are counted in the cell's task, so each row is
+    copied ``blocks`` + 1 times and no pair is shuffled.
+    """
+    blk = F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int")
+    lists = (_normalise(memberships, work, member).groupBy("work_id", blk.alias("blk"))
+             .agg(F.collect_list("member").alias("ids")))
+    cell = (F.expr("bj * (bj + 1) div 2").cast("int") + F.col("bi")).alias("cell")     # bi <= bj
+    left = lists.select("work_id", F.col("ids").alias("few"), F.col("blk").alias("bi"),
+                        F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("bj"))
+    right = lists.select("work_id", F.col("ids").alias("many"), F.col("blk").alias("bj"),
+                         F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("bi"))
+    cells = blocks * (blocks + 1) // 2
+    left = left.select("work_id", "few", (F.col("bi") != F.col("bj")).alias("apart"), cell).repartitionById(cells, "cell")
+    right = right.select("work_id", "many", cell).repartitionById(cells, "cell")
+    a, b = F.col("a"), F.col("b")
+    pairs = (left.join(right, ["work_id", "cell"])
+             .select("cell", "apart", F.explode("few").alias("a"), "many")
+             .select("cell", "apart", "a", F.explode("many").alias("b"))
+             # within one block every pair is met from both sides
+             .where(F.col("apart") | (a < b))
+             .select("cell", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")))
+    # dealt by cell already: counted where they are made
+    return pairs.groupBy("cell", "src", "dst").agg(F.count(F.lit(1)).alias("w")).select("src", "dst", "w")
+
+
 def cooccurrence_edges(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
-                       work: str = "work_id", member: str = "member") -> DataFrame:
+                       work: str = "work_id", member: str = "member",
+                       pairs_per_task: int = PAIRS_PER_TASK,
+                       load: tuple[int, int] | None = None) -> DataFrame:
     """A4 (+A5 folded in): canonical edges (src < dst, w = shared works).
 
     Zero-weight pairs are never produced (Q4: the graph that was analysed had
     them removed).  Each (work, member) row is expected once; duplicated
     listings of the *same* work under different work ids count once per
     listing, as in the reference (Q12).
+
+    The works' sizes (``load``, counted by one job if not given) tell how many
+    pairs there are: by that they are dealt over tasks, or, where they are far
+    more than the rows, counted block by block (``dense_edges``).
     """
-    return (member_pairs(memberships, block_rows, work, member)
-            .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    rows, pairs = load or pair_load(memberships, work, member)
+    blocks = block_count(pairs, pairs_per_task)
+    if is_dense(rows, pairs, blocks):
+        return dense_edges(memberships, blocks, work, member)
+    n = partitions_for(memberships.sparkSession, pairs)
+    found = dealt(member_pairs(memberships, block_rows, work, member, n).select("src", "dst"), n, "src", "dst")
+    return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+
+
+def endpoints(memberships: DataFrame, work: str = "work_id", member: str = "member") -> DataFrame:
+    """(id) of every member that shares a work with another one: the endpoints
+    of ``cooccurrence_edges``, without building any pair."""
+    m = _normalise(memberships, work, member)
+    shared = (m.groupBy("work_id").agg(F.min("member").alias("lo"), F.max("member").alias("hi"))
+              .where(F.col("lo") < F.col("hi")).select("work_id"))
+    return m.join(shared, "work_id", "left_semi").select(F.col("member").alias("id")).distinct()
 
 
 def fold_symmetric(pair_counts: DataFrame, src: str = "src", dst: str = "dst",
-                   w: str = "w") -> DataFrame:
+                   w: str = "w", partitions: int | None = None) -> DataFrame:
     """A5: add m[i][j] and m[j][i]; keep one row per unordered pair (src < dst).
 
-    Self pairs (i == i) are dropped, as the reference only walks i < j.
+    Self pairs (i == i) are dropped, as the reference only walks i < j.  The rows
+    are dealt over ``partitions`` tasks if given.
     """
     a, b = F.col(src), F.col(dst)
-    return (pair_counts.where(a != b)
-            .groupBy(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-            .agg(F.sum(w).cast("bigint").alias("w")))
+    both = pair_counts.where(a != b).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"),
+                                            F.col(w).alias("w"))
+    return dealt(both, partitions, "src", "dst").groupBy("src", "dst").agg(F.sum("w").cast("bigint").alias("w"))
 
 
-def symmetrize(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Every edge plus its flipped copy (other columns carried)."""
+def symmetrize(edges: DataFrame, src: str = "src", dst: str = "dst", one_pass: bool = False) -> DataFrame:
+    """Every edge plus its flipped copy (other columns carried).  With
+    ``one_pass`` the edges are computed once and doubled row by row; without, they
+    are read twice, which suits a written table."""
     rest = [c for c in edges.columns if c not in (src, dst)]
+    if one_pass:
+        ways = [F.struct(F.col(a).alias(src), F.col(b).alias(dst), *rest) for a, b in ((src, dst), (dst, src))]
+        return edges.select(F.inline(F.array(*ways)))
     flipped = edges.select(F.col(dst).alias(src), F.col(src).alias(dst), *rest)
     return edges.select(src, dst, *rest).unionByName(flipped)
 

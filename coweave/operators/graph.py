@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cooccur import symmetrize
+from .cooccur import dealt, partitions_for, symmetrize
 
 DEFAULT_LABEL = ""
 
@@ -27,13 +27,16 @@ DEFAULT_LABEL = ""
 class CoGraph:
     vertices: DataFrame  # id BIGINT, name STRING
     edges: DataFrame     # src BIGINT, dst BIGINT, w BIGINT; one row per pair
+    written: bool = True   # edges are cheap to read again (a table, not a computation)
+    ends: DataFrame | None = None   # id of every endpoint, where known without the edges
+    size: int = 0                   # edges at most, where known (sizes shuffles)
 
     def symmetric(self) -> DataFrame:
         """Both directions of every edge (the reference's edge RDD)."""
-        return symmetrize(self.edges)
+        return symmetrize(self.edges, one_pass=not self.written)
 
     def persist(self) -> "CoGraph":
-        return CoGraph(self.vertices.persist(), self.edges.persist())
+        return CoGraph(self.vertices.persist(), self.edges.persist(), True, self.ends, self.size)
 
     def unpersist(self) -> None:
         self.vertices.unpersist()
@@ -44,13 +47,17 @@ class CoGraph:
         the vertex set from that table, for queries that use the graph many
         times (iterative operators, labels after a loop)."""
         from ..session import cut_lineage
-        return build_graph(base_vertices, cut_lineage(self.edges))
+        return build_graph(base_vertices, cut_lineage(self.edges), ends=self.ends, size=self.size)
 
 
 def build_graph(vertices: DataFrame, edges: DataFrame, vid: str = "id",
                 name: str = "name", src: str = "src", dst: str = "dst",
-                w: str | None = "w") -> CoGraph:
+                w: str | None = "w", ends: DataFrame | None = None, written: bool = True,
+                size: int = 0) -> CoGraph:
     """G1 + J10: typed vertices plus every edge endpoint (label "" if absent).
+    ``ends`` (column ``id``) gives the endpoints where they are known otherwise,
+    so that the edges are not computed for them; ``written`` is false for edges
+    that are costly to read twice, ``size`` their number at most.
 
     A vertex has one label: of an id listed several times the greatest label
     stays (tables have no line order to go by), so no operator counts the
@@ -61,11 +68,10 @@ def build_graph(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     weight = F.col(w).cast("bigint") if w else F.lit(1).cast("bigint")
     e = edges.select(F.col(src).cast("bigint").alias("src"),
                      F.col(dst).cast("bigint").alias("dst"), weight.alias("w"))
-    ends = (e.select(F.col("src").alias("id"))
-             .union(e.select(F.col("dst").alias("id"))).distinct())
-    missing = ends.join(v, "id", "left_anti").select(
+    met = ends if ends is not None else symmetrize(e, one_pass=not written).select(F.col("src").alias("id")).distinct()
+    missing = met.join(v, "id", "left_anti").select(
         "id", F.lit(DEFAULT_LABEL).alias("name"))
-    return CoGraph(v.unionByName(missing), e)
+    return CoGraph(v.unionByName(missing), e, written, ends, size)
 
 
 def attach_label(df: DataFrame, vertices: DataFrame, id_col: str = "id",
@@ -79,8 +85,9 @@ def attach_label(df: DataFrame, vertices: DataFrame, id_col: str = "id",
 def triplets(g: CoGraph, symmetric: bool = True) -> DataFrame:
     """(src, dst, w, src_name, dst_name) for every directed edge."""
     e = g.symmetric() if symmetric else g.edges
-    e = attach_label(e, g.vertices, "src", "src_name")
-    return attach_label(e, g.vertices, "dst", "dst_name")
+    n = partitions_for(g.vertices.sparkSession, g.size * (2 if symmetric else 1))
+    e = attach_label(dealt(e, n, "src"), g.vertices, "src", "src_name")
+    return attach_label(dealt(e, n, "dst"), g.vertices, "dst", "dst_name")
 
 
 def aggregate_messages(g: CoGraph, agg: Column, to_dst: Column | None = None,

@@ -80,3 +80,43 @@ def test_check_membership_raises_on_unknown(spark):
 def test_count_works(spark):
     r = cooccur.count_works(_m(spark, [(1, 1), (1, 2), (2, 2)])).first()
     assert (r["works"], r["members"]) == (2, 2)
+
+
+def _large_works(members=60, works=12, seed=11):
+    rnd = random.Random(seed)
+    return sorted({(w, rnd.randrange(members)) for w in range(works) for _ in range(50)})
+
+
+def test_dense_works_shuffle_no_pairs(spark):
+    """Many more pairs than rows: counted where two blocks of members meet."""
+    rows = _large_works()
+    df = _m(spark, rows)
+    n, pairs = cooccur.pair_load(df)
+    assert n == len(rows) and pairs == sum(
+        k * (k - 1) // 2 for k in [sum(1 for w, _ in rows if w == x) for x in range(12)])
+    e = cooccur.cooccurrence_edges(df, pairs_per_task=1000)
+    assert cooccur.block_count(pairs, 1000) > 2 and _edges(e) == _brute(rows)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    # nothing is shuffled behind the join of the blocks
+    assert "Exchange" not in plan[:plan.index("Join")]
+    assert _edges(cooccur.dense_edges(df.union(_m(spark, [(None, 1), (1, None), (99, 5)])), 4)) == _brute(rows)
+
+
+def test_sparse_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    rows = sorted({(w, random.Random(w).randrange(300)) for w in range(200)} | {(w, w) for w in range(200)})
+    df = _m(spark, rows)
+    _, pairs = cooccur.pair_load(df)
+    assert cooccur.partitions_for(spark, pairs) is None
+    assert cooccur.partitions_for(spark, 40, 5) == 8
+    monkeypatch.setattr(cooccur.partitions_for, "__defaults__", (5,))
+    e = cooccur.cooccurrence_edges(df)
+    assert _edges(e) == _brute(rows)
+    assert e.rdd.getNumPartitions() > 4        # the session's number
+
+
+def test_endpoints_and_one_pass_need_no_second_pair_join(spark):
+    rows = [(1, 1), (1, 2), (2, 3), (3, 4), (3, 4), (4, 5), (4, 6), (4, 7)]
+    ends = {r["id"] for r in cooccur.endpoints(_m(spark, rows)).collect()}
+    assert ends == {1, 2, 5, 6, 7}             # 4 is listed twice but alone
+    e = cooccur.cooccurrence_edges(_m(spark, rows))
+    assert _edges(cooccur.symmetrize(e, one_pass=True)) == _edges(cooccur.symmetrize(e))

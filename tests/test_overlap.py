@@ -43,6 +43,17 @@ def test_heavy_overlaps_equal_counting_all_pairs(spark, min_w):
     assert got.count() == len(want)
 
 
+def test_large_works_are_counted_by_blocks_without_a_table_of_candidates(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = sorted({(w, rnd.randrange(60)) for w in range(12) for _ in range(50)})
+    written = []
+    keep = overlap.cut_lineage
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: written.append(df.columns) or keep(df))
+    got = overlap.heavy_overlaps(spark.createDataFrame(rows, ROWS), 3, pairs_per_task=5000)
+    assert {tuple(r) for r in got.collect()} == {(a, b, n) for (a, b), n in pair_counts(rows).items() if n >= 3}
+    assert written and all("src" not in columns for columns in written)      # no pair is written
+
+
 def test_prefixes_make_far_fewer_candidates_than_pairs(spark):
     """Many members who share a few very large works and little else: the
     large works are the rest of every member, and pair nobody."""
