@@ -245,3 +245,19 @@ def test_triangles_are_listed_once(spark):
     for block_ids in (1, 1024):
         got = [tuple(sorted(r)) for r in triangles.triangles(g.edges, block_ids=block_ids).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pagerank_rounds_walk_lists_and_sort_no_edges(spark):
+    """Out-lists in all blocks, each vertex's edges once, bounded lists; the
+    join of a round takes them as they are dealt and sorted."""
+    hub = [(0, k) for k in range(1, 201)] + [(1, 2), (2, 3)]
+    s = graph_of(spark, hub).symmetric().select("src", "dst")
+    inv = s.groupBy("src").agg(F.count(F.lit(1)).alias("d")).withColumn("inv", 1 / F.col("d"))
+    lists = pagerank.out_lists(s, inv, 3, 8).persist()
+    rows = lists.collect()
+    assert sorted((r["src"], d) for r in rows for d in r["dsts"]) == sorted(tuple(r) for r in s.collect())
+    assert len({r["cell"] for r in rows if r["src"] == 0}) == 3 and max(len(r["dsts"]) for r in rows) < 40
+    senders = s.select(F.col("src").alias("id")).distinct().withColumn("delta", F.lit(0.15))
+    plan = pagerank._messages(senders, lists, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and "Scan In-memory" in plan.replace("InMemoryTableScan", "Scan In-memory")
+    lists.unpersist()
