@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..session import cut_lineage, discard
+from . import sketches as sk
 from .graph import CoGraph, attach_label
 
 
@@ -108,28 +109,37 @@ def khop_ring(g: CoGraph, seeds: DataFrame, k: int = 2) -> DataFrame:
         visited.add(frontier)
 
 
-def ring_sizes(g: CoGraph, k: int = 3, lg_k: int = 12) -> DataFrame:
+def ring_sizes(g: CoGraph, k: int = 3, lg_k: int = 12, grid: tuple[int, int] | None = None) -> DataFrame:
     """G4 for all vertices, as sizes: (id, ring_1 ... ring_k), estimates of the
     number of vertices at shortest distance 1 to k from each.
 
     Every vertex has a mergeable distinct-count sketch of what is within r
-    steps, at first of itself.  A round sends the sketches along the edges and
-    unions them per vertex, partially before the shuffle, so a hub costs one
-    sketch per map task.  A ring is the difference of two balls.  A sketch takes
+    steps, at first of itself.  A round unites the sketches of a vertex and its
+    neighbours cell by cell (``sketches.unite``): a sketch is sent once to every
+    block of receivers, not along every edge, and what the last round unites is
+    only counted.  A ring is the difference of two balls.  A sketch takes
     2^lg_k bytes at most, whatever it has counted; the standard error of a ball
     is about 1.04 / sqrt(2^lg_k) (1.6 % at 12) and small balls are exact.
+    ``grid`` is (blocks of receivers, slices of sketches), by default what bounds
+    a cell.
     """
-    sym = g.symmetric().select(F.col("src").alias("id"), F.col("dst").alias("via")).distinct()
-    edges = _materialise(sym.where(F.col("id") != F.col("via")))
-    ball = _materialise(g.vertices.select("id").groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("ball")))
-    size = F.hll_sketch_estimate("ball")
-    sizes = ball.select("id", size.alias("b0"))
+    ids = g.vertices.select("id").where(F.col("id").isNotNull()).distinct()
+    ends = g.symmetric().select(F.col("src").alias("id"), F.col("dst").alias("via")).dropna()
+    # a ball holds the one before; edges listed twice unite the same sketches
+    into = ends.unionByName(ids.select("id", F.col("id").alias("via")))
+    edges, seen = cut_lineage(into, [F.count(F.lit(1)).alias("n")])
+    blocks, slices = grid or sk.grid_for(ids.count(), seen["n"], lg_k)
+    ball = sk.singletons(ids, lg_k, slices)
+    sizes = ids.select("id", F.lit(1).cast("bigint").alias("b0"))
+    before = None
     for r in range(1, k + 1):
-        sent = edges.join(ball.select(F.col("id").alias("via"), "ball"), "via").select("id", "ball")
-        before = ball
-        ball = _materialise(sent.unionByName(ball).groupBy("id").agg(F.hll_union_agg("ball").alias("ball")))
-        sizes = _materialise(sizes.join(ball.select("id", size.alias(f"b{r}")), "id"))
-        discard(before)
+        united = _materialise(sk.unite(edges, ball, blocks, slices, lg_k, keep=r < k))
+        sizes = _materialise(sizes.join(sk.sizes(united, lg_k, f"b{r}"), "id"))
+        # slices without an id add nothing
+        ball = united.where(F.col("known") != 0).select("id", "slice", "coupons", "regs")
+        if before is not None:
+            discard(before)
+        before = united
     # estimates of growing balls could fall by chance, sizes do not
     return sizes.select("id", *[F.greatest(F.col(f"b{r}") - F.col(f"b{r - 1}"), F.lit(0)).cast("bigint")
                                 .alias(f"ring_{r}") for r in range(1, k + 1)])

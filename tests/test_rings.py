@@ -5,7 +5,7 @@ import random
 import pytest
 
 from conftest import graph_of
-from coweave.operators import khop
+from coweave.operators import khop, sketches
 
 
 def random_edges(seed, n, m):
@@ -112,3 +112,43 @@ def test_ring_sizes_of_all_vertices_are_near_the_exact_ones(spark):
     assert all(got[v][0] == len(rings[0]) for v, rings in want.items() if len(rings[0]) < 15)   # small ones are exact
     assert got[n] == [0, 0, 0]
     assert khop.ring_sizes(graph_of(spark, [(1, 2)]), 1).orderBy("id").collect()[0]["ring_1"] == 1
+
+
+@pytest.mark.parametrize("grid", [(1, 8), (2, 16)])
+def test_ring_sizes_do_not_depend_on_the_grid(spark, grid, monkeypatch):
+    monkeypatch.setattr(sketches, "CHUNK_BYTES", 4096)       # receivers united in several chunks, a hub in parts
+    n = 900
+    edges = sorted(set(random_edges(7, n, 1500) + [(0, i) for i in range(500, 900)]))
+    g = graph_of(spark, edges, vertices={i: f"v{i}" for i in range(n)})
+    row = lambda r: (r["id"], r["ring_1"], r["ring_2"], r["ring_3"])
+    got = {r["id"]: r for r in khop.ring_sizes(g, 3, grid=grid).collect()}
+    want = exact_rings(edges, range(n), 3)
+    assert set(got) == set(want)
+    for v, rings in want.items():
+        ball = 1
+        for r, exact in enumerate(map(len, rings), 1):
+            ball += exact
+            size = got[v][f"ring_{r}"]
+            assert abs(size - exact) < 0.12 * ball
+            if ball < 100:           # a slice keeps coupons up to a quarter of its registers
+                assert size == exact or ball > 60 and grid[1] > 8
+    if grid == (2, 16):
+        monkeypatch.undo()
+        again = khop.ring_sizes(g, 3, grid=(1, 16))
+        assert sorted(map(row, again.collect())) == sorted(map(row, got.values()))
+
+
+def test_sketches_are_sent_once_per_block_and_not_along_every_edge(spark):
+    """Every vertex beside every other: a sketch per edge would be 160,000."""
+    n = 400
+    ids = spark.range(n)
+    into = spark.createDataFrame([(i, j) for i in range(n) for j in range(n)], "id bigint, via bigint")
+    ball = sketches.singletons(ids, 12, 8)
+    united = sketches.unite(into, ball, 2, 8, 12)
+    plan = united._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange") == 2          # edges and sketches, dealt by cell
+    united = united.cache()
+    assert united.count() == n * 8
+    size = {r["id"]: r["b1"] for r in sketches.sizes(united, 12, "b1").collect()}
+    assert len(size) == n and len(set(size.values())) == 1 and size[0] == n
