@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,34 @@ def test_pagerank_rounds_walk_lists_and_sort_no_edges(spark):
     # the senders to the cells, the sums to the receivers; of the join's sides only the senders are sorted
     assert plan.count("- Exchange ") == 2 and "hashpartitioning(cell" not in plan and plan.count("- Sort [") <= 1
     lists.unpersist()
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_triangles_by_triples_of_blocks(spark, blocks):
+    """Sparse vertices, a dense part (bits), a hub, and both met in one cell."""
+    rnd = random.Random(4)
+    edges = {tuple(sorted(rnd.sample(range(-300, 300), 2))) for _ in range(1500)}
+    edges |= {(a, b) for a in range(1000, 1090) for b in range(a + 1, 1090) if rnd.random() < 0.6}
+    edges |= {(0, v) for v in range(1000, 1040)} | {(-1, v) for v in range(1, 250)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = {v: sum(len(near[v] & near[u]) for u in near[v]) // 2 for v in near}
+    listed = list(edges) + [(b, a) for a, b in list(edges)[::7]] + [(3, 3)]
+    got = _map(triangles.triangle_count(graph_of(spark, listed), blocks=blocks), "id", "triangles")
+    assert got == {**{3: 0}, **want}
+
+
+def test_every_edge_is_in_one_matrix(spark):
+    """Dense edges take a bit each; a matrix, not a list per edge, goes to the cells."""
+    n = 256
+    u, v = zip(*[(a, b) for a in range(n) for b in range(a + 1, n)])
+    sides = pa.table({"block": [0], "i": [0], "j": [0], "ids": [list(range(n))]})
+    m = triangles.matrix(pa.table({"u": u, "v": v}), sides).to_pylist()[0]
+    assert m["bits"] and len(m["data"]) == n * n // 8
+    few = triangles.matrix(pa.table({"u": u[:9] * 2, "v": v[:9] * 2}), sides).to_pylist()[0]
+    assert not few["bits"] and len(few["data"]) == 4 * (n + 9)
+    cell = pa.table({k: [m[k]] for k in m} | {"a": [0], "b": [0], "c": [0]})
+    found = triangles.count_cell(cell, 100).to_pydict()
+    assert sum(found["found"]) == n * (n - 1) * (n - 2) // 2
+    assert triangles.blocks_for(90_000, 900_000_000) < 20      # 60 copies of the events
