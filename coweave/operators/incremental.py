@@ -7,8 +7,10 @@ changes them by
 
     Δ(m ⋈ m) = (Δ ⋈ m) + (m ⋈ Δ) + (Δ ⋈ Δ)
 
-so only works that the batch touches are joined, and of those only pairs with
-a new row.  A batch is kept as two tables of its own, its new rows and its
+so of the works that the batch touches only pairs with a new row are made.  New
+and earlier rows meet once, as two lists per work; works above ``block_rows`` are
+joined block by block instead.  How many tasks share the rows and the pairs follows
+their numbers, counted first from the works' sizes.  A batch is kept as two tables of its own, its new rows and its
 change of the edges::
 
     {path}/rows/batch=<id>/        (work_id, member)
@@ -27,29 +29,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cooccur import DEFAULT_BLOCK_ROWS, _normalise, work_blocks
+from ..session import cut_lineage, discard
+from .cooccur import DEFAULT_BLOCK_ROWS, _normalise, dealt, partitions_for, work_blocks
 
 EDGE_FIELDS = "src bigint, dst bigint, w bigint"
 
 
-def pairs_with_new(rows: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def pairs_with_new(rows: DataFrame | None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                   works: DataFrame | None = None) -> DataFrame:
     """(src, dst) for every pair src < dst inside a work of ``rows`` (work_id,
-    member, new) of which at least one row is new.
+    member, new), or of the lists ``works`` (see ``touched_works``), of which at
+    least one row is new.
 
     New rows are the left side, all rows the right one; a pair of two new rows
     is met from its smaller member.  Works above ``block_rows`` are split into
     hash blocks, every pair of blocks being its own join key.
     """
+    if rows is None:
+        return pairs_of_touched(works)
     blocks = work_blocks(rows, block_rows, carry=("new",))
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     left = blocks.where("new").select("work_id", F.col("member").alias("a"), F.col("blk").alias("bi"), every.alias("bj"))
     right = blocks.select("work_id", F.col("member").alias("b"), F.col("new").alias("b_new"),
                           every.alias("bi"), F.col("blk").alias("bj"))
     a, b = F.col("a"), F.col("b")
-    return (left.join(right, ["work_id", "bi", "bj"]).where((a < b) | ((a > b) & ~F.col("b_new")))
+    found = (left.join(right, ["work_id", "bi", "bj"]).where((a < b) | ((a > b) & ~F.col("b_new")))
+             .select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")))
+    return found if works is None else found.unionByName(pairs_of_touched(works))
+
+
+def touched_works(rows: DataFrame) -> DataFrame:
+    """(work_id, news, olds) of every work of ``rows`` (work_id, member, new) with
+    members that only new rows have: these, and the members of its other rows."""
+    member = F.col("member")
+    return (rows.groupBy("work_id").agg(F.collect_list(F.when(F.col("new"), member)).alias("news"),
+                                        F.collect_list(F.when(~F.col("new"), member)).alias("olds"))
+            # which also leaves each once
+            .select("work_id", F.array_except("news", "olds").alias("news"), "olds").where(F.size("news") > 0))
+
+
+def pairs_of_touched(works: DataFrame) -> DataFrame:
+    """(src, dst) for every pair of a work (work_id, news, olds) with a new member."""
+    a, b = F.col("a"), F.col("b")
+    return (works.select(F.explode("news").alias("a"), F.size("news").alias("n"), F.concat("news", "olds").alias("all"))
+            .select("a", "n", F.posexplode("all").alias("at", "b")).where((F.col("at") >= F.col("n")) | (a < b))
             .select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")))
 
 
+def _load(rows: DataFrame) -> tuple[int, int, int]:
+    """(rows, most rows of a work that the batch touches, pairs with a new row) of
+    ``rows`` (work_id, member, new), from the sizes of the works."""
+    k, f = F.col("k").cast("double"), F.col("f").cast("double")
+    got = (rows.groupBy("work_id").agg(F.count(F.lit(1)).alias("k"), F.count_if("new").alias("f"))
+           .agg(F.sum("k").alias("rows"), F.max(F.when(f > 0, F.col("k"))).alias("most"),
+                F.sum(f * (k - f) + f * (f - 1) / 2).alias("pairs")).first())
+    return got["rows"] or 0, got["most"] or 0, int(got["pairs"] or 0)
+
+
 class EdgeView:
     """The edges of the memberships appended so far."""
 
@@ -91,17 +127,30 @@ class EdgeView:
         if batch in self.batches():
             return False
         rows, deltas = f"{self.path}/rows/batch={batch}", f"{self.path}/deltas/batch={batch}"
-        new, old = _normalise(memberships, work, member).distinct(), self.memberships()
+        met, old = _normalise(memberships, work, member).withColumn("new", F.lit(True)), self.memberships()
         if old is not None:
-            new = new.join(old, ["work_id", "member"], "left_anti")
+            met = met.unionByName(old.withColumn("new", F.lit(False)))
+        n, most, n_pairs = _load(met)
+        # rows are shuffled as they are, not as partial lists
+        parts = partitions_for(self.spark, n)
+        met, large = met.repartition(*([parts] if parts else []), "work_id"), None
+        if most > self.block_rows:
+            sizes = met.groupBy("work_id").agg(F.count(F.lit(1)).alias("k"), F.bool_or("new").alias("new"))
+            hot = cut_lineage(sizes.where((F.col("k") > self.block_rows) & F.col("new")).select("work_id"))
+            large = cut_lineage(met.join(hot, "work_id", "left_semi").groupBy("work_id", "member")
+                                .agg(F.bool_and("new").alias("new")))
+            met = met.join(hot, "work_id", "left_anti")
+        works = cut_lineage(touched_works(met))
+        new = works.select("work_id", F.explode("news").alias("member"))
+        if large is not None:
+            new = new.unionByName(large.where("new").select("work_id", "member"))
         new.write.mode("overwrite").parquet(rows)
-        new = self.spark.read.parquet(rows)
-        met = new.withColumn("new", F.lit(True))
-        if old is not None:
-            touched = old.join(new.select("work_id").distinct(), "work_id", "left_semi")
-            met = met.unionByName(touched.withColumn("new", F.lit(False)))
-        delta = pairs_with_new(met, self.block_rows).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+        pairs = pairs_with_new(large, self.block_rows, works)
+        delta = (dealt(pairs, partitions_for(self.spark, n_pairs), "src", "dst")
+                 .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
         delta.write.mode("overwrite").parquet(deltas)
+        for written in [works] if large is None else [works, hot, large]:
+            discard(written)
         # the batch counts from here on: one empty table, written last
         self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/counted/batch={batch}")
         return True
@@ -114,7 +163,9 @@ class EdgeView:
         paths += [f"{self.path}/deltas/batch={b}" for b in self.batches() if b not in merged]
         if not paths:
             return self.spark.createDataFrame([], EDGE_FIELDS)
-        return (self.spark.read.schema(EDGE_FIELDS).parquet(*paths)
+        written = self.spark.read.schema(EDGE_FIELDS).parquet(*paths)
+        # the number of rows stands in the files' footers
+        return (dealt(written, partitions_for(self.spark, written.count()), "src", "dst")
                 .groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
     def _merged_batches(self, upto: int) -> list[int]:

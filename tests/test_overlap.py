@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coweave.operators import cooccur, overlap, ranking
-from coweave.operators.incremental import EdgeView, pairs_with_new
+from coweave.operators.incremental import EdgeView, pairs_with_new, touched_works
 
 ROWS = "work_id bigint, member bigint"
 
@@ -152,3 +152,22 @@ def test_only_pairs_with_a_new_row_are_made(spark):
     got = pairs_with_new(spark.createDataFrame(rows, "work_id bigint, member bigint, new boolean"), block_rows=3)
     want = sorted({tuple(sorted((a, b))) for a in (8, 9) for b in range(10) if a != b})
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_a_batch_is_dealt_by_its_rows_and_pairs(spark, tmp_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr("coweave.operators.incremental.partitions_for", lambda _, n: asked.append(n) or 3)
+    view = EdgeView(spark, tmp_dir)
+    first, second = [(w, m) for w in range(20) for m in range(4)], [(w, 9) for w in range(5)]
+    view.append(0, spark.createDataFrame(first, ROWS))
+    view.append(1, spark.createDataFrame(second, ROWS))
+    assert asked == [80, 20 * 6, 85, 5 * 4]
+    assert edges_of(view) == dict(pair_counts(first + second))
+    assert "RepartitionByExpression [src#" in view.edges()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_touched_works(spark):
+    rows = [(1, 5, True), (1, 5, True), (1, 6, True), (1, 6, False), (1, 7, False), (2, 5, False), (3, 8, False), (3, 8, True)]
+    works = touched_works(spark.createDataFrame(rows, "work_id bigint, member bigint, new boolean"))
+    assert [(r["work_id"], r["news"], sorted(r["olds"])) for r in works.collect()] == [(1, [5], [6, 7])]
+    assert sorted(tuple(r) for r in pairs_with_new(None, works=works).collect()) == [(5, 6), (5, 7)]
