@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -29,6 +29,9 @@ from .common import ASCII_LOWER, ASCII_UPPER, fresh_name, ids_and_texts, per_bat
 
 SLOTS = 4
 MAX_KICKS = 200
+LISTED_BITS = 16             # bits of the filter a listed row gets
+FILTER_BITS = 1 << 26        # of them at most; a longer list passes more texts on to the join
+BITMAP_BITS = 1 << 15        # of Spark's bitmaps
 
 
 class CuckooFilter:
@@ -197,25 +200,59 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
                     F.lower(F.hex("digest")).alias("text_sha256")))
 
 
+def _bit_of(doc_id: Column, digest: Column, bits: int) -> Column:
+    """The bit of a filter of ``bits`` bits that stands for a row, from 1."""
+    return F.pmod(F.xxhash64(doc_id.cast("bigint"), digest), F.lit(bits)) + 1
+
+
+def _filter_of(listed: DataFrame, bits: int) -> DataFrame:
+    """One row with the filter of the listed rows, as one binary per bitmap."""
+    bit = _bit_of(F.col("listed_id"), F.col("listed_digest"), bits)
+    maps = (listed.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("id"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")))
+    every = listed.sparkSession.range(1, 1 + bits // BITMAP_BITS)
+    return every.join(maps, "id", "left").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("id", F.coalesce("map", F.unhex(F.lit("")))))),
+        lambda x: x["col2"]).alias("maps"))
+
+
+def _may_be_listed(bit: str, maps: str) -> Column:
+    """Whether the bit is set in the filter; so it is for every listed row."""
+    at = f"bitmap_bit_position({bit})"
+    byte = (f"cast(conv(hex(substring(element_at({maps}, cast(bitmap_bucket_number({bit}) as int)), "
+            f"cast({at} div 8 as int) + 1, 1)), 16, 10) as int)")
+    return F.expr(f"coalesce(shiftright({byte}, cast({at} % 8 as int)) & 1, 0) = 1")
+
+
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    A row is known by its doc_id and digest.  Only what must go is listed and
-    taken out by an anti-join: the list is written, so the planner knows its
-    size, sends it to the texts where it is small and shuffles them once where
-    it is not.  Keys that are repeated exactly are thinned to one row; that
-    second join is only planned where there are any.
+    A row is known by its doc_id and digest.  Only what must go is listed, and
+    the list is written, so the planner knows its size.  A filter of a few bits a
+    listed row, one row that is sent to the texts, lets all but a small part of
+    the texts that stay pass at once; the others are held against the list by an
+    anti-join, which shuffles them where the list is not small.  Keys that are
+    repeated exactly are thinned to one row; that second join is only planned
+    where there are any.
     """
     rows = exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     listed = cut_lineage(rows.where(~F.col("stays") | (F.col("n") > 1)).select(
         F.col("doc_id").alias("listed_id"), F.unhex("text_sha256").alias("listed_digest"), "stays"))
+    size = min(FILTER_BITS, LISTED_BITS * listed.count())
+    bits = BITMAP_BITS * max(1, -(-size // BITMAP_BITS))
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), ASCII_UPPER, ASCII_LOWER)
-    digest = F.unhex(F.sha2(lowered, 256))
-    same = docs["doc_id"].eqNullSafe(listed["listed_id"]) & (digest == listed["listed_digest"])
-    stays = docs.join(listed, same, "left_anti")
+    key, bit, maps = (fresh_name(docs, name) for name in ("row_digest", "row_bit", "row_maps"))
+    keyed = (docs.withColumn(key, F.unhex(F.sha2(lowered, 256)))
+             .withColumn(bit, _bit_of(F.col("doc_id"), F.col(key), bits))
+             .crossJoin(F.broadcast(_filter_of(listed, bits).withColumnRenamed("maps", maps))))
+    may = _may_be_listed(bit, maps)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    free = keyed.where(~may).select(*columns)
+    met = keyed.where(may).select(*columns, key)
+    same = met["doc_id"].eqNullSafe(listed["listed_id"]) & (met[key] == listed["listed_digest"])
+    stays = free.unionByName(met.join(listed, same, "left_anti").drop(key))
     if listed.where("stays").limit(1).count():
-        key = fresh_name(docs, "row_digest")
-        thinned = docs.join(listed.where("stays"), same, "left_semi").withColumn(key, digest)
+        thinned = met.join(listed.where("stays"), same, "left_semi")
         stays = stays.unionByName(thinned.dropDuplicates(["doc_id", key]).drop(key))
     return stays

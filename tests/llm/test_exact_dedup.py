@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from coweave.llm import exact_dedup as ed
 
 FIELDS = "doc_id bigint, text string, digest string, kept int, row_key string"
@@ -67,3 +69,20 @@ def test_job_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], FIELDS)
     assert ed.exact_duplicates(df).count() == 0 and ed.drop_exact_duplicates(df).count() == 0
+
+
+def test_texts_that_stay_pass_the_filter(spark):
+    # 3,000 texts, 300 of them copies; most of what stays is not joined with the list
+    df = spark.createDataFrame([(n, f"text {n % 2700}") for n in range(3000)], "doc_id bigint, text string")
+    bits = ed.LISTED_BITS * 2048
+    listed = df.where("doc_id < 300").select(F.col("doc_id").alias("listed_id"),
+                                             F.unhex(F.sha2("text", 256)).alias("listed_digest"))
+    maps = ed._filter_of(listed, bits)
+    assert maps.count() == 1
+    bit = ed._bit_of(F.col("doc_id"), F.unhex(F.sha2("text", 256)), bits)
+    met = {r["doc_id"] for r in df.withColumn("bit", bit).crossJoin(maps).where(ed._may_be_listed("bit", "maps")).collect()}
+    assert met >= set(range(300)) and len(met) < 450
+    stay = ed.drop_exact_duplicates(df)
+    assert sorted(r["doc_id"] for r in stay.collect()) == list(range(300, 3000)) and stay.columns == df.columns
+    empty = ed._filter_of(listed.limit(0), 2 * ed.BITMAP_BITS)
+    assert not df.withColumn("bit", bit).crossJoin(empty).where(ed._may_be_listed("bit", "maps")).count()
