@@ -230,8 +230,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     A row is known by its doc_id and digest.  Only what must go is listed, and
     the list is written, so the planner knows its size.  A filter of a few bits a
     listed row, one row that is sent to the texts, lets all but a small part of
-    the texts that stay pass at once; the others are held against the list by an
-    anti-join, which shuffles them where the list is not small.  Keys that are
+    the texts that stay pass at once; the others are held against the list by a
+    join, which shuffles them where the list is not small.  Keys that are
     repeated exactly are thinned to one row; that second join is only planned
     where there are any.
     """
@@ -251,8 +251,10 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     free = keyed.where(~may).select(*columns)
     met = keyed.where(may).select(*columns, key)
     same = met["doc_id"].eqNullSafe(listed["listed_id"]) & (met[key] == listed["listed_digest"])
-    stays = free.unionByName(met.join(listed, same, "left_anti").drop(key))
+    # a key is listed once.  An anti-join or semi-join would be planned below the
+    # filter, where it shuffles every text; an outer or inner join stays above it
+    stays = free.unionByName(met.join(listed, same, "left").where(F.col("listed_digest").isNull()).select(*columns))
     if listed.where("stays").limit(1).count():
-        thinned = met.join(listed.where("stays"), same, "left_semi")
-        stays = stays.unionByName(thinned.dropDuplicates(["doc_id", key]).drop(key))
+        thinned = met.join(listed.where("stays"), same).dropDuplicates(["doc_id", key])
+        stays = stays.unionByName(thinned.select(*columns))
     return stays

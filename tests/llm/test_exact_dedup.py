@@ -86,3 +86,16 @@ def test_texts_that_stay_pass_the_filter(spark):
     assert sorted(r["doc_id"] for r in stay.collect()) == list(range(300, 3000)) and stay.columns == df.columns
     empty = ed._filter_of(listed.limit(0), 2 * ed.BITMAP_BITS)
     assert not df.withColumn("bit", bit).crossJoin(empty).where(ed._may_be_listed("bit", "maps")).count()
+
+
+def test_only_texts_that_may_be_listed_are_joined_with_the_list(spark):
+    df = spark.createDataFrame([(n, f"text {n % 2700}") for n in range(3000)], "doc_id bigint, text string")
+    for docs in (df, df.unionByName(df.where("doc_id = 2999"))):      # without and with a row repeated exactly
+        stay = ed.drop_exact_duplicates(docs)
+        lines = stay._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [n for n, line in enumerate(lines) if "Join " in line and "listed_digest" in line]
+        assert joins and not [line for line in lines if "LeftAnti" in line or "LeftSemi" in line]
+        # the filter stands below the join, before any text is shuffled for it
+        for n in joins:
+            assert "shiftright" in next(line for line in lines[n + 1:] if "Filter" in line or "Join " in line)
+        assert sorted(r["doc_id"] for r in stay.collect()) == list(range(300, 3000))
