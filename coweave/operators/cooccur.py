@@ -24,13 +24,20 @@ Metrics that do not need the pairs are computed without them
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 DEFAULT_BLOCK_ROWS = 2048
 PAIRS_PER_TASK = 4_000_000     # of a cell of dense_edges
 ROWS_PER_TASK = 2_000_000      # of a shuffle sized by its rows
+PAIRS_AT_ONCE = 1 << 20        # of a cell, while they are counted
+MATRIX_PLACES = 1 << 24        # a cell of more pairs of members counts sorted pairs
 
 
 def _normalise(memberships: DataFrame, work: str, member: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -108,14 +115,76 @@ def dealt(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
     return df.repartition(partitions, *keys) if partitions else df
 
 
+def _codes(few: pa.ListArray, many: pa.ListArray, a: np.ndarray, b: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """a * width + b of every pair of a row's two lists, about PAIRS_AT_ONCE at a
+    time; ``a`` and ``b`` are the places of the lists' members, list after list."""
+    n_few, n_many = np.diff(few.offsets.to_numpy()), np.diff(many.offsets.to_numpy())
+    start = np.repeat(np.cumsum(n_many) - n_many, n_few)       # of the list that an element of a meets
+    n = np.repeat(n_many, n_few).astype(np.int64)
+    up_to = np.cumsum(n)
+    cuts = np.searchsorted(up_to, np.arange(PAIRS_AT_ONCE, up_to[-1] if len(up_to) else 0, PAIRS_AT_ONCE))
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
+        if hi > lo:
+            k = n[lo:hi]
+            at = np.repeat(start[lo:hi] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            yield np.repeat(a[lo:hi] * width, k) + b[at]
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their numbers, the same code added up."""
+    code, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))[:len(code)])
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def count_pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(src, dst, w) of the pairs between two blocks of members, from rows of a
+    work's members in the one (``few``) and in the other (``many``)."""
+    few, many = (pa.concat_arrays(cell[c].chunks) for c in ("few", "many"))
+    apart = cell["apart"][0].as_py()
+    ids_a, a = np.unique(few.flatten().to_numpy(), return_inverse=True)
+    ids_b, b = np.unique(many.flatten().to_numpy(), return_inverse=True)
+    width = len(ids_b)
+    matrix = len(ids_a) * width <= MATRIX_PLACES
+    counts = np.zeros(len(ids_a) * width if matrix else 0, np.int64)
+    parts, waiting, done = [], 0, 0
+    for code in _codes(few, many, a, b, width):
+        if matrix:
+            if len(code) * 16 > len(counts):
+                counts += np.bincount(code, minlength=len(counts))
+            else:
+                np.add.at(counts, code, 1)
+            continue
+        parts.append(np.unique(code, return_counts=True))
+        waiting += len(parts[-1][0])
+        if waiting > max(2 * done, 4 * PAIRS_AT_ONCE):
+            parts = [_counted(parts)]
+            waiting = done = len(parts[0][0])
+    if matrix:
+        code = np.flatnonzero(counts)
+        n = counts[code]
+    else:
+        code, n = _counted(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at in range(0, len(code), 1 << 18):
+        x, y = ids_a[code[at:at + (1 << 18)] // width], ids_b[code[at:at + (1 << 18)] % width]
+        # within one block every pair is met from both sides
+        keep = np.ones(len(x), bool) if apart else x < y
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c[keep]) for c in (np.minimum(x, y), np.maximum(x, y), n[at:at + (1 << 18)])],
+            names=["src", "dst", "w"])
+
+
 def dense_edges(memberships: DataFrame, blocks: int, work: str = "work_id", member: str = "member") -> DataFrame:
     """``cooccurrence_edges`` by pairs of member blocks.
 
     Members are dealt into ``blocks`` hash blocks; a work's members of one block
     travel as one list to every pair of blocks (a cell) it takes part in.  All
-    pairs between two blocks are counted in the cell's task, so each row is
-    copied ``blocks`` + 1 times and no pair is shuffled.
+    pairs between two blocks are counted in the cell's task (``count_pairs``), so
+    each row is copied ``blocks`` + 1 times and no pair is shuffled.
     """
+    ship_package(memberships.sparkSession)
     blk = F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int")
     lists = (_normalise(memberships, work, member).groupBy("work_id", blk.alias("blk"))
              .agg(F.collect_list("member").alias("ids")))
@@ -127,15 +196,13 @@ def dense_edges(memberships: DataFrame, blocks: int, work: str = "work_id", memb
     cells = blocks * (blocks + 1) // 2
     left = left.select("work_id", "few", (F.col("bi") != F.col("bj")).alias("apart"), cell).repartitionById(cells, "cell")
     right = right.select("work_id", "many", cell).repartitionById(cells, "cell")
-    a, b = F.col("a"), F.col("b")
-    pairs = (left.join(right, ["work_id", "cell"])
-             .select("cell", "apart", F.explode("few").alias("a"), "many")
-             .select("cell", "apart", "a", F.explode("many").alias("b"))
-             # within one block every pair is met from both sides
-             .where(F.col("apart") | (a < b))
-             .select("cell", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")))
-    # dealt by cell already: counted where they are made
-    return pairs.groupBy("cell", "src", "dst").agg(F.count(F.lit(1)).alias("w")).select("src", "dst", "w")
+    # dealt by cell already: counted where the lists meet
+    return (left.join(right, ["work_id", "cell"]).select("cell", "apart", "few", "many")
+            .groupBy("cell").applyInArrow(_cell_edges, "src bigint, dst bigint, w bigint"))
+
+
+def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from count_pairs(pa.Table.from_batches(list(batches)))
 
 
 def cooccurrence_edges(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from coweave.operators import cooccur
@@ -102,6 +103,37 @@ def test_dense_works_shuffle_no_pairs(spark):
     assert _edges(cooccur.dense_edges(df.union(_m(spark, [(None, 1), (1, None), (99, 5)])), 4)) == _brute(rows)
 
 
+def test_pairs_of_a_cell_are_counted_in_parts(monkeypatch):
+    """By a matrix or sorted, whole or a few pairs at a time: the same edges."""
+    rnd = random.Random(1)
+    rows = [([rnd.randrange(-50, 0) for _ in range(rnd.randrange(6))],
+             [rnd.randrange(90) for _ in range(rnd.randrange(9))]) for _ in range(80)]
+    for apart in (True, False):
+        if not apart:
+            rows = [(m, m) for _, m in rows]
+        brute = {}
+        for few, many in rows:
+            for e in [(min(x, y), max(x, y)) for x in few for y in many if apart or x < y]:
+                brute[e] = brute.get(e, 0) + 1
+        ids = pa.list_(pa.int64())
+        cell = pa.table({"apart": [apart] * len(rows), "few": pa.array([r[0] for r in rows], ids),
+                         "many": pa.array([r[1] for r in rows], ids)})
+        cell = pa.concat_tables([cell.slice(0, 30), cell.slice(30)])
+        for places in (1 << 24, 0):
+            for at_once in (1 << 20, 7):
+                monkeypatch.setattr(cooccur, "MATRIX_PLACES", places)
+                monkeypatch.setattr(cooccur, "PAIRS_AT_ONCE", at_once)
+                got = [r for b in cooccur.count_pairs(cell) for r in b.to_pylist()]
+                assert sorted(got, key=str) == sorted(
+                    [{"src": x, "dst": y, "w": w} for (x, y), w in brute.items()], key=str)
+
+
+def test_pairs_of_dense_works_are_no_rows(spark):
+    e = cooccur.dense_edges(_m(spark, _large_works()), 4)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan[:plan.index("Join")]
+
+
 def test_sparse_pairs_are_dealt_by_their_number(spark, monkeypatch):
     rows = sorted({(w, random.Random(w).randrange(300)) for w in range(200)} | {(w, w) for w in range(200)})
     df = _m(spark, rows)
