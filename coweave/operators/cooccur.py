@@ -69,9 +69,17 @@ def work_blocks(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
 
 
 def member_pairs(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
-                 work: str = "work_id", member: str = "member", partitions: int | None = None) -> DataFrame:
+                 work: str = "work_id", member: str = "member", partitions: int | None = None,
+                 largest: int | None = None) -> DataFrame:
     """(work_id, src, dst) for every pair src < dst inside a work; dealt over
-    ``partitions`` tasks where that is more than the session's number."""
+    ``partitions`` tasks where that is more than the session's number.
+
+    Where the ``largest`` work is known and no larger than ``block_rows``, no work
+    is cut: its rows meet on the work alone, without a list of large works."""
+    if largest is not None and largest <= block_rows:
+        m = dealt(_normalise(memberships, work, member), partitions, "work_id")
+        return (m.withColumnRenamed("member", "src").join(m.withColumnRenamed("member", "dst"), "work_id")
+                 .where(F.col("src") < F.col("dst")).select("work_id", "src", "dst"))
     m = work_blocks(memberships, block_rows, work, member)
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     left = m.select("work_id", F.col("member").alias("src"),
@@ -87,10 +95,15 @@ def member_pairs(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
 def pair_load(memberships: DataFrame, work: str = "work_id", member: str = "member") -> tuple[int, int]:
     """(rows, pairs): how many rows there are and how many pairs their works
     make, from the sizes of the works."""
+    return work_load(memberships, work, member)[:2]
+
+
+def work_load(memberships: DataFrame, work: str = "work_id", member: str = "member") -> tuple[int, int, int]:
+    """(rows, pairs, largest): ``pair_load`` and the rows of the largest work."""
     k = F.col("k").cast("double")
     load = (_normalise(memberships, work, member).groupBy("work_id").agg(F.count(F.lit(1)).alias("k"))
-            .agg(F.sum("k").alias("rows"), F.sum(k * (k - 1) / 2).alias("pairs")).first())
-    return load["rows"] or 0, int(load["pairs"] or 0)
+            .agg(F.sum("k").alias("rows"), F.sum(k * (k - 1) / 2).alias("pairs"), F.max("k").alias("largest")).first())
+    return load["rows"] or 0, int(load["pairs"] or 0), load["largest"] or 0
 
 
 def block_count(pairs: int, pairs_per_task: int = PAIRS_PER_TASK) -> int:
@@ -208,7 +221,7 @@ def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cooccurrence_edges(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
                        work: str = "work_id", member: str = "member",
                        pairs_per_task: int = PAIRS_PER_TASK,
-                       load: tuple[int, int] | None = None) -> DataFrame:
+                       load: tuple[int, int, int] | None = None) -> DataFrame:
     """A4 (+A5 folded in): canonical edges (src < dst, w = shared works).
 
     Zero-weight pairs are never produced (Q4: the graph that was analysed had
@@ -220,12 +233,12 @@ def cooccurrence_edges(memberships: DataFrame, block_rows: int = DEFAULT_BLOCK_R
     pairs there are: by that they are dealt over tasks, or, where they are far
     more than the rows, counted block by block (``dense_edges``).
     """
-    rows, pairs = load or pair_load(memberships, work, member)
+    rows, pairs, largest = load or work_load(memberships, work, member)
     blocks = block_count(pairs, pairs_per_task)
     if is_dense(rows, pairs, blocks):
         return dense_edges(memberships, blocks, work, member)
     n = partitions_for(memberships.sparkSession, pairs)
-    found = dealt(member_pairs(memberships, block_rows, work, member, n).select("src", "dst"), n, "src", "dst")
+    found = dealt(member_pairs(memberships, block_rows, work, member, n, largest).select("src", "dst"), n, "src", "dst")
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 

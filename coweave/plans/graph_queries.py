@@ -24,7 +24,7 @@ def membership_graph(spark: SparkSession, sf_dir: str, reuse: bool = False) -> g
 
 
 def _graph(memberships: DataFrame, vertices: DataFrame, reuse: bool) -> gr.CoGraph:
-    load = cooccur.pair_load(memberships)
+    load = cooccur.work_load(memberships)
     edges = cooccur.cooccurrence_edges(memberships, load=load)
     g = gr.build_graph(vertices, edges, ends=cooccur.endpoints(memberships), written=False, size=load[1])
     return g.materialized(vertices) if reuse else g

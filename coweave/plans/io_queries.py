@@ -56,7 +56,7 @@ def q_memberships_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark)
     listings.write_listings(_listings(spark, sf_dir), path)
     rows = text.membership_rows(listings.read_listings(spark, path))
-    load = cooccur.pair_load(rows)
+    load = cooccur.work_load(rows)
     both = cooccur.symmetrize(cooccur.cooccurrence_edges(rows, load=load), one_pass=True)
     return cooccur.fold_symmetric(both, partitions=cooccur.partitions_for(spark, 2 * load[1]))
 

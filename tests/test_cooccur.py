@@ -146,6 +146,22 @@ def test_sparse_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert e.rdd.getNumPartitions() > 4        # the session's number
 
 
+def test_no_list_of_large_works_where_none_is_large(spark):
+    rows = sorted({(w, random.Random(w * 7 + n).randrange(300)) for w in range(60) for n in range(4)} | {(None, 3), (5, None)},
+                  key=str)
+    df = _m(spark, rows)
+    brute = _brute([r for r in rows if None not in r])
+    n, pairs, largest = cooccur.work_load(df)
+    assert cooccur.pair_load(df) == (n, pairs) and 1 < largest <= 5
+    e = cooccur.cooccurrence_edges(df)
+    assert _edges(e) == brute
+    # the sizes of the works are not looked up again: the pairs' join is the only one
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    few = cooccur.cooccurrence_edges(df, block_rows=2)              # works are cut
+    assert _edges(few) == brute
+    assert _edges(cooccur.cooccurrence_edges(_m(spark, [(1, 2)]).limit(0))) == []
+
+
 def test_endpoints_and_one_pass_need_no_second_pair_join(spark):
     rows = [(1, 1), (1, 2), (2, 3), (3, 4), (3, 4), (4, 5), (4, 6), (4, 7)]
     ends = {r["id"] for r in cooccur.endpoints(_m(spark, rows)).collect()}
