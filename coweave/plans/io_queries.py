@@ -45,7 +45,9 @@ SQL_PAIR_COUNTS_ROUND_TRIP = gq.SQL_COOCCUR_EDGES
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(member, members): every work once, listed under its least member."""
-    works = td.memberships(spark, sf_dir).groupBy("work_id").agg(
+    # a work's members end in one row anyway, so the rows may be dealt by work
+    n = cooccur.partitions_for(spark, td.table(spark, sf_dir, "lineitem").count())
+    works = cooccur.dealt(td.memberships(spark, sf_dir), n, "work_id").groupBy("work_id").agg(
         F.array_sort(F.collect_set("member")).alias("members"))
     return works.select(F.element_at("members", 1).alias("member"), "members")
 

@@ -4,6 +4,7 @@ import os
 import random
 
 from coweave.operators import cooccur
+from coweave.plans import io_queries
 from coweave.sources import listings, text
 
 FIELDS = "member bigint, members array<bigint>"
@@ -85,3 +86,12 @@ def test_nothing_written_and_an_append_cut_off(spark, tmp_dir):
     assert listings.read_listings(spark, tmp_dir).count() == 0
     listings.write_listings(spark.createDataFrame([(1, [1, 2])], FIELDS), tmp_dir, append="cut")
     assert as_set(listings.read_listings(spark, tmp_dir)) == [(1, (1, 2))]
+
+
+def test_listings_are_dealt_by_the_number_of_rows(spark, tmp_dir, monkeypatch):
+    rows = [(n % 20, n * 7 % 31) for n in range(60)] * 2 + [(None, 4), (3, None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    plain = sorted(map(str, io_queries._listings(spark, tmp_dir).collect()))
+    monkeypatch.setattr(cooccur.partitions_for, "__defaults__", (10,))
+    dealt = io_queries._listings(spark, tmp_dir)
+    assert dealt.rdd.getNumPartitions() == 13 and sorted(map(str, dealt.collect())) == plain
