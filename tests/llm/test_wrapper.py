@@ -284,3 +284,32 @@ def test_merged_templates_keep_frequent_texts():
             for n in range(0, 90, 10)]
     top = w.merged(some)
     assert top.tree.text[1] == w._hash("same") and top.sizes[1][1] == 90
+
+
+def test_every_pair_of_parts_is_weighed(monkeypatch):
+    """Long lists and many pairs, too: a box that one page has shifts nothing."""
+    box = "<div>Sign up</div>"
+    wide = "".join(f"<div>Line {n}</div>" for n in range(60))
+    assert w.tree_match(_tree(wide), _tree(box + wide)) == [0, -1, *range(1, 61)]
+    cells = lambda n: "".join(f"<div>{n} {k}</div>" for k in range(20))
+    many = "".join(f"<section>{cells(n)}</section>" for n in range(24))        # 230,976 pairs
+    x, y = _tree(many), _tree(f"<section>{box}</section>" + many.replace("<section>", f"<section>{box}"))
+    for kept in (w.KEPT_PAIRS, 5_000):
+        monkeypatch.setattr(w, "KEPT_PAIRS", kept)
+        partner = w.tree_match(x, y)
+        assert [y.text[j] for j, i in enumerate(partner) if i < 0] == [0] + [w._hash("Sign up")] * 25
+        assert all(x.text[i] == y.text[j] for j, i in enumerate(partner) if i >= 0)
+
+
+def test_all_ways_of_weighing_give_one_match(monkeypatch):
+    rnd = random.Random(4)
+    for _ in range(60):
+        some = w.Partial.of_page(_tree(_random_page(rnd)))
+        some.add(w.Partial.of_page(_tree(_random_page(rnd))))
+        y, found = _tree(_random_page(rnd)), []
+        for listed, kept in ((10**6, 0), (0, 10**6), (0, 0), (20, 60)):
+            monkeypatch.setattr(w, "LISTED_PAIRS", listed)
+            monkeypatch.setattr(w, "MOST_LISTED", 0)
+            monkeypatch.setattr(w, "KEPT_PAIRS", kept)
+            found.append(w.tree_match(some.tree, y))
+        assert all(f == found[0] for f in found)
