@@ -115,31 +115,24 @@ def ring_sizes(g: CoGraph, k: int = 3, lg_k: int = 12, grid: tuple[int, int] | N
 
     Every vertex has a mergeable distinct-count sketch of what is within r
     steps, at first of itself.  A round unites the sketches of a vertex and its
-    neighbours cell by cell (``sketches.unite``): a sketch is sent once to every
-    block of receivers, not along every edge, and what the last round unites is
-    only counted.  A ring is the difference of two balls.  A sketch takes
+    neighbours (``sketches.balls``): slices of sketches never meet, so all rounds of
+    a slice are made in one task, edges are written once as places, and no sketch is
+    sent anywhere.  A ring is the difference of two balls.  A sketch takes
     2^lg_k bytes at most, whatever it has counted; the standard error of a ball
     is about 1.04 / sqrt(2^lg_k) (1.6 % at 12) and small balls are exact.
     ``grid`` is (blocks of receivers, slices of sketches), by default what bounds
-    a cell.
+    a task.
     """
-    ids = g.vertices.select("id").where(F.col("id").isNotNull()).distinct()
+    ids = _materialise(g.vertices.select("id").where(F.col("id").isNotNull()).distinct())
+    if not g.written:
+        g = CoGraph(g.vertices, _materialise(g.edges.select("src", "dst")))
     ends = g.symmetric().select(F.col("src").alias("id"), F.col("dst").alias("via")).dropna()
     # a ball holds the one before; edges listed twice unite the same sketches
     into = ends.unionByName(ids.select("id", F.col("id").alias("via")))
-    edges, seen = cut_lineage(into, [F.count(F.lit(1)).alias("n")])
-    blocks, slices = grid or sk.grid_for(ids.count(), seen["n"], lg_k)
-    ball = sk.singletons(ids, lg_k, slices)
-    sizes = ids.select("id", F.lit(1).cast("bigint").alias("b0"))
-    before = None
-    for r in range(1, k + 1):
-        united = _materialise(sk.unite(edges, ball, blocks, slices, lg_k, keep=r < k))
-        sizes = _materialise(sizes.join(sk.sizes(united, lg_k, f"b{r}"), "id"))
-        # slices without an id add nothing
-        ball = united.where(F.col("known") != 0).select("id", "slice", "coupons", "regs")
-        if before is not None:
-            discard(before)
-        before = united
+    n = ids.count()
+    blocks, slices = grid or sk.grid_for(n, n + 2 * g.edges.count(), lg_k)
+    found = sk.balls(ids, into, k, blocks, slices, lg_k)
+    sizes = _materialise(found.select("id", F.lit(1).cast("bigint").alias("b0"), *[f"b{r}" for r in range(1, k + 1)]))
     # estimates of growing balls could fall by chance, sizes do not
     return sizes.select("id", *[F.greatest(F.col(f"b{r}") - F.col(f"b{r - 1}"), F.lit(0)).cast("bigint")
                                 .alias(f"ring_{r}") for r in range(1, k + 1)])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from conftest import graph_of
@@ -152,3 +153,40 @@ def test_sketches_are_sent_once_per_block_and_not_along_every_edge(spark):
     assert united.count() == n * 8
     size = {r["id"]: r["b1"] for r in sketches.sizes(united, 12, "b1").collect()}
     assert len(size) == n and len(set(size.values())) == 1 and size[0] == n
+
+
+def test_rounds_of_a_slice_send_no_sketch_and_no_edge(spark):
+    """One exchange in all, of what the slices counted per vertex."""
+    n = 300
+    ids = spark.range(n)
+    into = spark.createDataFrame([(i, (i + d) % n) for i in range(n) for d in (0, 1, n - 1)], "id bigint, via bigint")
+    found = sketches.balls(ids, into, 3, 4, 8, 12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan and plan.count("Exchange") == 1
+    assert {tuple(r) for r in found.collect()} == {(i, 3, 5, 7) for i in range(n)}
+
+
+def test_unions_of_registers_and_coupons(monkeypatch):
+    monkeypatch.setattr(sketches, "HUB", 40)
+    rnd, width, n = np.random.default_rng(3), 64, 200
+    sets = [np.unique(rnd.integers(1, 12, k) << sketches.ADDRESS_BITS | rnd.integers(0, width, k)).astype(np.int32)
+            for k in rnd.choice([0, 1, 3, 200], n)]
+    regs = sketches._registers(n, np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets), width)
+    sparse = np.array([len(s) <= width // 4 for s in sets])
+    lengths = np.array([len(s) if few else 0 for s, few in zip(sets, sparse)], np.int32)
+    coupons = np.concatenate([s for s, few in zip(sets, sparse) if few])
+    now = sketches._Slice(regs, sparse, np.cumsum(lengths) - lengths, lengths, coupons)
+    counts = rnd.choice([1, 2, 5, 30, 90], 60)
+    first, at = np.concatenate([[0], np.cumsum(counts)]), rnd.integers(0, n, counts.sum())
+    at[:200] = rnd.choice(np.flatnonzero(sparse), 200)
+    united, known, few = sketches._unite_rows(first, at, now, width)
+    values = np.split(few, np.cumsum(np.maximum(known, 0)))
+    for i in range(60):
+        of = at[first[i]:first[i + 1]]
+        assert (united[i] == regs[of].max(axis=0)).all()
+        different = np.unique(np.concatenate([sets[s] for s in of]))
+        if sparse[of].all() and len(different) <= width // 4:
+            assert known[i] == len(different) and sorted(values[i]) == sorted(different)
+        else:
+            assert known[i] == -1
+    assert (known >= 0).sum() > 5 and (known < 0).sum() > 5
