@@ -103,7 +103,7 @@ def heavy_overlaps(memberships: DataFrame, min_w: int, block_rows: int = DEFAULT
     if is_dense(rows, pairs, blocks):
         _, started = pair_load(_prefixes(ordered, last))
         if is_dense(rows, started, blocks) and 4 * started > pairs:
-            return dense_edges(ordered, blocks).where(F.col("w") >= min_w)
+            return dense_edges(ordered, blocks, min_w=min_w)
     found = cut_lineage(prefix_candidates(ordered, last, block_rows))
     first = F.when(F.col("src_first"), F.col("src")).otherwise(F.col("dst"))
     other = F.when(F.col("src_first"), F.col("dst")).otherwise(F.col("src"))

@@ -20,17 +20,14 @@ all sketches, and every sketch comes once per block of receivers.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_package
+from ..session import scratch_path, ship_package, written_files
 
 ADDRESS_BITS = 26
 MOST_ZEROS = 31             # a coupon has 31 bits
@@ -143,25 +140,10 @@ def balls(ids: DataFrame, into: DataFrame, rounds: int, blocks: int, slices: int
                                      for r in range(1, rounds + 1)])
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", path):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), re.sub(r"^file:", "", path)
-
-
-def _written(path: str) -> Iterator[pq.ParquetFile]:
-    """The files of a written table."""
-    files, root = _store(path)
-    for f in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda f: f.base_name):
-        if f.base_name.endswith(".parquet"):
-            with files.open_input_file(f.path) as source:
-                yield pq.ParquetFile(source)
-
-
 @functools.lru_cache(maxsize=1)
 def _vertices(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids in order, whether they are asked for, coupons) of a written table."""
-    parts = [f.read(["id", "own", "c"]) for f in _written(path)]
+    parts = [f.read(["id", "own", "c"]) for f in written_files(path)]
     table = pa.concat_tables(parts)
     ids, own, c = (table[name].to_numpy() for name in ("id", "own", "c"))
     order = np.argsort(ids)
@@ -184,7 +166,7 @@ def _edge_block(rows: pa.Table, path: str) -> pa.Table:
 
 def _edge_blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(receivers, first edge of each and the end, senders) of every block."""
-    for file in _written(path):
+    for file in written_files(path):
         for batch in file.iter_batches(batch_size=1):
             receivers, counts, via = (np.frombuffer(c[0].as_buffer(), np.int32) for c in batch.columns)
             yield receivers, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), via

@@ -168,3 +168,15 @@ def test_endpoints_and_one_pass_need_no_second_pair_join(spark):
     assert ends == {1, 2, 5, 6, 7}             # 4 is listed twice but alone
     e = cooccur.cooccurrence_edges(_m(spark, rows))
     assert _edges(cooccur.symmetrize(e, one_pass=True)) == _edges(cooccur.symmetrize(e))
+
+
+def test_members_of_dense_works_travel_as_places(spark):
+    """Two bytes a member; pairs that meet too seldom never leave their task."""
+    rows = _large_works() + [(w, -10 ** 15 + w) for w in range(12)] + [(w, 10 ** 15) for w in range(4)]
+    df, brute = _m(spark, rows), _brute(rows)
+    for min_w in (1, 3, 100):
+        e = cooccur.dense_edges(df, 4, min_w=min_w)
+        assert _edges(e) == [x for x in brute if x[2] >= min_w]
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "as smallint" in plan and "Filter (w" not in plan
+    assert _edges(cooccur.dense_edges(df.limit(0), 3)) == []
