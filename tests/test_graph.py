@@ -296,3 +296,23 @@ def test_every_edge_is_in_one_matrix(spark):
     found = triangles.count_cell(cell, 100).to_pydict()
     assert sum(found["found"]) == n * (n - 1) * (n - 2) // 2
     assert triangles.blocks_for(90_000, 900_000_000) < 20      # 60 copies of the events
+
+
+def test_pagerank_over_packed_cells(spark):
+    """The same ranks; the cells stay where they are dealt, an edge is packed twice."""
+    rnd = random.Random(6)
+    edges = sorted({tuple(sorted(rnd.sample(range(-30, 30), 2))) for _ in range(150)} | {(100, k) for k in range(-30, 30)} | {(200, 201)})
+    edges = [(b, a) if a % 2 else (a, b) for a, b in edges]
+    g = graph_of(spark, edges, vertices={v: "" for v in (*range(-30, 30), 100, 200, 201, 300)})
+    lists, cells = (_map(pagerank.pagerank(g, 0.01, packed=p, partitions=9), "id", "pagerank") for p in (False, True))
+    assert lists.keys() == cells.keys() and all(abs(lists[k] - cells[k]) < 1e-9 for k in lists)
+    inv = g.symmetric().groupBy("src").agg((1 / F.count(F.lit(1))).alias("inv"))
+    packed = pagerank.packed_cells(g.edges.select("src", "dst"), inv, 3).persist()
+    assert sum(len(r["places"]) // 4 for r in packed.collect()) == 2 * len(edges)
+    senders = spark.createDataFrame([(100, 0.15)], "id bigint, delta double")
+    msgs = pagerank._packed_messages(senders, packed, 3)
+    plan = msgs._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("- Exchange ") == 2 and "InMemoryTableScan" in plan and "Generate explode(dsts" not in plan
+    got = _map(msgs, "id", "msg")
+    assert set(got) == set(range(-30, 30)) and abs(sum(got.values()) - 0.15) < 1e-12
+    packed.unpersist()
