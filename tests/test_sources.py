@@ -134,3 +134,14 @@ def test_write_metric_partitions(spark, tmp_dir):
     messages.write_metric(df.withColumn("value", F.lit(3.0)), "neighbour", tmp_dir + "/r")
     got = sorted((r["metric"], r["value"]) for r in spark.read.parquet(tmp_dir + "/r").collect())
     assert got == [("neighbour", 3.0), ("pagerank", 2.0)]
+
+
+def test_gexf_of_several_part_files_is_read_whole(spark, tmp_dir):
+    names = {n: f"v{n}" for n in range(400)} | {0: 'a <b> & "c" \'d\'', 1: "two\nlines", 2: "&lt;", 3: ""}
+    g = graph_of(spark, [(n, n + 1, n % 7 + 1) for n in range(399)], vertices=names)
+    lines = gexf.gexf_lines(g).orderBy("section", "k1", "k2").select("line")
+    lines.repartitionByRange(5, "line").write.text(tmp_dir + "/g")
+    nodes, edges = gexf.read_gexf(spark, tmp_dir + "/g")
+    assert {r["id"]: r["label"] for r in nodes.collect()} == {str(n): v.replace("\n", " ") for n, v in names.items()}
+    assert sorted((int(r["source"]), int(r["target"]), r["weight"]) for r in edges.collect()) == sorted(
+        e for n in range(399) for e in ((n, n + 1, n % 7 + 1.0), (n + 1, n, n % 7 + 1.0)))
